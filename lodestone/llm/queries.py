@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table
 from .exact_dedup import exact_groups, normal_form
+from .packing import pack
 from .simhash import near_duplicates
+from .token_orc import tokenize
 from .warc import archive_pages
 from .winnow import contamination
 
@@ -29,6 +31,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -42,12 +48,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_warc": op6_warc,
+        "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
+        "op9_token_orc": op9_token_orc,
     }
 
 
