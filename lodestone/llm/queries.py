@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import exact_groups, normal_form
 from .packing import pack
+from .quality_qda import quality_scores
 from .simhash import near_duplicates
 from .token_orc import tokenize
 from .warc import archive_pages
@@ -21,6 +22,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     digests = docs.withColumn("text_sha256", F.sha2(normal_form("text").cast("binary"), 256))
@@ -55,6 +61,7 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
+        "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
