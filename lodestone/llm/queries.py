@@ -11,12 +11,17 @@ from .common import read_table
 from .exact_dedup import exact_groups, normal_form
 from .packing import pack
 from .quality_qda import quality_scores
+from .recurrent_lm import lm_scores
 from .simhash import near_duplicates
 from .token_orc import tokenize
 from .warc import archive_pages
 from .winnow import contamination
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
@@ -60,6 +65,7 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_recurrent_lm": op1_recurrent_lm,
         "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
