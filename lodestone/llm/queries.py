@@ -13,6 +13,7 @@ from .packing import pack
 from .quality_qda import quality_scores
 from .recurrent_lm import lm_scores
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_orc import tokenize
 from .warc import archive_pages
 from .winnow import contamination
@@ -38,6 +39,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(digests, carry=["doc_id", "text_sha256"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
