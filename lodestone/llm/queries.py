@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_groups, normal_form
+from .license_scan import license_statements
 from .packing import pack
 from .quality_qda import quality_scores
 from .recurrent_lm import lm_scores
@@ -69,6 +70,17 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(read_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_statements(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("statements").cast("long").alias("n_statements"),
+        F.array_join(F.array_sort(F.array_distinct("statements.license")), ",").alias("licenses"),
+        F.expr("aggregate(statements, 0L, (n, s) -> n + size(s.differences))").alias("n_differences"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_recurrent_lm": op1_recurrent_lm,
@@ -80,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
         "op9_token_orc": op9_token_orc,
+        "op10_license_scan": op10_license_scan,
     }
 
 
