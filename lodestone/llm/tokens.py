@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,16 @@ WORD_LEVEL = rf"[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)|[^{_WS}]+"
 GENERATION, LONG = 250_000, 48
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Byte to character of byte-level BPE: printable Latin-1 stands for itself, the rest for 256 and up in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -43,7 +54,8 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.keeps_space = chunks == BYTE_LEVEL
         self.find = re.compile(chunks).findall
-        self.plain = re.compile(" ?[A-Za-z]+").fullmatch
+        self.plain = re.compile(f" ?[{_LATIN}]+").fullmatch
+        self.beyond_latin = re.compile("[^\x00-\xff]").search
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,16 +72,17 @@ class ChunkEncoder:
         once = {}
         plain = self.plain
         whole = []
-        for chunk in new:  # one space at most and ASCII letters: a single piece, which the model takes as it is
+        tokenize = self.model.tokenize
+        for chunk in new:  # one space at most and Latin letters: a single piece, which the model takes in its byte alphabet
             if plain(chunk):
-                piece = chunk.replace(" ", "\u0120") if self.keeps_space else chunk.lower()
-                (self.young if len(chunk) <= LONG else once)[chunk] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+                piece = (chunk if self.keeps_space else chunk.lower()).encode().decode("latin-1").translate(_ALPHABET)
+                (self.young if len(chunk) <= LONG else once)[chunk] = array("I", [t.id for t in tokenize(piece)]).tobytes()
             else:
                 whole.append(chunk)
         for at in range(0, len(whole), 4096):
             part = whole[at : at + 4096]
             for chunk, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.young if len(chunk) <= LONG else once)[chunk] = np.array(encoding.ids, "<u4").tobytes()
+                (self.young if len(chunk) <= LONG else once)[chunk] = array("I", encoding.ids).tobytes()
         return once
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
@@ -81,7 +94,10 @@ class ChunkEncoder:
             while to < len(texts) and (to == at or size + len(texts[to]) <= 2_000_000):
                 size += len(texts[to])
                 to += 1
-            found = [self.find(t) for t in texts[at:to]]
+            part = texts[at:to]
+            if not self.keeps_space:  # ids don't depend on case; of Latin letters, lower case is the same everywhere
+                part = [t if self.beyond_latin(t) else t.lower() for t in part]
+            found = [self.find(t) for t in part]
             once = self._learn(set().union(*found))
             get = (self.young | once if once else self.young).__getitem__
             for chunks in found:
