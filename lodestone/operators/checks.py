@@ -118,6 +118,10 @@ def framework_signs() -> dict[str, Column]:
     }
 
 
+def framework_signs_names() -> tuple[str, ...]:
+    return tuple(FRAMEWORKS)
+
+
 def frameworks(files: DataFrame) -> DataFrame:
     """(framework, present) of every framework: one aggregate over the files."""
     signs = framework_signs()

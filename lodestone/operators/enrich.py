@@ -18,7 +18,7 @@ def prompts(findings: DataFrame, files: DataFrame, around: int = 10) -> DataFram
     """findings with the prompt of each, and its cache key."""
     rows = findings.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
     text = template(PROMPT, {"rule_id": F.col("rule_id"), "severity": F.col("severity"), "file_path": F.col("file_path"), "line": F.col("line_number").cast("string"), "code": numbered_snippet(F.coalesce("content", F.lit("")), F.col("line_number"), around)})
-    return rows.drop("content").withColumn("prompt", text).withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
+    return rows.withColumn("prompt", text).drop("content").withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
 
 
 def stub_provider(texts: pd.Series) -> pd.Series:

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import checks, findings as relation, mybatis, patterns, spring, taint
-from lodestone.operators.check_tables import FRAMEWORKS, LANGUAGES
-from lodestone.operators.context import file_context, with_context
+from lodestone.functions.regex import any_of
+from lodestone.operators import findings as relation
+from lodestone.operators import mybatis, onepass, spring, taint
+from lodestone.operators.context import TEST_PATHS, VENDOR_PATHS, with_context
 from lodestone.sources.rules import chosen
 
 
@@ -23,26 +24,18 @@ class Scan:
     skip_tests: bool = False
     skip_vendor: bool = True
     context_aware: bool = True
-    exact: bool = False
     engines: tuple[str, ...] = field(default=("rules", "dataflow", "spring", "mybatis", "frameworks", "languages", "iac"))
 
     def raw(self, files: DataFrame, rules: DataFrame) -> DataFrame:
-        """Every engine's findings, before context and duplicates."""
-        per_file = files
-        if self.skip_vendor or self.skip_tests:
-            context = file_context(files)
-            out = (F.col("is_vendor") & F.lit(self.skip_vendor)) | (F.col("is_test") & F.lit(self.skip_tests))
-            per_file = files.join(context.filter(out).select("path"), "path", "left_anti")
-        parts = {
-            "rules": lambda: [patterns.match_rules(per_file, chosen(rules, self.languages, self.tags, self.severity_min), self.context_aware, exact=self.exact)],
-            "dataflow": lambda: [taint.findings(files)],
-            "spring": lambda: [spring.findings(files)],
-            "mybatis": lambda: [mybatis.findings(files)],
-            "frameworks": lambda: [checks.framework_checks(files, f) for f, (_, table) in FRAMEWORKS.items() if table],
-            "languages": lambda: [checks.language_checks(files, x) for x in LANGUAGES],
-            "iac": lambda: [checks.iac_checks(files, x) for x in ("terraform", "kubernetes", "dockerfile", "cloudformation")],
-        }
-        return relation.union_all(*[p for e in self.engines for p in parts[e]()])
+        """Every engine's findings, before context and duplicates; rules pass over vendored and, on demand, test files."""
+        wanted = chosen(rules, self.languages, self.tags, self.severity_min)
+        left_out = (any_of(F.col("path"), VENDOR_PATHS) & F.lit(self.skip_vendor)) | (any_of(F.col("path"), TEST_PATHS) & F.lit(self.skip_tests))
+        marked = files.withColumn("plain", ~left_out)
+        parts = [onepass.scan(marked, wanted, self.engines, self.context_aware)]
+        for name, engine in (("dataflow", taint), ("spring", spring), ("mybatis", mybatis)):
+            if name in self.engines:
+                parts.append(engine.findings(files))
+        return relation.union_all(*parts)
 
     def run(self, files: DataFrame, rules: DataFrame) -> DataFrame:
         found = self.raw(files, rules)
