@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.regex import java, matches
 from lodestone.functions.text import class_guess
+from lodestone.operators.lineage import cut
 
 # Headers of classes and methods, calls, and words that only look like them.
 CLASS = java(r"\b(?:class|interface|enum)\s+(\w+)")
@@ -89,13 +90,13 @@ def reached(graph: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, reverse
     visited table is checkpointed, so plans stay short.
     """
     a, b = ("callee_uid", "caller_uid") if reverse else ("caller_uid", "callee_uid")
-    links = graph.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    links = cut(graph.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     seen = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"))
     frontier = seen
     for k in range(1, depth + 1):
         step = frontier.join(links, "node").select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         new = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("depth"), "path")
-        frontier = new.checkpoint() if graph.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        frontier = cut(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -127,6 +128,3 @@ def calling(graph: DataFrame, uid: str, reverse: bool = False) -> DataFrame:
     a, b = ("callee_uid", "caller_uid") if reverse else ("caller_uid", "callee_uid")
     return graph.filter(F.col(a) == uid).select(F.col(b).alias("uid")).distinct()
 
-
-def contains_any(text: Column, words: Column) -> Column:
-    return F.exists(words, lambda w: text.contains(w))

@@ -61,8 +61,8 @@ def framework(path: Column, content: Column) -> Column:
     )
 
 
-def file_context(files: DataFrame) -> DataFrame:
-    """One row per file: test, example, configuration, generated, vendor, language and framework."""
+def file_context(files: DataFrame, *keep: str) -> DataFrame:
+    """One row per file: test, example, configuration, generated, vendor, language and framework, and columns to keep."""
     path, content = F.col("path"), F.coalesce(F.col("content"), F.lit(""))
     return files.select(
         "path",
@@ -73,6 +73,7 @@ def file_context(files: DataFrame) -> DataFrame:
         any_of(path, VENDOR_PATHS).alias("is_vendor"),
         mapped(suffix(path), CONTEXT_LANGUAGES, "unknown").alias("language"),
         framework(F.lower(path), content).alias("framework"),
+        *keep,
     )
 
 
@@ -97,11 +98,10 @@ def doubtful(around: Column) -> Column:
 def with_context(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings less the doubtful ones, with confidence lowered in tests and examples.
 
-    Findings join their file's path flags and the text once; only files with
-    findings are read for it.
+    Findings join their file's path flags and its text, once.
     """
     flags = ["is_test", "is_example", "is_generated", "is_vendor"]
-    context = file_context(files).join(files.select("path", "content"), "path").withColumnRenamed("path", "file_path")
+    context = file_context(files, "content").withColumnRenamed("path", "file_path")
     joined = findings.join(context, "file_path", "left").fillna({f: False for f in flags} | {"language": "unknown", "content": ""})
     lines = F.split("content", "\n", -1)
     first = F.greatest(F.col("line_number") - 3, F.lit(1))

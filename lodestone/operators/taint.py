@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.regex import java
 from lodestone.operators.callgraph import calls, containing, methods, resolved
 from lodestone.operators.findings import shaped
+from lodestone.operators.lineage import cut
 
 # Patterns of sources and sinks, and the grades of what they make.
 JAVA_SOURCES = {
@@ -77,16 +78,16 @@ def propagated(seeds: DataFrame, sites: DataFrame, rounds: int = 20) -> DataFram
     position, named param_0 and so on, once, by the shortest and then least
     path.  Rounds end when nothing is new.
     """
-    known = seeds.select("uid", "var", "source_type", "source_loc", "path")
+    known = cut(seeds.select("uid", "var", "source_type", "source_loc", "path"))
     frontier = known
-    arguments = sites.select(F.col("caller_uid").alias("uid"), "callee_uid", F.posexplode("args").alias("k", "arg"))
+    arguments = cut(sites.select(F.col("caller_uid").alias("uid"), "callee_uid", F.posexplode("args").alias("k", "arg")))
     for _ in range(rounds):
         step = frontier.join(arguments, "uid").filter(F.col("arg").contains(F.col("var")))
         link = F.concat(F.col("uid"), F.lit(" -> "), F.col("callee_uid"))
         step = step.select(F.col("callee_uid").alias("uid"), F.concat(F.lit("param_"), F.col("k").cast("string")).alias("var"), "source_type", "source_loc", F.concat("path", F.array(link)).alias("path"))
         best = step.groupBy("uid", "var").agg(F.min(F.struct(F.size("path").alias("n"), "path", "source_type", "source_loc")).alias("b"))
         new = best.join(known.select("uid", "var").distinct(), ["uid", "var"], "left_anti").select("uid", "var", "b.source_type", "b.source_loc", "b.path")
-        frontier = new.checkpoint() if seeds.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        frontier = cut(new)
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
@@ -103,8 +104,8 @@ def flows(tainted: DataFrame, reached: DataFrame) -> DataFrame:
 
 def findings(files: DataFrame) -> DataFrame:
     """DATAFLOW findings of the files."""
-    found = methods(files)
-    sites = calls(files, found)
+    found = cut(methods(files))
+    sites = cut(calls(files, found))
     links = sites.join(resolved(sites, found), "call_id").select("caller_uid", "callee_uid", "args")
     given = containing(sources(files), found).filter("uid IS NOT NULL")
     seeds = given.select("uid", "var", "source_type", F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("source_loc"), F.array().cast("array<string>").alias("path"))
