@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.regex import java, matches
-from lodestone.operators import callgraph, checks, enrich, lattice, mybatis, onepass, patterns, priority, spring, taint
+from lodestone.operators import callgraph, checks, enrich, impact, lattice, mybatis, onepass, patterns, priority, spring, taint
 from lodestone.operators import context as ctx
 from lodestone.operators import findings as relation
 from lodestone.operators.check_tables import ANGULAR, CLOUDFORMATION, DJANGO, FLASK, FRAMEWORKS, LANGUAGES, REACT, VUE
@@ -323,6 +323,16 @@ def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priority.running_cost(_findings(spark, sf_dir), "file_path", *_TIES[1:]).select("file_path", "match_no", "engine_seq", "rule_ord", "running_cost")
 
 
+def impact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.when(F.col("rule_id") == "LOG-001", F.array(F.lit("app-config"))).otherwise(F.array().cast("array<string>"))
+    return impact.with_impact(_findings(spark, sf_dir).withColumn("tags", tags)).groupBy("rule_id", "severity", "impact").agg(F.count(F.lit(1)).alias("n"))
+
+
+IMPACT_SQL = f"""
+SELECT rule_id, severity, CASE {" ".join(f"WHEN cwe = {S.quoted(k)} THEN {S.quoted(v)}" for k, v in impact.BY_CWE.items())}
+       WHEN rule_id = 'LOG-001' THEN {S.quoted(impact.BY_TAG["config"])} END AS impact, count(*) AS n FROM ({S.FINDINGS}) GROUP BY ALL"""
+
+
 # --- graphs, taint and the lattice
 
 
@@ -447,7 +457,7 @@ def queries() -> dict[str, Query]:
         "framework_gate": framework_gate, "spring_lines": spring_lines, "spring_endpoints": on_corpus(spring.endpoints), "spring_findings": lambda s, d: spring.findings(_corpus(s)).select(*CHECK_COLUMNS),
         "mybatis_statements": lambda s, d: mybatis.statements(_corpus(s)).drop("content"), "mybatis_findings": lambda s, d: mybatis.findings(_corpus(s)).select(*CHECK_COLUMNS), "mybatis_stats": on_corpus(mybatis.statistics),
         "iac_resources": iac_resources, "dedupe_first": dedupe_first, "severity_summary": over(relation.summary), "affected_files": over(relation.affected_files), "top_categories": over(relation.top_categories),
-        "conditional_counts": conditional_counts, "exit_code": over(relation.exit_code), "csv_projection": csv_projection, "sarif_rules": sarif_rules, "result_filters": result_filters, "changed_files_semi": changed_files,
+        "conditional_counts": conditional_counts, "exit_code": over(relation.exit_code), "impact_lookup": impact_lookup, "csv_projection": csv_projection, "sarif_rules": sarif_rules, "result_filters": result_filters, "changed_files_semi": changed_files,
         "prioritize": prioritize, "top_n": top_n, "risk_groups": over(priority.risk_groups), "budget_prefix": budget_prefix, "running_cost": running_cost, "cost_estimate": over(priority.cost),
         "containing_method_asof": asof_methods, "call_chains": call_chains, "superclass_chain": superclass_chain, "taint_propagation": taint_propagation, "lattice_join": lattice_join,
         "methods": on_corpus(callgraph.methods), "calls": lambda s, d: callgraph.calls(_corpus(s), callgraph.methods(_corpus(s))), "taint_findings": lambda s, d: taint.findings(_corpus(s)).select(*CHECK_COLUMNS),
@@ -469,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
         "top_categories": f"SELECT string_split(rule_id, '-')[1] AS category, count(*) AS n FROM ({f}) GROUP BY 1 ORDER BY n DESC, category LIMIT 8",
         "conditional_counts": f"SELECT severity, count(*) AS total, count(*) FILTER (file_path IN ('src/f1.java', 'src/f2.java')) AS matching FROM ({f}) GROUP BY 1",
         "exit_code": f"SELECT CASE max({S.RANK}) WHEN 5 THEN 3 WHEN 4 THEN 2 ELSE CASE WHEN count(*) > 0 THEN 1 ELSE 0 END END AS exit_code FROM ({f})",
-        "csv_projection": CSV_SQL, "sarif_rules": SARIF_SQL,
+        "impact_lookup": IMPACT_SQL, "csv_projection": CSV_SQL, "sarif_rules": SARIF_SQL,
         "result_filters": f"SELECT rule_id, severity, confidence, line_number, match_no, engine_seq FROM ({f}) WHERE {S.RANK} >= 4 AND confidence IN ('high', 'medium') AND cwe = 'CWE-89' AND file_path = 'src/f7.java'",
         "changed_files_semi": f"SELECT file_path, severity, count(*) AS n FROM ({f}) WHERE file_path IN ('src/f3.java', 'src/f4.java') GROUP BY 1, 2",
         "prioritize": f"SELECT severity, owasp, cwe, count(*) AS n, max(priority_score) AS priority_score, max(risk_level) AS risk_level FROM ({PRIORITY_SQL}) GROUP BY 1, 2, 3",
