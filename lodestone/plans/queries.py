@@ -507,9 +507,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likely secrets in documents: the first finding per rule, file and line, most severe first."""
-    found = onepass.scan(_paths(spark, sf_dir), _rules(spark).filter("enabled"), ("rules",))
-    secrets = secret_matches(spark, sf_dir).filter(T.likely_secret(T.assigned_value(F.col("matched"))))
-    rows = relation.shaped(secrets, engine="secret", engine_seq=2, rule_id="SECRET-000", rule_name="Secret in a document", severity="high", confidence="medium", file_path=F.col("path"), snippet=F.left("matched", F.lit(200)))
-    return relation.ordered(relation.deduplicated(rows.unionByName(found))).select("rule_id", "severity", "file_path", "line_number", "snippet")
-
+    """Findings of rules in documents and the corpus: the first per rule, file and line, most severe first."""
+    secret = {"id": "SECRET-200", "name": "Secret in text", "severity": "high", "tags": ["secret"], "detection": {"patterns": [SECRET]}}
+    table = rules.from_rows(spark, [*corpus.RULES, secret])
+    source = _paths(spark, sf_dir).unionByName(_corpus(spark))
+    found = relation.deduplicated(onepass.scan(source, table.filter("enabled"), ("rules",)))
+    return relation.ordered(found).select("rule_id", "severity", "file_path", "line_number", "snippet")
