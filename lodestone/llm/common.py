@@ -7,6 +7,7 @@ sees them, so a lost executor costs a re-read and not a re-computation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -54,6 +55,12 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of results that nothing refers to any more, between large steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts holds: 2,000 rows or 32 MB, whichever is less."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -29,6 +29,7 @@ class WaveletMatrix:
             zeros = n - int(ones.sum())
             self.levels.append((words, before, zeros, k))
             symbols = np.concatenate((symbols[~ones], symbols[ones]))
+        self.starts = self._down(np.arange(alphabet), np.zeros(alphabet, np.int64))
 
     @staticmethod
     def _ones(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -36,17 +37,17 @@ class WaveletMatrix:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return before[block] + np.bitwise_count(words[block] & mask)
 
+    def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where position i comes to stand on the way down to symbol c."""
+        for words, before, zeros, k in self.levels:
+            ones = self._ones(words, before, i)
+            i = np.where((c >> k) & 1 == 1, zeros + ones, i - ones)
+        return i
+
     def ranks(self, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """rank(c, left) and rank(c, right)."""
-        start = np.zeros(len(c), np.int64)
-        for words, before, zeros, k in self.levels:
-            one = (c >> k) & 1 == 1
-            ends = []
-            for i in (start, left, right):
-                ones = self._ones(words, before, i)
-                ends.append(np.where(one, zeros + ones, i - ones))
-            start, left, right = ends
-        return left - start, right - start
+        start = self.starts[c]
+        return self._down(c, left) - start, self._down(c, right) - start
 
 
 class FMIndex:

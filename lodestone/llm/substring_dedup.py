@@ -2,9 +2,9 @@
 
 Shards are cut by content, so that a passage meets all its copies in one
 shard and the work grows with the corpus and not with its square: every window
-of words has a minimizer (its smallest 5-gram hash), consecutive windows with
-the same minimizers are a segment, and equal windows are in segments of equal
-minimizers wherever they stand.
+of words has a minimizer (the smallest hash of its runs of GRAM_WORDS words),
+consecutive windows with the same one are a segment, and equal windows are in
+segments of equal minimizers wherever they stand.
 
 1. Minimizers that only one document holds can repeat nowhere else; the others
    are found by a pre-aggregated (least id, greatest id) per minimizer, and
@@ -18,8 +18,8 @@ minimizers wherever they stand.
 4. Each document's segments look up their windows' first documents; windows
    first seen in a smaller id are spans to remove.
 
-Two minimizers under different hashes name a segment, ten words of a thirteen
-word window in most cases, so that a frequent phrase is not a hot shard.
+A minimizer names eight of a window's thirteen words, so that a frequent
+phrase is not a hot shard.
 
 Defined cases: null and empty texts have no words; a null id neither removes
 nor is removed from; rows repeated with one id do not remove each other; an
@@ -36,17 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, quoted, small_batches, text_or_empty, texts_of, written
+from .common import map_arrow, quoted, release, small_batches, text_or_empty, texts_of, written
 from .fm_index import FMIndex
 from .winnow import bitmap, gram_hashes, hash_words, in_bitmap, merged
 
 WINDOW_WORDS = 13
-GRAM_WORDS = 5
+GRAM_WORDS = 8
 #: Words of one FM-index, a few more where one key's segments end.
 SHARD_WORDS = 400_000
 #: Bits of the bitmap of minimizers that documents share (8 MB).
 BITMAP_BITS = 1 << 26
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def minimizers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -63,19 +62,15 @@ def minimizers(grams: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def segments(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first minimizer, key of both, first word, end word) of a text's segments."""
+def segments(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first word, end word) of a text's segments."""
     if len(words) < window:
         empty = np.empty(0, np.int64)
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty.view(np.uint64), empty, empty
     grams = gram_hashes(hash_words(words), gram)
-    one = minimizers(grams, window - gram + 1)
-    other = (grams ^ _SECOND) * _SECOND
-    two = minimizers(other, window - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-    end = np.append(first[1:], len(one)) + window - 1
-    m = grams[one[first]]
-    return m, (m * _SECOND) ^ other[two[first]], first, end
+    at = minimizers(grams, window - gram + 1)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return grams[at[first]], first, np.append(first[1:], len(at)) + window - 1
 
 
 def shared_minimizers(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -153,13 +148,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.filter(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("__id"), F.xxhash64(text).alias("__content"), text.alias("t"))
     shared = bitmap(shared_minimizers(rows, window, gram), "m", BITMAP_BITS)
     sieve = docs.sparkSession.sparkContext.broadcast(shared)
+    release(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, keys, hashes, firsts, texts = [], [], [], [], []
         for i, t in enumerate(texts_of(batch.column(2))):
             words = t.split()
-            m, key, first, end = segments(words, window, gram)
-            passed = in_bitmap(m, sieve.value)
+            key, first, end = segments(words, window, gram)
+            passed = in_bitmap(key, sieve.value)
             for k, a, b in zip(key[passed].view(np.int64).tolist(), first[passed].tolist(), end[passed].tolist(), strict=True):
                 text = b" ".join(words[a:b])
                 row.append(i)
@@ -173,6 +169,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurrences = written(map_arrow(rows, cut, "__id long, __content long, key long, h long, first int, segment binary"), "substring-segments")
     distinct = occurrences.groupBy("key", "h", "segment").agg(F.min("__id").alias("least"))
     indexed = written(_first_documents(distinct, window, shard_words), "substring-index")
+    release(docs.sparkSession)
 
     def spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, firsts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -196,7 +193,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row: kept is what is left of the words, joined by one space."""
-    spans = written(repeated_spans(docs, id_col, text_col, **options), "substring-spans").withColumnsRenamed({"__id": "__i", "__content": "__c"})
+    spans = written(repeated_spans(docs, id_col, text_col, **options), "substring-spans")
+    release(docs.sparkSession)
+    spans = spans.withColumnsRenamed({"__id": "__i", "__content": "__c"})
     text = text_or_empty(quoted(text_col))
     rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(text).alias("__content"), text.alias("t"))
     joined = rows.join(spans, (F.col("__id").cast("long") == F.col("__i")) & (F.col("__content") == F.col("__c")), "left").select("__id", "t", "spans")
