@@ -57,10 +57,13 @@ def test_plans_are_gapless_and_near_the_bound(counts):
             assert offset == at
             at += n
         assert at <= 64
-    if counts:
-        total = sum(n * c for n, c in counts.items())
-        large = sum(c for n, c in counts.items() if n > 32)
-        assert len(bins) <= 1.25 * max(-(-total // 64), large) + 2
+    gaps = []  # best fit decreasing, one piece after another
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        at = min((g for g in gaps if g >= n), default=None)
+        if at is not None:
+            gaps.remove(at)
+        gaps.append((64 if at is None else at) - n)
+    assert len(bins) <= 1.15 * len(gaps) + 2
 
 
 def test_pack(docs, rows):
