@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ CALL = java(r"(?:([\w.]+)\.)?\b(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized", "def", "class", "print", "super", "this")
 #: A walk's longest chain.
 MAX_DEPTH = 10
+#: Rounds after which the tables they have added are made one.
+CUT_ROUNDS = 16
 
 
 def methods(files: DataFrame) -> DataFrame:
@@ -83,23 +87,26 @@ def edges(links: DataFrame) -> DataFrame:
     return links.select("caller_uid", "callee_uid").distinct()
 
 
-def reached(graph: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, reverse: bool = False) -> DataFrame:
+def reached(graph: DataFrame, starts: DataFrame, depth: int | None = MAX_DEPTH, reverse: bool = False) -> DataFrame:
     """(start, node, depth, path): every node a start reaches, by its first visit: the least depth, then the least path.
 
     Each step joins the frontier to the edges and drops what was visited; the
-    visited table is checkpointed, so plans stay short.
+    visited table is checkpointed, so plans stay short.  Without a depth the
+    walk ends when nothing is new.
     """
     a, b = ("callee_uid", "caller_uid") if reverse else ("caller_uid", "callee_uid")
     links = cut(graph.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     seen = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"))
     frontier = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(links, "node").select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         new = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("depth"), "path")
         frontier = cut(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if k % CUT_ROUNDS == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -113,8 +120,8 @@ def chains(graph: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, reverse:
 
 
 def superclasses(hierarchy: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, depth, path) up a (child, parent) table."""
-    return reached(hierarchy.select(F.col("child").alias("caller_uid"), F.col("parent").alias("callee_uid")), starts).filter("depth > 0")
+    """(start, node, depth, path) up a (child, parent) table, to the root."""
+    return reached(hierarchy.select(F.col("child").alias("caller_uid"), F.col("parent").alias("callee_uid")), starts, None).filter("depth > 0")
 
 
 def stats(found: DataFrame, graph: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.regex import java
-from lodestone.operators.callgraph import calls, containing, methods, resolved
+from lodestone.operators.callgraph import CUT_ROUNDS, calls, containing, methods, resolved
 from lodestone.operators.findings import shaped
 from lodestone.operators.lineage import cut
 
@@ -70,7 +72,7 @@ def sinks(files: DataFrame) -> DataFrame:
     return rows.select("file_path", "line", F.explode(F.concat(*hit)).alias("sink_type"), F.trim("text").alias("sink_code"), near.alias("near"))
 
 
-def propagated(seeds: DataFrame, sites: DataFrame, rounds: int = 20) -> DataFrame:
+def propagated(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     """(uid, var, source_type, source_loc, path) of tainted values: seeds, and the parameters that tainted arguments reach.
 
     seeds: the same columns.  sites: (caller_uid, callee_uid, args).  A value
@@ -81,7 +83,7 @@ def propagated(seeds: DataFrame, sites: DataFrame, rounds: int = 20) -> DataFram
     known = cut(seeds.select("uid", "var", "source_type", "source_loc", "path"))
     frontier = known
     arguments = cut(sites.select(F.col("caller_uid").alias("uid"), "callee_uid", F.posexplode("args").alias("k", "arg")))
-    for _ in range(rounds):
+    for k in count(1):
         step = frontier.join(arguments, "uid").filter(F.col("arg").contains(F.col("var")))
         link = F.concat(F.col("uid"), F.lit(" -> "), F.col("callee_uid"))
         step = step.select(F.col("callee_uid").alias("uid"), F.concat(F.lit("param_"), F.col("k").cast("string")).alias("var"), "source_type", "source_loc", F.concat("path", F.array(link)).alias("path"))
@@ -91,6 +93,8 @@ def propagated(seeds: DataFrame, sites: DataFrame, rounds: int = 20) -> DataFram
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if k % CUT_ROUNDS == 0:
+            known = cut(known)
     return known
 
 
