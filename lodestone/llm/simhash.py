@@ -230,16 +230,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each component, the one with its smallest id (of rows repeated with that id, one)."""
+    base = without(docs, "__id", "__content")
+    found = near_duplicates(base, id_col, text_col, **options).withColumnRenamed(id_col, "__id")
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    return keep_least(docs, base, found.select("__id", "__content", group.alias("g")), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, base: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group, the one with its smallest id.
+
+    base: docs without columns named __id or __content; found: (__id,
+    __content, g) of all its rows.
+    """
     from .exact_dedup import drop_keys
 
     identity = {"__id": F.col(quoted(id_col)), "__content": F.xxhash64(text_or_empty(quoted(text_col)))}
-    base = without(docs, "__id", "__content")
-    found = near_duplicates(base, id_col, text_col, **options).withColumnRenamed(id_col, "__id")
     stays = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__content").alias("c")))
-    found = written(found.select("__id", "__content", "component_id", "fingerprint"), "simhash-found")
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    best = found.groupBy(group.alias("g")).agg(stays.alias("best"))
-    gone = found.withColumn("g", group).join(best, "g").filter("NOT (best.id <=> __id AND best.c = __content)").select("__id", "__content").distinct()
+    found = written(found, "simhash-found")
+    best = found.groupBy("g").agg(stays.alias("best"))
+    gone = found.join(best, "g").filter("NOT (best.id <=> __id AND best.c = __content)").select("__id", "__content").distinct()
     gone = written(gone, "simhash-dropped")
     kept = drop_keys(base.withColumns(identity), gone)
     repeats = written(found.groupBy("__id", "__content").count().filter("count > 1").select("__id", "__content"), "simhash-repeats")
