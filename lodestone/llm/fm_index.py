@@ -55,7 +55,7 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         self.depth, self.alphabet, n = depth, int(symbols.max(initial=0)) + 1, len(symbols)
-        ranks = {1: symbols.astype(np.int64)}
+        ranks = {1: symbols.astype(np.int64)}  # these go when the index is built
         length = 1
         while length < depth:  # ranks by twice as many symbols, or by as many more as are wanted
             more = min(length, depth - length)
@@ -85,7 +85,7 @@ class FMIndex:
                 i = np.flatnonzero(todo)
                 i = i[ranks[length][a[i] + shared[i]] == ranks[length][b[i] + shared[i]]]
                 shared[i] += length
-        return np.concatenate(([0], shared))
+        return np.concatenate(([0], shared)).astype(np.int8 if self.depth < 128 else np.int32)
 
     def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """For each place in suffix order, the interval of suffixes with the same first words."""
