@@ -10,6 +10,7 @@ the whole document.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,10 +68,17 @@ def step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return h + z * (c - h), z, r, c
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _surprise(x: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """The summed negative log softmax of each row at one place, and its gradient; x is overwritten."""
+    if x.max() > 60:
+        x -= x.max(axis=1, keepdims=True)
+    rows = np.arange(len(at))
+    wanted = float(x[rows, at].sum(dtype=np.float64))
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x *= (1 / total)[:, None]
+    x[rows, at] -= 1
+    return float(np.log(total).sum(dtype=np.float64)) - wanted, x
 
 
 def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -83,21 +91,29 @@ def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return wanted - np.log(x.sum(axis=1))
 
 
+def _by_class(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """An order by class, and for each class of several words (first row, end row, first word, end word)."""
+    order = np.argsort(classes, kind="stable")
+    edges = np.searchsorted(classes[order], np.arange(len(shape.bounds))).tolist()
+    bounds = shape.bounds.tolist()
+    parts = [(edges[k], edges[k + 1], bounds[k], bounds[k + 1]) for k in range(len(bounds) - 1)]
+    return order, [x for x in parts if x[0] < x[1] and x[3] - x[2] > 1]
+
+
 def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after each state."""
     classes = shape.class_of[targets]
     x = states @ p["to_class"]
     x += p["class_bias"]
     out = _log_of(x, classes)
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(len(shape.bounds)))
-    for k in range(len(shape.bounds) - 1):
-        rows = order[edges[k] : edges[k + 1]]
-        a, b = shape.bounds[k], shape.bounds[k + 1]
-        if len(rows) and b - a > 1:
-            x = states[rows] @ p["to_word"][a:b].T
-            x += p["word_bias"][a:b]
-            out[rows] += _log_of(x, targets[rows] - a)
+    order, parts = _by_class(shape, classes)
+    states, targets = states[order], targets[order]
+    inner = np.zeros(len(order), out.dtype)
+    for i, j, a, b in parts:
+        x = states[i:j] @ p["to_word"][a:b].T
+        x += p["word_bias"][a:b]
+        inner[i:j] = _log_of(x, targets[i:j] - a)
+    out[order] += inner
     return out
 
 
@@ -106,62 +122,57 @@ def loss_gradient(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.n
 
     resets: where a document begins; active: where there is a target.
     """
-    steps, n = len(inputs), shape.hidden
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    before, kept, states = [], [], []
+    (steps, width), n = inputs.shape, shape.hidden
+    g = {"input": np.zeros_like(p["input"])}
+    before, z, r, c, states = (np.empty((steps, width, n), state.dtype) for _ in range(5))
+    given, on = p["input"][inputs], ~resets[:, :, None]
     h = state
     for t in range(steps):
-        h = h * ~resets[t][:, None]
-        before.append(h)
-        h, z, r, c = step(p, inputs[t], h)
-        kept.append((z, r, c))
-        states.append(h)
-    flat, where = np.stack(states).reshape(-1, n), np.flatnonzero(active.ravel())
-    used, wanted = flat[where], targets.ravel()[where]
-    d_used = np.zeros_like(used)
-    classes = shape.class_of[wanted]
-    logp = _log_softmax(used @ p["to_class"] + p["class_bias"])
-    rows = np.arange(len(wanted))
-    loss = -float(logp[rows, classes].sum(dtype=np.float64))
-    d = np.exp(logp)
-    d[rows, classes] -= 1
-    g["to_class"] += used.T @ d
-    g["class_bias"] += d.sum(axis=0)
-    d_used += d @ p["to_class"].T
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(len(shape.bounds)))
-    for k in range(len(shape.bounds) - 1):
-        at = order[edges[k] : edges[k + 1]]
-        a, b = shape.bounds[k], shape.bounds[k + 1]
-        if len(at) and b - a > 1:
-            logp = _log_softmax(used[at] @ p["to_word"][a:b].T + p["word_bias"][a:b])
-            mine = np.arange(len(at))
-            loss -= float(logp[mine, wanted[at] - a].sum(dtype=np.float64))
-            d = np.exp(logp)
-            d[mine, wanted[at] - a] -= 1
-            g["to_word"][a:b] += d.T @ used[at]
-            g["word_bias"][a:b] += d.sum(axis=0)
-            d_used[at] += d @ p["to_word"][a:b]
+        before[t] = h = h * on[t]
+        gates = _sigmoid(given[t, :, : 2 * n] + h @ p["gates"])
+        z[t], r[t] = gates[:, :n], gates[:, n:]
+        c[t] = np.tanh(given[t, :, 2 * n :] + (r[t] * h) @ p["state"])
+        states[t] = h = h + z[t] * (c[t] - h)
+    flat, where = states.reshape(-1, n), np.flatnonzero(active.ravel())
+    wanted = targets.ravel()[where]
+    order, parts = _by_class(shape, shape.class_of[wanted])
+    where, wanted = where[order], wanted[order]
+    used = np.ones((len(where), n + 1), flat.dtype)  # the last column carries the biases
+    used[:, :n] = flat[where]
+    weights = np.concatenate((p["to_class"], p["class_bias"][None]))
+    loss, d = _surprise(used @ weights, shape.class_of[wanted])
+    both = used.T @ d
+    g["to_class"], g["class_bias"] = both[:n], both[n]
+    d_used = d @ weights[:n].T
+    weights = np.concatenate((p["to_word"], p["word_bias"][:, None]), axis=1)
+    both = np.zeros_like(weights)
+    for i, j, a, b in parts:
+        part, own = used[i:j], weights[a:b]
+        inner, d = _surprise(part @ own.T, wanted[i:j] - a)
+        loss += inner
+        both[a:b] = d.T @ part
+        d_used[i:j] += d @ own[:, :n]
+    g["to_word"], g["word_bias"] = np.ascontiguousarray(both[:, :n]), both[:, n].copy()
     d_states = np.zeros_like(flat)
     d_states[where] = d_used
     d_states = d_states.reshape(steps, -1, n)
-    d_given = np.empty((steps, state.shape[0], 3 * n), np.float32)
+    d_given = np.empty((steps, width, 3 * n), state.dtype)
     d_h = np.zeros_like(state)
+    back = p["gates"].T.copy(), p["state"].T.copy()
     for t in range(steps - 1, -1, -1):
-        h, (z, r, c) = before[t], kept[t]
         d_h = d_h + d_states[t]
-        d_c = d_h * z * (1 - c * c)
-        d_z = d_h * (c - h) * z * (1 - z)
-        d_rh = d_c @ p["state"].T
-        d_r = d_rh * h * r * (1 - r)
-        d_gates = np.concatenate((d_z, d_r), axis=1)
-        d_given[t, :, : 2 * n], d_given[t, :, 2 * n :] = d_gates, d_c
-        g["gates"] += h.T @ d_gates
-        g["state"] += (r * h).T @ d_c
-        d_h = (d_h * (1 - z) + d_rh * r + d_gates @ p["gates"].T) * ~resets[t][:, None]
+        d_c = d_h * z[t] * (1 - c[t] * c[t])
+        d_rh = d_c @ back[1]
+        d_given[t, :, :n] = d_h * (c[t] - before[t]) * z[t] * (1 - z[t])
+        d_given[t, :, n : 2 * n] = d_rh * before[t] * r[t] * (1 - r[t])
+        d_given[t, :, 2 * n :] = d_c
+        d_h = (d_h * (1 - z[t]) + d_rh * r[t] + d_given[t, :, : 2 * n] @ back[0]) * on[t]
+    d_given, before = d_given.reshape(-1, 3 * n), before.reshape(-1, n)
+    g["gates"] = before.T @ d_given[:, : 2 * n]
+    g["state"] = (r.reshape(-1, n) * before).T @ d_given[:, 2 * n :]
     order = np.argsort(inputs.ravel(), kind="stable")
     items, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["input"][items] = np.add.reduceat(d_given.reshape(-1, 3 * n)[order], first, axis=0)
+    g["input"][items] = np.add.reduceat(d_given[order], first, axis=0)
     return loss, g, states[-1]
 
 
@@ -200,17 +211,6 @@ class Unrolled:
                 self.owner[place] = i
                 at += n
 
-    def window(self, at: int, to: int) -> tuple[np.ndarray, ...]:
-        """(inputs, targets, resets, active) of steps at to to, each steps by the lanes active at first."""
-        shape = (min(to, self.steps) - at, int(self.width[at]))
-        active = np.arange(shape[1]) < self.width[at : at + shape[0], None]
-        part, out = slice(int(self.first[at]), int(self.first[at + shape[0]])), []
-        for flat in (self.inputs, self.targets, self.resets):
-            full = np.zeros(shape, flat.dtype)
-            full[active] = flat[part]
-            out.append(full)
-        return (*out, active)
-
 
 def score(p: Parameters, shape: Shape, documents: list[np.ndarray], start: int, lanes: int = 512, window: int = 16) -> np.ndarray:
     """Natural log probability of each document (item numbers, end included), its state carried through all of it."""
@@ -237,30 +237,93 @@ def score(p: Parameters, shape: Shape, documents: list[np.ndarray], start: int,
 
 
 class Trainer:
-    """Adam over truncated back-propagation; documents are taken as they come."""
+    """Adam over truncated back-propagation, on documents as they come.
 
-    def __init__(self, parameters: Parameters, shape: Shape, start: int, rate: float = 0.01, lanes: int = 64, window: int = 16):
+    Every document goes whole to the lane that has least before it; lanes are
+    streams of documents, and a window takes the next steps of all of them.
+    As each document ends with the end item, that is also the first input of
+    the next, and where the state begins anew.
+    """
+
+    def __init__(self, parameters: Parameters, shape: Shape, end: int, rate: float = 0.01, lanes: int = 256, window: int = 16, least: int = 1024):
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.shape, self.start, self.rate, self.lanes, self.window = shape, start, rate, lanes, window
+        self.shape, self.end, self.rate, self.window, self.least = shape, end, rate, window, least
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.steps = self.tokens = 0
         self.loss = 0.0
+        self.lanes: list[deque[np.ndarray]] = [deque() for _ in range(lanes)]
+        self.given = [(0, i) for i in range(lanes)]  # a heap by all that a lane was given
+        self.taken = 0  # of each lane
+        self.state = np.zeros((lanes, shape.hidden), np.float32)
+        self.last = np.full(lanes, end, np.int32)
+        self.waiting: tuple[int, Parameters] | None = None
+
+    def add(self, document: np.ndarray) -> None:
+        """Train on a document (item numbers, end included), now or when all lanes have as much."""
+        given, lane = self.given[0]
+        self.lanes[lane].append(document)
+        heapq.heapreplace(self.given, (given + len(document), lane))
+        block = 8 * self.window
+        while self.given[0][0] - self.taken >= block:
+            targets = np.stack([self._next(lane, block) for lane in self.lanes], axis=1)
+            self.taken += block
+            inputs = np.concatenate((self.last[None], targets[:-1]))
+            self.last = targets[-1]
+            for at in range(0, block, self.window):
+                self._learn(inputs[at : at + self.window], targets[at : at + self.window], np.ones((self.window, len(self.lanes)), bool))
 
-    def learn(self, documents: list[np.ndarray]) -> None:
-        if not documents:
-            return
-        u = Unrolled(documents, self.start, self.lanes)
-        h = np.zeros((int(u.width[0]), self.shape.hidden), np.float32)
-        for at in range(0, u.steps, self.window):
-            inputs, targets, resets, active = u.window(at, at + self.window)
-            loss, g, h = loss_gradient(self.p, self.shape, inputs, targets, resets, h[: inputs.shape[1]], active)
-            count = int(active.sum())
-            self.loss += loss
-            self.tokens += count
-            self._update(g, count)
-
-    def _update(self, g: Parameters, count: int) -> None:
+    @staticmethod
+    def _next(lane: deque[np.ndarray], most: int) -> np.ndarray:
+        """Up to so many items of a lane, which it loses."""
+        parts, size = [], 0
+        while lane and size < most:
+            part = lane.popleft()
+            if len(part) > most - size:
+                lane.appendleft(part[most - size :])
+                part = part[: most - size]
+            parts.append(part)
+            size += len(part)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def finish(self) -> None:
+        """Train on what the lanes still hold, the longest first, so that the active ones stay together."""
+        rest = [np.concatenate(lane) if lane else np.empty(0, np.int32) for lane in self.lanes]
+        order = sorted(range(len(rest)), key=lambda i: -len(rest[i]))
+        lengths = np.array([len(rest[i]) for i in order])
+        self.state, self.last = self.state[order], self.last[order]
+        at = 0
+        while at < lengths[0]:
+            width = int(np.searchsorted(-lengths, -at))
+            size = min(self.window * max(1, min(8, 64 // width)), int(lengths[0]) - at)  # few lanes take longer windows
+            targets = np.full((size, width), self.end, np.int32)
+            for k in range(width):
+                part = rest[order[k]][at : at + size]
+                targets[: len(part), k] = part
+            inputs = np.concatenate((self.last[None, :width], targets[:-1]))
+            self.state, self.last = self.state[:width], targets[-1]
+            self._learn(inputs, targets, np.arange(at, at + size)[:, None] < lengths[:width])
+            at += size
+        if self.waiting:
+            self._update(*self.waiting)
+        self.lanes, self.waiting = [], None
+
+    def _learn(self, inputs: np.ndarray, targets: np.ndarray, active: np.ndarray) -> None:
+        loss, g, self.state = loss_gradient(self.p, self.shape, inputs, targets, inputs == self.end, self.state, active)
+        count = int(active.sum())
+        self.loss += loss
+        self.tokens += count
+        if self.waiting:  # few lanes are left: several windows make one step
+            count += self.waiting[0]
+            for k, v in self.waiting[1].items():
+                g[k] += v
+        self.waiting = None
+        if count >= self.least:
+            self._update(count, g)
+        else:
+            self.waiting = count, g
+
+    def _update(self, count: int, g: Parameters) -> None:
         self.steps += 1
         a, b = 0.9, 0.99
         scale = self.rate * np.sqrt(1 - b**self.steps) / (1 - a**self.steps)

@@ -8,8 +8,9 @@ Three things are learned from the training rows, all distributed:
   probability times its own add-one share of the rarer words' counts, and an
   unknown word the share of a count of zero, as in the base score;
 * in ``rounds`` rounds every task trains from the same parameters on its own
-  documents, a fixed share of each document's words per round, and parameters
-  are averaged by words trained on.  Training grows with the corpus.
+  documents, and parameters are averaged by words trained on.  Each round takes
+  one of ``parts`` of the documents, whole, so that every training word is
+  trained on, after its true predecessors.  Training grows with the corpus.
 
 The counts that reach every task are those of at most ``known_words`` words (a
 bound of about 40 MB); words beyond it meet their counts in an equality join
@@ -35,21 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import discard, quoted, remainder, small_batches, text_or_empty, texts_of, written
+from .common import discard, quoted, remainder, small_batches, text_or_empty, texts_of, tidy, written
 
 VOCABULARY = 4094
 KNOWN_WORDS = 262_144
 HIDDEN = 16
-CLASSES = 64
+CLASSES = 48
 ROUNDS = 2
-#: Of each training document, one part in so many is trained on in a round.
-PARTS = 12
+#: Documents are dealt into so many parts, of which each round trains on one: every word once.
+PARTS = 2
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 #: Parameter sets that one task, or at last the driver, adds up.
 AT_ONCE = 16
 #: Tokens that go through the network side by side in one task.
-SIDE_BY_SIDE = 1_500_000
+SIDE_BY_SIDE = 3_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -75,7 +76,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return written(texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
+    return written(texts.mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[pa.Array, np.ndarray]:
@@ -109,7 +110,7 @@ def _averaged(trained: DataFrame, size: int) -> np.ndarray | None:
     count = rows.count()
     while count > AT_ONCE:
         count = -(-count // AT_ONCE)
-        fewer = written(rows.repartition(count).mapInArrow(add, "tokens long, data binary"), "lm-trained")
+        fewer = written(rows.repartition(count).mapInArrow(tidy(add), "tokens long, data binary"), "lm-trained")
         discard(rows)
         rows = fewer
     weight, total = 0, np.zeros(size)
@@ -119,33 +120,40 @@ def _averaged(trained: DataFrame, size: int) -> np.ndarray | None:
     return total / weight if weight else None
 
 
-def _train(texts: DataFrame, items: dict[bytes, int], shape: gru.Shape, start: int, rare: int, parameters: gru.Parameters, part: int, parts: int) -> gru.Parameters:
-    """One round: every task trains on one part of each of its documents; the results' average."""
+def _train(texts: DataFrame, items: dict[bytes, int], shape: gru.Shape, end: int, rare: int, parameters: gru.Parameters) -> gru.Parameters:
+    """One round: every task trains on all words of its documents; the results' average."""
     given = texts.sparkSession.sparkContext.broadcast((items, shape, parameters))
     size = sum(v.size for v in parameters.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, shape, parameters = given.value
-        trainer = gru.Trainer(parameters, shape, start)
-        held, number = [], 0
+        trainer = gru.Trainer(parameters, shape, end)
+        held: list[np.ndarray] = []
+
+        def learn() -> None:
+            """The longest first: the last ones to end are then about as long as the others."""
+            held.sort(key=len, reverse=True)
+            for ids in held:
+                trainer.add(ids)
+            held.clear()
 
+        size = 0
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 words = words_of(text)
-                n = len(words) + 1
-                length = -(-n // parts)
-                at = min((number + part) % parts * length, n - 1)
-                number += 1
-                ids = np.fromiter(map(items.get, words[at : at + length], repeat(rare)), np.int32)
-                held.append(np.append(ids, np.int32(start)) if at + length >= n else ids)
-                if len(held) >= 2048:
-                    trainer.learn([x for x in held if len(x)])
-                    held = []
-        trainer.learn([x for x in held if len(x)])
+                ids = np.full(len(words) + 1, end, np.int32)
+                ids[:-1] = np.fromiter(map(items.get, words, repeat(rare)), np.int32, len(words))
+                held.append(ids)
+                size += len(ids)
+            if size > SIDE_BY_SIDE:
+                learn()
+                size = 0
+        learn()
+        trainer.finish()
         if trainer.tokens:
             yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([gru.packed(trainer.p)], pa.binary())], ["tokens", "data"])
 
-    mean = _averaged(texts.mapInArrow(run, "tokens long, data binary"), size)
+    mean = _averaged(texts.mapInArrow(tidy(run), "tokens long, data binary"), size)
     given.unpersist()
     return parameters if mean is None else gru.unpacked(mean, parameters)
 
@@ -158,6 +166,8 @@ def lm_scores(
 
     base_score: log10 probability by add-one word counts; score: by the model.
     """
+    if parts > rounds:
+        raise ValueError("parts must not be more than rounds: every training word is trained on")
     spark = docs.sparkSession
     small_batches(spark)
     rest = remainder(id_col, modulus)
@@ -180,7 +190,8 @@ def lm_scores(
     parameters = gru.initial(shape)
     if ends:
         for k in range(rounds):
-            parameters = _train(training, items, shape, end, rare, parameters, k, parts)
+            part = training.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k % parts)
+            parameters = _train(part, items, shape, end, rare, parameters)
     # training texts hold no unknown word; the rarer words' item gets the add-one mass of its words and of one unknown
     parameters["class_bias"][shape.class_of[rare]] += np.float32(math.log((rare_n + rare_v + 1) / (rare_n + 1)))
 
@@ -239,7 +250,7 @@ def lm_scores(
             yield from out()
 
     schema = f"__id {kind}, held boolean, n_tokens long, known long, logs double, n_rare long, rare_logs double, tail array<struct<word:binary,n:long>>, model double"
-    scored = written(rows.mapInArrow(score, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
+    scored = written(rows.mapInArrow(tidy(score), schema).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("__row", F.explode("tail").alias("x")).select("__row", "x.word", "x.n").join(counts, "word")
     per_row = tail.groupBy("__row").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_logs"))
     joined = scored.drop("tail").join(per_row, "__row", "left").fillna({"tail_known": 0, "tail_logs": 0.0})
