@@ -4,9 +4,11 @@ Rows are grouped by the length of their normal form, rows of a shared length
 by a hash of its first characters, and only rows whose (length, prefix) is
 shared have their full content hashed.  What is shuffled is a few bytes a row,
 never a text; the keys that survive the prefix level go back to the text scan
-by a broadcast when they are counted to be few, else by a shuffle join whose
-hot keys adaptive execution splits.  Group summaries are pre-aggregated before
-their shuffle, so a group with a third of all rows is one small row a task.
+by a broadcast when they are counted to be few, else by a shuffle join.  Group
+summaries are pre-aggregated before their shuffle, so a group with a third of
+all rows is one small row a task, and written before they are joined back, so
+that adaptive execution can split a hot group's rows (it does not split a join
+with an aggregate of the same stage).
 
 Defined cases: a null text counts as empty; texts of white space only are
 equal to each other; a null id loses ties to any id; of rows repeated with the
@@ -63,7 +65,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(shared)
     suspects = rows.filter("__hash IS NOT NULL")
     best = F.struct((-F.col("__chars")).alias("c"), F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    summary = suspects.groupBy("__hash").agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("__size"))
+    # a table of its own: both sides of the join are plain shuffles then, of which a hot group's can be split
+    summary = written(suspects.groupBy("__hash").agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("__size")), "dedup-groups-summary")
     joined = suspects.join(summary, "__hash").select("__carried", F.col("__best.id").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("__best.row") == F.col("__row")).alias("kept"))
     alone = rows.filter("__hash IS NULL").select("__carried", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return alone.unionByName(joined).select("__carried.*", *ADDED)

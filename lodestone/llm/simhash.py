@@ -8,9 +8,10 @@ equal keys meet by an equality shuffle and are verified on all 64 bits.
 Equal fingerprints are one row before anything is indexed.  A bucket of up to
 ``bucket_rows`` fingerprints is linked within its task, which writes a
 spanning set of its links and not its pairs.  Larger buckets are never held:
-their fingerprints go to an exact path without pairs, where each is listed
-under every point within two bits and those that share a point, which are
-exactly those at four bits or fewer, are linked to the first one there.
+their members are indexed again, by variants of three segments of the bits
+that their bucket has not used, and so on until the buckets fit or next to no
+bits are left, when distinct members are few.  The same guarantee holds in
+every round, so that no pair is lost.
 
 Defined cases: a null or empty text, or one of white space only, has
 fingerprint zero and is linked like any other; fewer words than a shingle are
@@ -22,7 +23,6 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, quoted, small_batches, text_or_empty, texts_of, without, written
+from .common import discard, map_arrow, quoted, small_batches, text_or_empty, texts_of, tidy, without, written
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -38,8 +38,12 @@ SEED = 42
 MAX_BITS = 4
 #: Segments as (first bit, width): with three, one of them differs in at most one of four bits.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of one bucket that a task links in memory; larger buckets take the path without pairs.
+#: For each of the 64 keys, the bits of its segment.
+_USED = np.array([((1 << width) - 1) << first for first, width in SEGMENTS for _ in range(width)], np.uint64)
+#: Fingerprints of one bucket that a task links in memory; larger buckets are cut further.
 BUCKET_ROWS = 4096
+#: Bits left from which a bucket is not cut further: its members are then at most 2 ** 12.
+LEAST_FREE_BITS = 6
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -102,35 +106,38 @@ def _spanning(members: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], max_bits: int, bucket_rows: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: links (big false), and the members of buckets over bucket_rows (big true, both ends the same)."""
+    """From rows (key, fingerprint, bits used) sorted by key: links (used null), and of over-full buckets (fingerprint, key, bits used)."""
 
-    def out(a: np.ndarray, b: np.ndarray, big: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), pa.array(np.full(len(a), big))], ["a", "b", "big"])
+    def out(a: np.ndarray, b: np.ndarray, used: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(a), pa.int64()) if used is None else pa.array(np.ascontiguousarray(used).view(np.int64))], ["a", "b", "used"])
 
-    key_left, held, over = None, np.empty(0, np.uint64), False  # the bucket that the last batch ended in
+    def too_many(count: int, used: np.uint64) -> bool:
+        """Members that agree but for few bits are few themselves."""
+        return count > bucket_rows and 64 - int(used).bit_count() > LEAST_FREE_BITS
+
+    held = tuple(np.empty(0, np.uint64) for _ in range(3))  # of the bucket that the last batch ended in
+    over = None  # its key, if it is over-full
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(keys):
+        rows = tuple(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+        if not len(rows[0]):
             continue
-        if over and keys[0] == key_left:
-            more = int(np.searchsorted(keys != key_left, True)) if keys[-1] != key_left else len(keys)
-            yield out(fps[:more], fps[:more], True)
-            keys, fps = keys[more:], fps[more:]
-            if not len(keys):
+        if over is not None:
+            more = int(np.searchsorted(rows[0] != over, True)) if rows[0][-1] != over else len(rows[0])
+            if more:
+                yield out(rows[1][:more], rows[0][:more], rows[2][:more])
+            rows = tuple(x[more:] for x in rows)
+            if not len(rows[0]):
                 continue
-        elif len(held):
-            keys, fps = np.concatenate((np.full(len(held), key_left, np.uint64), keys)), np.concatenate((held, fps))
-        held, over = np.empty(0, np.uint64), False
-        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts = np.concatenate(([0], edges))
+            over = None
+        keys, fps, used = (np.concatenate(x) for x in zip(held, rows, strict=True))
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         last = int(starts[-1])
-        key_left = keys[-1]
-        if len(keys) - last > bucket_rows:
-            over = True
-            yield out(fps[last:], fps[last:], True)
-        else:
-            held = fps[last:]
+        held = tuple(x[last:] for x in (keys, fps, used))
+        if too_many(len(keys) - last, used[last]):
+            over = keys[last]
+            yield out(fps[last:], keys[last:], used[last:])
+            held = tuple(np.empty(0, np.uint64) for _ in range(3))
         a, b = [], []
         sizes = np.diff(starts)
         for lag in (1, 2, 3):  # small buckets at once: all their pairs, of which there are six at most
@@ -141,80 +148,68 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], max_bits: int, bucket_rows:
                 a.append(fps[i][near])
                 b.append(fps[i + lag][near])
         for k in np.flatnonzero(sizes > 4):
-            members = fps[starts[k] : starts[k + 1]]
-            if len(members) > bucket_rows:
-                yield out(members, members, True)
+            members = slice(starts[k], starts[k + 1])
+            if too_many(int(sizes[k]), used[members][0]):
+                yield out(fps[members], keys[members], used[members])
             else:
-                x, y = _spanning(members, max_bits)
+                x, y = _spanning(fps[members], max_bits)
                 a.append(np.array(x, np.uint64))
                 b.append(np.array(y, np.uint64))
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            if len(x):
-                pair = np.unique(np.stack((x, y), axis=1), axis=0)
-                yield out(pair[:, 0], pair[:, 1], False)
-    if len(held) > 1:
-        x, y = _spanning(held, max_bits)
+        x, y = (np.concatenate(z) if z else np.empty(0, np.uint64) for z in (a, b))
+        if len(x):
+            pair = np.unique(np.stack((x, y), axis=1), axis=0)
+            yield out(pair[:, 0], pair[:, 1])
+    if len(held[0]) > 1:
+        x, y = _spanning(held[1], max_bits)
         if x:
-            yield out(np.array(x, np.uint64), np.array(y, np.uint64), False)
-
+            yield out(np.array(x, np.uint64), np.array(y, np.uint64))
 
-def _ball(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most radius bits."""
-    return np.array([sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(64), n)], dtype=np.uint64)
 
+def _deeper(fps: np.ndarray, keys: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, fingerprint, bits used) of members of over-full buckets, each under one-wildcard variants of the bits that its bucket has not used.
 
-def _midpoint_links(big: DataFrame, max_bits: int) -> DataFrame:
-    """Links among fingerprints of buckets too large to hold, exact and without pairs.
-
-    For an even max_bits, two points within it share a point within half of it
-    of both, and any two that share one are within it.
+    Two members differ in no more bits there than in all, so of three segments
+    of them one differs in at most one bit.
     """
-    masks = _ball(max_bits // 2)
-
-    def around(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fps), 64):
-            part = fps[at : at + 64]
-            points = (part[:, None] ^ masks[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], ["p", "fp"])
-
-    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point, first = None, None
-        for batch in batches:
-            p, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(p):
-                continue
-            new = np.concatenate(([point is None or p[0] != point], p[1:] != p[:-1]))
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(p)), -1))
-            heads = np.where(lead >= 0, f[np.maximum(lead, 0)], first if first is not None else 0)
-            point, first = p[-1], heads[-1]
-            pair = np.unique(np.stack((heads, f), axis=1)[heads != f], axis=0)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    points = map_arrow(big.select("fp"), around, "p long, fp long")
-    return points.repartition("p").sortWithinPartitions("p", "fp").mapInArrow(to_first, "a long, b long").distinct()
+    for bits in np.unique(used):
+        mine = used == bits
+        part, key = fps[mine], keys[mine]
+        free = np.array([b for b in range(64) if not int(bits) >> b & 1], np.uint64)
+        for number, segment in enumerate(np.array_split(free, len(SEGMENTS))):
+            mask = np.uint64(sum(1 << int(b) for b in segment))
+            for b in segment:
+                value = part & (mask & ~(np.uint64(1) << b))
+                mixed = (key ^ np.uint64(number * 64 + int(b) + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = ((mixed ^ (mixed >> np.uint64(31))) + value) * np.uint64(0xD1342543DE82EF95)
+                yield mixed ^ (mixed >> np.uint64(29)), part, np.full(len(part), bits | mask)
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column fp whose components are those of all pairs within max_bits."""
-    if not 0 <= max_bits < 2 * len(SEGMENTS) or max_bits % 2:
-        raise ValueError("max_bits must be 0, 2 or 4: three segments of which one differs in at most one bit")
+    if not 0 <= max_bits < 2 * len(SEGMENTS):
+        raise ValueError("max_bits must be below 6: three segments of which one differs in at most one bit")
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for at in range(0, len(fps), 1024):
             part = fps[at : at + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array(variant_keys(part).ravel().view(np.int64)), pa.array(np.repeat(part, 64).view(np.int64))], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(variant_keys(part).ravel().view(np.int64)), pa.array(np.repeat(part, 64).view(np.int64)), pa.array(np.tile(_USED, len(part)).view(np.int64))], ["k", "fp", "used"])
+
+    def deeper(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps, keys, used = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+        for columns in _deeper(fps, keys, used):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["k", "fp", "used"])
 
-    variants = map_arrow(distinct.select("fp"), keyed, "k long, fp long")
-    found = written(variants.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(lambda b: _bucket_links(b, max_bits, bucket_rows), "a long, b long, big boolean"), "simhash-links")
-    near = found.filter("NOT big").select("a", "b")
-    big = found.filter("big").select(F.col("a").alias("fp")).distinct()
-    if big.isEmpty():
-        return near
-    return near.unionByName(_midpoint_links(big, max_bits))
+    variants, out = map_arrow(distinct.select("fp"), keyed, "k long, fp long, used long"), None
+    while True:  # each round leaves a third of the bits to the next, so that there are six at most
+        dealt = variants.repartition("k").sortWithinPartitions("k", "fp")
+        found = written(dealt.mapInArrow(tidy(lambda b: _bucket_links(b, max_bits, bucket_rows)), "a long, b long, used long"), "simhash-links")
+        near = found.filter("used IS NULL").select("a", "b")
+        out = near if out is None else out.unionByName(near)
+        big = found.filter("used IS NOT NULL")
+        if big.isEmpty():
+            return out
+        variants = map_arrow(big.select("a", "b", "used"), deeper, "k long, fp long, used long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -223,8 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = written(rows.groupBy("fp").agg(F.min("__id").alias("least")), "simhash-distinct")
     joined = written(components(links(distinct, max_bits, bucket_rows)).withColumnRenamed("node", "fp"), "simhash-components")
     members = distinct.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = members.join(smallest, "component").select("fp", "component_id")
+    members = written(members, "simhash-members")
+    discard(joined)
+    smallest = written(members.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
+    named = written(members.join(smallest, "component").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), "__content", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -247,7 +244,7 @@ def keep_least(docs: DataFrame, base: DataFrame, found: DataFrame, id_col: str,
     identity = {"__id": F.col(quoted(id_col)), "__content": F.xxhash64(text_or_empty(quoted(text_col)))}
     stays = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__content").alias("c")))
     found = written(found, "simhash-found")
-    best = found.groupBy("g").agg(stays.alias("best"))
+    best = written(found.groupBy("g").agg(stays.alias("best")), "simhash-best")  # so that a hot group's rows can be split
     gone = found.join(best, "g").filter("NOT (best.id <=> __id AND best.c = __content)").select("__id", "__content").distinct()
     gone = written(gone, "simhash-dropped")
     kept = drop_keys(base.withColumns(identity), gone)
