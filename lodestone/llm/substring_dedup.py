@@ -41,22 +41,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, quoted, release, shuffle_partitions, small_batches, text_or_empty, texts_of, written
+from .common import discard, map_arrow, quoted, release, shuffle_partitions, small_batches, text_or_empty, texts_of, tidy, written
 from .fm_index import FMIndex
 from .wordhash import Runs, Texts, chunks, joined, smallest, texts_of_column, word_hashes, word_spans
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 8
 #: Words of one FM-index, a few more where one key's segments end.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 100_000
 #: Bytes of text that are cut into segments at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of the bitmap of shared minimizers: so many for each of them, and at most so many (64 MB).
 BITS_EACH, MOST_BITS = 32, 1 << 29
 #: Bits of the bitmap of minimizers that are split (512 KB), and the occurrences from which one is.
 HOT_BITS, HOT = 1 << 22, 8192
 #: Segments that one task indexes, about.
-TASK_SEGMENTS = 200_000
+TASK_SEGMENTS = 60_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -170,8 +170,8 @@ def shared_minimizers(rows: DataFrame, window: int, gram: int, partitions: int,
             key, total = key[heads][shared], total[shared]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([key.tobytes()], pa.binary()), pa.array([key[total > hot].tobytes()], pa.binary())], ["p", "shared", "occurrences", "names", "hot"])
 
-    sent = rows.mapInArrow(of, "p int, blob binary").repartitionById(1 << bits, F.col("p"))
-    return sent.mapInArrow(merge, "p int, shared long, occurrences long, names binary, hot binary")
+    sent = rows.mapInArrow(tidy(of), "p int, blob binary").repartitionById(1 << bits, F.col("p"))
+    return sent.mapInArrow(tidy(merge), "p int, shared long, occurrences long, names binary, hot binary")
 
 
 def _sieve(shared: DataFrame, column: str, bits: int, range_bits: int) -> np.ndarray:
@@ -339,11 +339,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _spans_of(places, least, window)
 
     schema = "chunk long, p int, blob binary"
-    segments = written(rows.mapInArrow(cut, schema), "substring-segments")
-    answers = written(segments.filter("p >= 0").repartitionById(routes, F.col("p")).mapInArrow(answer, schema), "substring-answers")
+    segments = written(rows.mapInArrow(tidy(cut), schema), "substring-segments")
+    answers = written(segments.filter("p >= 0").repartitionById(routes, F.col("p")).mapInArrow(tidy(answer), schema), "substring-answers")
     release(spark)
     both = segments.filter("p < 0").unionByName(answers)
-    found = written(both.repartition("chunk").sortWithinPartitions("chunk", "p").mapInArrow(spans, "__id long, __content long, spans array<struct<a:long,b:long>>"), "substring-spans")
+    found = written(both.repartition("chunk").sortWithinPartitions("chunk", "p").mapInArrow(tidy(spans), "__id long, __content long, spans array<struct<a:long,b:long>>"), "substring-spans")
     discard(segments)
     discard(answers)
     release(spark)
