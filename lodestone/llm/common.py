@@ -38,23 +38,38 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has written and not deleted.
+_paths: set[str] = set()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table written to the shared folder and read again: cut lineage, stable rows."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    _paths.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _paths.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by written() that nothing lazy reads any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that operators have written in this process: for callers that have used or stored their results."""
+    for path in list(_paths):
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
