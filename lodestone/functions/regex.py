@@ -39,37 +39,41 @@ def glob(pattern: str) -> str:
     return "(?s)^" + out + "$"
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+#: A private-use character that marks where matches begin.
+_MARK = "\uf8f0"
 
 
 def matches(content: Column, pattern: str, around: int = 0) -> Column:
     """All matches of a Java pattern with their line (from 1), and ``around`` characters before and after each.
 
-    The text between matches is what ``split`` leaves, so a match's line is
-    one more than the line feeds in the pieces and matches before it.  Texts
-    without a match cost one search.
+    Matches are marked in the text, and each line of the marked text says how
+    many begin in it, so the work grows with the text and not with the square
+    of its matches.  Texts without a match cost one search.  With ``around``,
+    for the few checks that judge a match's surroundings, it grows with
+    matches times text.
     """
     lit = F.lit(pattern)
     found = F.regexp_extract_all(content, lit, F.lit(0))
-    pieces = F.split(content, pattern, -1)
-    lines_in = lambda a: F.transform(a, newlines)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    between, inside = lines_in(pieces), lines_in(found)
-
-    def one(i: Column) -> Column:
-        head = F.array_join(F.transform(F.sequence(F.lit(1), i), lambda k: F.concat(F.element_at(pieces, k), F.when(k < i, F.element_at(found, k)).otherwise(""))), "") if around else F.lit("")
-        tail = F.substring(content, F.length(head) + F.length(F.element_at(found, i)) + 1, around) if around else F.lit("")
+    clean = F.translate(content, _MARK, " ")
+    marked = F.regexp_replace(clean, pattern, _MARK + "$0")
+    at_line = lambda line, i: F.array_repeat(i + 1, F.length(line) - F.length(F.translate(line, _MARK, "")))
+    at = F.flatten(F.transform(F.split(marked, "\n", -1), at_line))
+    if not around:
+        one = lambda m, line: F.struct(line.cast("int").alias("line"), F.lit(0).alias("column"), m.alias("matched"), F.lit("").alias("before"), F.lit("").alias("after"))
+        return F.when(content.rlike(pattern), F.zip_with(found, at, one)).otherwise(F.array().cast(MATCH))
+    pieces = F.split(marked, _MARK, -1)
+
+    def one_of(i: Column) -> Column:
+        head, match = F.array_join(F.slice(pieces, 1, i), ""), F.element_at(found, i)
         return F.struct(
-            (total(F.slice(between, 1, i)) + total(F.slice(inside, 1, i - 1)) + 1).cast("int").alias("line"),
-            (F.length(F.element_at(F.split(F.element_at(pieces, i), "\n", -1), -1)) if around else F.lit(0)).cast("int").alias("column"),
-            F.element_at(found, i).alias("matched"),
-            (F.right(head, F.lit(around)) if around else F.lit("")).alias("before"),
-            tail.alias("after"),
+            F.element_at(at, i).cast("int").alias("line"),
+            F.length(F.element_at(F.split(F.element_at(pieces, i), "\n", -1), -1)).cast("int").alias("column"),
+            match.alias("matched"),
+            F.right(head, F.lit(around)).alias("before"),
+            F.substring(content, F.length(head) + F.length(match) + 1, around).alias("after"),
         )
 
-    rows = F.transform(F.sequence(F.lit(1), F.size(found)), one)
-    return F.when(content.rlike(pattern), rows).otherwise(F.array().cast(MATCH))
+    return F.when(content.rlike(pattern), F.transform(F.sequence(F.lit(1), F.size(found)), one_of)).otherwise(F.array().cast(MATCH))
 
 
 def nth_line(content: Column, line: Column) -> Column:

@@ -57,6 +57,8 @@ def entropy(text: Column) -> Column:
 
 # Words that mark a value as no secret, when it is matched and when it is validated.
 NOT_SECRET = ("example", "sample", "test", "demo", "placeholder", "your_", "xxx", "changeme", "password", "secret", "localhost", "http://", "https://")
+#: Where a secret's value stands in a snippet.
+SECRET_VALUES = (r"[\"']([A-Za-z0-9+/=_-]{20,})[\"']", r"=\s*[\"']?([A-Za-z0-9+/=_-]{20,})[\"']?")
 NOT_VALID = ("example", "sample", "test", "demo", "placeholder", "your_", "xxx", "changeme", "password", "secret", "localhost", "undefined", "null", "none")
 
 
@@ -81,8 +83,7 @@ def assigned_value(text: Column) -> Column:
 
 def secret_value(snippet: Column) -> Column:
     """A quoted token of 20 characters or more, else an assigned one; null without either."""
-    quoted = F.regexp_extract(snippet, r"[\"']([A-Za-z0-9+/=_-]{20,})[\"']", 1)
-    bare = F.regexp_extract(snippet, r"=\s*[\"']?([A-Za-z0-9+/=_-]{20,})[\"']?", 1)
+    quoted, bare = (F.regexp_extract(snippet, p, 1) for p in SECRET_VALUES)
     return F.coalesce(F.when(quoted != "", quoted), F.when(bare != "", bare))
 
 

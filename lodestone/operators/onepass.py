@@ -9,17 +9,19 @@ no shuffle, memory of one batch, and Python's own regular expressions.
 
 from __future__ import annotations
 
+import logging
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
-from functools import cache
+from functools import cache, cached_property
 from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import MATCHER_LANGUAGES, NOT_SECRET
+from lodestone.functions.text import MATCHER_LANGUAGES, NOT_SECRET, NOT_VALID, SECRET_VALUES
 from lodestone.operators.check_tables import CLOUDFORMATION, DOCKERFILE, FRAMEWORKS, KUBERNETES, LANGUAGES, TERRAFORM, Check
 from lodestone.operators.checks import SEQUENCE, frameworks
 from lodestone.operators.findings import COLUMNS, shaped
@@ -43,8 +45,22 @@ class Text:
         self.path, self.name, self.ext, self.content = path, name, ext, content
         self.lines = content.split("\n")
 
+    @cached_property
+    def ends(self) -> list[int]:
+        """Where the line feeds are."""
+        return [m.start() for m in re.finditer("\n", self.content)]
+
+    @cached_property
+    def quoted(self) -> list[tuple[list[int], list[int]]]:
+        """Begins and ends of triple-quoted strings, for each kind of quote."""
+        return [([x.start() for x in p.finditer(self.content)], [x.end() for x in p.finditer(self.content)]) for p in _TRIPLE]
+
     def line_of(self, at: int) -> int:
-        return self.content.count("\n", 0, at) + 1
+        return bisect_right(self.ends, at - 1) + 1
+
+    def in_quotes(self, at: int) -> bool:
+        """Whether a place is in a triple-quoted string or at its edge."""
+        return any((k := bisect_right(begins, at)) and at <= ends[k - 1] for begins, ends in self.quoted)
 
     def row(self, **given) -> tuple:
         return tuple(given.get(c, self.path if c == "file_path" else [] if c in ("references", "tags") else None) for c in ROW)
@@ -54,6 +70,12 @@ def entropy(text: str) -> float:
     return -sum(p * log2(p) for p in (text.count(c) / len(text) for c in set(text))) if text else 0.0
 
 
+def valid_secret(snippet: str) -> bool:
+    """Whether a snippet's value, if one can be made out, has no marker word and 4 bits a character."""
+    value = next((m[1] for p in SECRET_VALUES if (m := _compiled(p, "").search(snippet))), None)
+    return value is None or (not any(w in value.lower() for w in NOT_VALID) and entropy(value) >= 4.0)
+
+
 def _named(line: str) -> set[str] | None:
     found = _NOSEC.search(line)
     return found and {x.strip() for x in found[1].split(",") if x.strip()}
@@ -83,7 +105,6 @@ def rule_rows(text: Text, rule: dict, context_aware: bool) -> Iterator[tuple]:
     language, kind = MATCHER_LANGUAGES.get(text.ext, "unknown"), kind_of_rule(rule)
     secret = bool({"secret", "credentials"} & set(rule["tags"]))
     safe = SAFE.get(kind, ()) if context_aware else ()
-    spans = None
     for k, pattern in enumerate(rule["patterns"]):
         if pattern["language"] and pattern["language"].lower() != language:
             continue
@@ -102,11 +123,10 @@ def rule_rows(text: Text, rule: dict, context_aware: bool) -> Iterator[tuple]:
             near = "\n".join(text.lines[max(0, line - 3) : line + 2])
             if any(_compiled(p, "i").search(near) for p in safe):
                 continue
-            if context_aware and language == "python":
-                spans = [x.span() for p in _TRIPLE for x in p.finditer(text.content)] if spans is None else spans
-                begin = text.content.rfind("\n", 0, m.start()) + 1
-                if any(a <= begin <= b for a, b in spans):
-                    continue
+            if context_aware and language == "python" and text.in_quotes(text.content.rfind("\n", 0, m.start()) + 1):
+                continue
+            if secret and context_aware and not valid_secret(words.strip()[:200]):
+                continue
             matched = m[0][:100]
             if secret and "=" in matched:
                 value = matched.split("=", 1)[1].strip().strip("\"'")
@@ -205,7 +225,10 @@ def scan(files: DataFrame, rules: DataFrame, engines: tuple[str, ...], context_a
         for batch in batches:
             rows = []
             for path, name, ext, content, plain in batch.itertuples(index=False, name=None):
-                rows.extend(all_rows(Text(path, name, ext, content or ""), chosen, present, wanted, context_aware, plain))
+                try:
+                    rows.extend(all_rows(Text(path, name, ext, content or ""), chosen, present, wanted, context_aware, plain))
+                except Exception:  # one file must not end the scan of the others
+                    logging.getLogger(__name__).exception("not scanned: %s", path)
             yield pd.DataFrame(rows, columns=ROW)
 
     schema = ", ".join(f"`{c}` {COLUMNS[c]}" for c in ROW)

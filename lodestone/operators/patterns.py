@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.regex import any_of, java, matches, nth_line
-from lodestone.functions.text import MATCHER_LANGUAGES, assigned_value, likely_secret, mapped, suppressed
+from lodestone.functions.text import MATCHER_LANGUAGES, assigned_value, likely_secret, mapped, suppressed, valid_secret
 from lodestone.operators.findings import shaped
 from lodestone.sources.rules import KINDS, applies, java_pattern
 
@@ -107,6 +107,8 @@ def _pattern_matches(rule: dict, k: int, pattern: dict, context_aware: bool) ->
         rows = F.filter(rows, lambda m: ~any_of(near(m), SAFE[kind]))
     if context_aware:
         rows = F.filter(rows, lambda m: ~((matcher_language() == "python") & in_triple_quotes(m["line_number"])))
+    if context_aware and {"secret", "credentials"} & set(rule["tags"]):
+        rows = F.filter(rows, lambda m: valid_secret(F.left(F.trim(m["line_text"]), F.lit(200))))
     if {"secret", "credentials"} & set(rule["tags"]):
         rows = F.filter(rows, lambda m: ~F.coalesce(~likely_secret(assigned_value(F.left(m["matched"], F.lit(100)))), F.lit(False)) | ~F.left(m["matched"], F.lit(100)).contains("="))
     return F.coalesce(rows, F.array())
@@ -178,6 +180,8 @@ def _match_exactly(files: DataFrame, rules: list[dict], context_aware: bool) ->
         if secret:
             short = F.left("matched", F.lit(100))
             keep = keep & (~short.contains("=") | likely_secret(assigned_value(short)))
+            if context_aware:
+                keep = keep & valid_secret(F.left(F.trim(line), F.lit(200)))
         values = {c: r[c] for c in ("rule_id", "rule_name", "description", "severity", "confidence", "cwe", "owasp", "remediation")}
         lists = {c: F.array(*map(F.lit, r[c])).cast("array<string>") for c in ("references", "tags")}
         one = shaped(joined.filter(keep), engine="secret" if secret else "pattern", engine_seq=2 if secret else 1, file_path=F.col("path"), snippet=F.left(F.trim(line), F.lit(200)), matched_pattern=F.left("matched", F.lit(100)), **values, **lists)

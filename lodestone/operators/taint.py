@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.regex import java
@@ -43,33 +43,52 @@ GRADES = {
 BEFORE, AFTER = 4, 1
 
 
-def _lines(files: DataFrame, *extensions: str) -> DataFrame:
-    rows = files.filter(F.col("ext").isin(*extensions)).select(F.col("path").alias("file_path"), F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
-    return rows.withColumn("line", F.col("i") + 1)
+def _hits(files: DataFrame, extensions: tuple[str, ...], of_line) -> DataFrame:
+    """(file_path, *struct) of what of_line gives for a file's lines, their numbers and all its lines: only hits become rows."""
+    lines = F.split("content", "\n", -1)
+    found = F.flatten(F.transform(F.col("lines"), lambda text, i: of_line(text, i + 1)))
+    rows = files.filter(F.col("ext").isin(*extensions)).select(F.col("path").alias("file_path"), lines.alias("lines"))
+    return rows.select("file_path", F.explode(found).alias("h")).select("file_path", "h.*")
+
+
+def _any(patterns: list[str]) -> str:
+    return java("|".join(f"(?:{p})" for p in patterns))
 
 
 def sources(files: DataFrame) -> DataFrame:
     """(file_path, line, var, source_type): values that a request gives."""
     out = None
     for extension, table in ((".java", JAVA_SOURCES), (".py", PYTHON_SOURCES)):
-        found = []
-        for kind, patterns in table.items():
-            for p in patterns:
-                name = F.regexp_extract("text", java(p), 1)
-                found.append(F.when(F.col("text").rlike(java(p)), F.array(F.struct(F.when(name == "", "unknown").otherwise(name).alias("var"), F.lit(kind).alias("source_type")))).otherwise(F.array()))
-        rows = _lines(files, extension).select("file_path", "line", F.explode(F.concat(*found)).alias("s")).select("file_path", "line", "s.*")
+
+        def of_line(text: Column, number: Column, table: dict = table) -> Column:
+            found = []
+            for kind, patterns in table.items():
+                for p in patterns:
+                    name = F.regexp_extract(text, java(p), 1)
+                    var = F.when(name == "", "unknown").otherwise(name)
+                    found.append(F.when(text.rlike(java(p)), F.struct(number.alias("line"), var.alias("var"), F.lit(kind).alias("source_type"))))
+            some = F.filter(F.array(*found), lambda x: x.isNotNull())
+            return F.when(text.rlike(_any([p for patterns in table.values() for p in patterns])), some).otherwise(F.array().cast("array<struct<line:int,var:string,source_type:string>>"))
+
+        rows = _hits(files, (extension,), of_line)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def sinks(files: DataFrame) -> DataFrame:
     """(file_path, line, sink_type, sink_code, near): dangerous calls, one of a type a line, with the lines around them."""
-    hit = [F.when(F.col("text").rlike("|".join(f"(?:{java(p)})" for p in patterns)), F.array(F.lit(kind))).otherwise(F.array()) for kind, patterns in JAVA_SINKS.items()]
-    rows = files.filter(F.col("ext") == ".java").select(F.col("path").alias("file_path"), F.split("content", "\n", -1).alias("lines"))
-    rows = rows.select("file_path", "lines", F.posexplode("lines").alias("i", "text")).withColumn("line", F.col("i") + 1)
-    first = F.greatest(F.col("line") - BEFORE, F.lit(1))
-    near = F.array_join(F.slice("lines", first, F.col("line") + AFTER + 1 - first), "\n")
-    return rows.select("file_path", "line", F.explode(F.concat(*hit)).alias("sink_type"), F.trim("text").alias("sink_code"), near.alias("near"))
+
+    def of_line(text: Column, number: Column) -> Column:
+        first = F.greatest(number - BEFORE, F.lit(1))
+        near = F.array_join(F.slice("lines", first, number + AFTER + 1 - first), "\n")
+        found = [
+            F.when(text.rlike(_any(patterns)), F.struct(number.alias("line"), F.lit(kind).alias("sink_type"), F.trim(text).alias("sink_code"), near.alias("near")))
+            for kind, patterns in JAVA_SINKS.items()
+        ]
+        some = F.filter(F.array(*found), lambda x: x.isNotNull())
+        return F.when(text.rlike(_any([p for patterns in JAVA_SINKS.values() for p in patterns])), some).otherwise(F.array().cast("array<struct<line:int,sink_type:string,sink_code:string,near:string>>"))
+
+    return _hits(files, (".java",), of_line)
 
 
 def propagated(seeds: DataFrame, sites: DataFrame) -> DataFrame:
@@ -117,9 +136,24 @@ def findings(files: DataFrame) -> DataFrame:
     rows = flows(propagated(seeds, links), reached)
     order = list(JAVA_SINKS)
     grade = lambda k: F.element_at(F.create_map(*[F.lit(x) for kind, g in GRADES.items() for x in (kind, g[k])]), F.col("sink_type"))
+    kind, source = F.col("sink_type"), F.col("source_type")
+    chain = F.when(F.size("path") > 0, F.array_join("path", " -> ")).otherwise("direct")
     return shaped(
-        rows.withColumn("line_number", F.col("line")), engine="dataflow", engine_seq=10, rule_ord=F.array_position(F.array(*map(F.lit, order)), F.col("sink_type")), pattern_idx=F.size("path"), match_no=F.col("line"),
-        rule_id=F.concat(F.lit("DATAFLOW-"), F.upper("sink_type")), rule_name=grade(0), severity=F.when(F.col("sink_type") == "log_output", "medium").otherwise("high"), confidence="high",
-        snippet=F.left("sink_code", F.lit(200)), cwe=grade(1), owasp=grade(2), tags=F.array(F.lit("dataflow"), F.col("sink_type")),
-        metadata=F.create_map(F.lit("source_type"), F.col("source_type"), F.lit("source_loc"), F.col("source_loc"), F.lit("path"), F.array_join("path", "; ")),
-    )
+        rows.withColumn("line_number", F.col("line")),
+        engine="dataflow",
+        engine_seq=10,
+        rule_ord=F.array_position(F.array(*map(F.lit, order)), kind),
+        pattern_idx=F.size("path"),
+        match_no=F.col("line"),
+        rule_id=F.concat(F.lit("DATAFLOW-"), F.upper(kind)),
+        rule_name=F.concat(grade(0), F.lit(" via "), source),
+        description=F.concat(F.lit("Tainted data from "), source, F.lit(" ("), F.col("var"), F.lit(") flows to "), kind, F.lit(" sink. Flow: "), chain),
+        severity=F.when(kind.isin("sql_query", "command_exec"), "high").otherwise("medium"),
+        confidence="high",
+        snippet=F.left("sink_code", F.lit(200)),
+        cwe=grade(1),
+        owasp=grade(2),
+        tags=F.array(F.lit("dataflow"), kind, source),
+        remediation=F.concat(F.lit("Sanitize or validate the "), source, F.lit(" input before using in "), kind),
+        metadata=F.create_map(F.lit("source_type"), source, F.lit("source_loc"), F.col("source_loc"), F.lit("path"), F.array_join("path", "; ")),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,9 +69,11 @@ def ignore_patterns(lines: DataFrame) -> list[str]:
 
 def from_tree(spark: SparkSession, root: str, excludes: list[str] | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """The files below a folder, or one file, read in parallel; size and name filters come before contents are read."""
+    if "://" not in root and not root.startswith("file:"):
+        root = os.path.abspath(root)  # paths come back absolute, and folders are judged below the root
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
-    kept = raw.filter(F.col("length") <= MAX_BYTES).filter(selected(path, F.col("length"), root.removeprefix("file://").rstrip("/"), excludes, extensions))
+    kept = raw.filter(F.col("length") <= MAX_BYTES).filter(selected(path, F.col("length"), re.sub("^file:/*", "/", root).rstrip("/"), excludes, extensions))
     return from_table(kept.select(path.alias("path"), decoded(F.col("content")).alias("content")))
 
 
@@ -80,6 +84,17 @@ def git_paths(spark: SparkSession, repository: str, base: str | None = None, sta
     return spark.createDataFrame([(n,) for n in names if n], "path string")
 
 
+# Files that a hook scans.
+HOOK_EXTENSIONS = (".java", ".py", ".js", ".ts", ".jsx", ".tsx", ".xml", ".yaml", ".yml", ".json", ".properties", ".sql", ".sh", ".bash", ".go", ".rb", ".php")
+
+
+def scannable(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files that are there of those that a change names (from their root), if a hook scans their kind."""
+    given = paths.select(F.col("path").alias("changed"), F.element_at(F.split("path", "/"), -1).alias("n")).distinct()
+    named = (F.col("name") == F.col("n")) & ((F.col("path") == F.col("changed")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("changed"))))
+    return files.filter(F.col("ext").isin(*HOOK_EXTENSIONS)).join(given, named, "left_semi")
+
+
 def changed(findings: DataFrame, paths: DataFrame) -> DataFrame:
     """Findings in files that a path names, whole or as the end of their own path."""
     given = paths.select(F.col("path").alias("changed"), F.element_at(F.split("path", "/"), -1).alias("n")).distinct()

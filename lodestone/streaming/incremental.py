@@ -12,6 +12,12 @@ from lodestone.plans.scan import Scan
 def scan_stream(files: DataFrame, rules: DataFrame, out: str, checkpoint: str, scan: Scan | None = None) -> StreamingQuery:
     """Scan each micro-batch of a stream of files and append its findings.
 
+    What a scan reads of a whole project (which frameworks are there, whether
+    it is a Spring application, rules across files, taint along calls) it
+    reads of the files of its batch only, so findings of these kinds depend on
+    how files arrive; rules and check tables do not.  Scan the whole tree for
+    them, from time to time.
+
     A batch's folder is replaced when the batch runs again after a failure, so
     every file's findings are written once.
     """
