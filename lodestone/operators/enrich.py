@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import numbered_snippet, parsed_reply, template
+from lodestone.functions.text import numbered_snippet, parsed_reply, severity_rank, template
+from lodestone.operators.findings import FOUND as _FOUND
+from lodestone.operators.findings import at_least
 
 VERDICT = "is_false_positive boolean, confidence string, explanation string"
+#: What models are asked, by kind of question: own wording; $names are filled in.
+SYSTEM = "You review source code for security. Judge from what is shown, say how sure you are, and answer with JSON only."
+_FINDING = "Finding $rule_id ($rule_name), severity $severity, weakness $cwe, in $file_path at line $line:\n$code\n$context\n"
+TEMPLATES = {
+    "explain": _FINDING + "Explain it as JSON with summary, explanation, attack_vector, impact, exploitability, confidence and confidence_reasoning.",
+    "remediate": _FINDING + "Propose a fix as JSON with primary_fix (description, code, explanation), alternative_fixes, prevention, testing and references.",
+    "false_positive": _FINDING + "Is it real? Answer as JSON with verdict (true_positive, false_positive or uncertain), confidence, reasoning, evidence, mitigating_factors and recommendation.",
+    "batch": "Findings:\n$findings\nCode:\n$code\nRank them as JSON with findings (id, verdict, adjusted_severity, priority_rank, brief_explanation) and summary.",
+    "review": "Review $file_path ($language) for $focus:\n$code\nAnswer as JSON with findings, positive_observations, overall_risk and summary.",
+    "dataflow": "Does $source_variable ($source_type, $source_location) reach the $sink_type at $sink_location?\n$code\nAnswer as JSON with tainted_flow_exists, confidence, flow_description, sanitization_present, is_exploitable and recommendation.",
+    "spring": "Review this security configuration:\n$code\nEndpoints:\n$endpoints\nApplication:\n$context\nAnswer as JSON with issues, authentication_assessment, authorization_assessment, csrf_status, cors_status and overall_security_posture.",
+    "mapper": "Is statement $statement_id ($statement_type, parameters $parameters) of $file_path open to injection?\n$code\nAnswer as JSON with vulnerable, vulnerability_type, confidence, vulnerable_parameters, safe_parameters, explanation and fix.",
+}
+#: Kinds that are asked of single findings.
+KINDS = ("explain", "remediate", "false_positive")
+JUDGED = "verdict string, confidence string, reasoning string"
+#: Characters that a token has on average, where a provider does not count tokens.
+TOKEN_CHARS = 4
 PROMPT = "Finding $rule_id ($severity) in $file_path at line $line:\n$code\nIs it a false positive? Answer as JSON."
 
 
@@ -21,6 +43,67 @@ def prompts(findings: DataFrame, files: DataFrame, around: int = 10) -> DataFram
     return rows.withColumn("prompt", text).drop("content").withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
 
 
+def asked(cases: DataFrame, kind: str) -> DataFrame:
+    """Findings with their contexts (see casefile) as prompts of a kind, with cache keys."""
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    context = F.concat_ws("\n", F.array_join("imports", "\n"), "class_context", "method_context", F.array_join("annotations", ", "), "framework_context")
+    values = {c: some(c) for c in ("rule_id", "rule_name", "severity", "cwe", "file_path", "code")} | {"line": some("line_number"), "context": context}
+    rows = cases.withColumn("prompt", F.concat(F.lit(SYSTEM + "\n"), template(TEMPLATES[kind], values)))
+    return rows.withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
+
+
+def candidates(findings: DataFrame, severity: str = "high", most: int = 20) -> DataFrame:
+    """The findings worth asking about: of a severity or worse, the worst first, then as they were found."""
+    return at_least(findings, severity).orderBy(severity_rank(F.col("severity")).desc(), *_FOUND, "file_path", "line_number").limit(most)
+
+
+def first_ranked(findings: DataFrame, most: int = 50) -> DataFrame:
+    """The first findings as they were found, and of these the worst first."""
+    return findings.orderBy(*_FOUND, "file_path", "line_number").limit(most).orderBy(severity_rank(F.col("severity")).desc(), *_FOUND, "file_path", "line_number")
+
+
+def retried(provider: Callable[[pd.Series], pd.Series], attempts: int = 3, delay: float = 1.0) -> Callable[[pd.Series], pd.Series]:
+    """A provider that is asked again after twice the time each time it raises, and raises after the last attempt."""
+
+    def ask(texts: pd.Series) -> pd.Series:
+        for k in range(attempts):
+            try:
+                return provider(texts)
+            except Exception:
+                if k + 1 == attempts:
+                    raise
+                time.sleep(delay * 2**k)
+        raise ValueError("attempts must be at least 1")
+
+    return ask
+
+
+def save(replies: DataFrame, path: str) -> None:
+    """Append what the provider answered to a cache table."""
+    replies.filter("NOT cached").select("cache_key", "reply").dropDuplicates(["cache_key"]).write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A cache table; empty where there is none yet."""
+    try:
+        return spark.read.schema("cache_key string, reply string").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "cache_key string, reply string")
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Empty a cache table."""
+    spark.createDataFrame([], "cache_key string, reply string").write.mode("overwrite").parquet(path)
+
+
+def verdicts(replies: DataFrame) -> DataFrame:
+    """One row: answers that judge findings as real, as false or as uncertain, and the share of false ones as a text."""
+    judged = replies.withColumn("v", parsed_reply(F.col("reply"), JUDGED)["verdict"])
+    n, false = F.count(F.lit(1)), F.count_if(F.col("v") == "false_positive")
+    share = F.when(n > 0, F.concat(F.format_number(100.0 * false / n, 1), F.lit("%"))).otherwise("0%")
+    return judged.agg(n.alias("total_analyzed"), F.count_if(F.col("v") == "true_positive").alias("true_positives"), false.alias("false_positives"), F.count_if(F.col("v") == "uncertain").alias("uncertain"), share.alias("false_positive_rate"))
+
+
 def stub_provider(texts: pd.Series) -> pd.Series:
     """A provider for tests, without a model: a fixed verdict per prompt."""
     return texts.map(lambda p: '```json\n{"is_false_positive": %s, "confidence": "high", "explanation": "stub"}\n```' % ("true" if len(p) % 2 else "false"))
@@ -34,10 +117,13 @@ def answered(asked: DataFrame, provider: Callable[[pd.Series], pd.Series], cache
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(reply=provider(batch["prompt"]))
+            begun = time.perf_counter()
+            reply = provider(batch["prompt"])
+            yield batch.assign(reply=reply, latency_ms=1000 * (time.perf_counter() - begun) / max(1, len(batch)))
 
-    new = rest.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", reply string")
-    return joined.filter("old IS NOT NULL").withColumnRenamed("old", "reply").withColumn("cached", F.lit(True)).unionByName(new.withColumn("cached", F.lit(False)))
+    new = rest.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", reply string, latency_ms double")
+    old = joined.filter("old IS NOT NULL").withColumnRenamed("old", "reply").withColumns({"cached": F.lit(True), "latency_ms": F.lit(0.0)})
+    return old.unionByName(new.withColumn("cached", F.lit(False)))
 
 
 def enhanced(replies: DataFrame) -> DataFrame:
@@ -48,6 +134,11 @@ def enhanced(replies: DataFrame) -> DataFrame:
     return rows.withColumn("adjusted_severity", severity).withColumn("parse_error", F.col("verdict").isNull())
 
 
-def usage(replies: DataFrame) -> DataFrame:
-    """One row: replies, those from the cache, and the cache's share."""
-    return replies.agg(F.count(F.lit(1)).alias("requests"), F.count_if("cached").alias("cache_hits"), F.round(F.count_if("cached") / F.count(F.lit(1)), 6).alias("hit_rate"))
+def usage(replies: DataFrame, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
+    """One row: replies, those from the cache and its share, and of the others tokens, mean latency and cost (dollars for a million tokens)."""
+    tokens = lambda c: F.coalesce(F.sum(F.when(~F.col("cached"), F.ceil(F.length(c) / TOKEN_CHARS))), F.lit(0)).cast("long")
+    given, made = tokens("prompt"), tokens("reply")
+    return replies.agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("cached").alias("cache_hits"), F.round(F.count_if("cached") / F.count(F.lit(1)), 6).alias("hit_rate"), given.alias("input_tokens"), made.alias("output_tokens"),
+        F.coalesce(F.avg(F.when(~F.col("cached"), F.col("latency_ms"))), F.lit(0.0)).alias("mean_latency_ms"), F.round(given * price_in / 1e6 + made * price_out / 1e6, 6).alias("cost"),
+    )

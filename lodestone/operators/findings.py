@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SEVERITIES, basename, confidence_rank, severity_rank
+from lodestone.operators.lineage import cut
 
 #: Columns of findings with their types; the first four keep the order in which a scan finds them.
 COLUMNS = {
@@ -30,7 +31,8 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return out
 
 
-_FOUND = ("engine_seq", "rule_ord", "pattern_idx", "match_no")
+#: The order in which a scan finds findings.
+FOUND = _FOUND = ("engine_seq", "rule_ord", "pattern_idx", "match_no")
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
@@ -89,15 +91,20 @@ def exit_code(findings: DataFrame, errors: int = 0) -> DataFrame:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """finding_id F0001 and so on, in report order, without gathering all rows: counts of each severity and file come first."""
-    keys = ["severity_rank", "file_path"]
+    """finding_id F0001 and so on, in report order, without gathering all rows or all files in one task.
+
+    Rows are sorted in ranges and written, each with its range and its place
+    in it; the ranges' sizes, one row a range, are summed up and joined back.
+    """
     rows = findings.withColumn("severity_rank", severity_rank(F.col("severity")))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc("severity_rank"), "file_path").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy(*keys).orderBy("line_number", *_FOUND)
-    out = rows.withColumn("k", F.row_number().over(within)).join(bases, keys)
-    return out.withColumn("finding_no", F.col("base") + F.col("k")).withColumn("finding_id", F.format_string("F%04d", F.col("finding_no"))).drop("k", "base")
+    order = [F.col("severity_rank").desc(), F.col("file_path"), F.col("line_number"), *map(F.col, _FOUND)]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_rows.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33) + 1))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    out = placed.join(F.broadcast(bases), "part")
+    return out.withColumn("finding_no", F.col("base") + F.col("k")).withColumn("finding_id", F.format_string("F%04d", F.col("finding_no"))).drop("k", "base", "part")
 
 
 def in_files(findings: DataFrame, name: str) -> DataFrame:

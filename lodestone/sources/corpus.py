@@ -214,6 +214,114 @@ EXPOSE 22
     "empty.py": "",
 }
 
+#: Files for the analyses that read the structure of code.
+CODE: dict[str, str] = {
+    "app/web/ReportController.java": """package app.web;
+
+@RestController
+public class ReportController extends BaseController implements Reports, Audited {
+    private final JdbcTemplate jdbc;
+
+    @GetMapping("/report")
+    public String report(@RequestParam("id") String id, @RequestHeader String agent) {
+        String sql = "SELECT * FROM r WHERE id = " + id;
+        statement.executeQuery(sql);
+        String safe = escapeHtml(id);
+        out.println(safe);
+        logger.info(agent.trim());
+        return sql;
+    }
+
+    @PostMapping("/run")
+    public void run(@RequestBody String body, int times) {
+        body = body + times;
+        runtime.exec(body);
+        String other = body;
+        runtime.exec(other);
+        List<String> all = new ArrayList<>(body);
+        files.delete(all);
+    }
+
+    public void plain(HttpServletRequest request) {
+        String name = request.getParameter("name");
+        statement.executeQuery("select " + name);
+        response.sendRedirect(name);
+        new Loader().openConnection(name);
+    }
+}
+""",
+    "app/web/BaseController.java": """package app.web;
+abstract class BaseController extends Root implements Closeable {
+    protected abstract void close(int how);
+    void run(String what) { close(1); }
+    static class Inner { String go(List<String> names, Map<String, Integer> counts) { return names.get(0); } }
+}
+class Root { void plain() { helper(); } }
+""",
+    "svc/handler.go": """package svc
+
+type Server struct {
+	db *sql.DB
+}
+
+func (s *Server) find(w http.ResponseWriter, r *http.Request) {
+	rows, _ := s.db.Query("select * from t where id = " + r.FormValue("id"))
+	out, _ := exec.Command("ls", r.URL.Query().Get("dir")).Output()
+	f, _ := os.Open(filepath.Clean(name))
+	resp, _ := http.Get(fmt.Sprintf("http://%s/", host))
+}
+""",
+    "svc/Repo.cs": """public class Repo {
+    public async Task<int> Count(string name) { return db.Users.Where(name).Count(); }
+    private string label = @"a path";
+}
+""",
+    "svc/Main.kt": """class Main {
+    fun start(port: Int) { server.listen(port, "127.0.0.1") }
+}
+object Single
+""",
+    "svc/cart.php": """<?php
+class Cart {
+    function add($item) { $this->store($item); Log::info("added $item"); }
+}
+""",
+    "svc/order.rb": """class Order
+  def total(items)
+    items.sum(:price)
+    puts 'done'
+  end
+end
+""",
+    "svc/store.rs": """pub struct Store { name: String }
+impl Store {
+    pub async fn open(path: &str) { std::fs::read(path); println("opened"); }
+}
+""",
+    "svc/Item.swift": """struct Item { let id: Int }
+class Basket { func add(item: Item) { items.append(item) } }
+let label = "basket"
+""",
+    "web/urls.py": """from django.urls import path
+urlpatterns = [
+    path('orders/', views.orders),
+    path("orders/<int:pk>/", views.order),
+]
+""",
+    "web/settings.py": "SECRET = 1\nDEBUG = True\n",
+    "web/flaskapp.py": """from flask import Flask
+app = Flask(__name__)
+@app.route('/login')
+def login(): pass
+@app.route("/items/<id>")
+def item(id): pass
+""",
+    "site/pages/api/users.js": "export default (req, res) => { if (req.method === 'POST') { res.end() } }\n",
+    "site/app/api/health.ts": "export const x = 1\n",
+    "site/next.config.js": "module.exports = { reactStrictMode: true }\n",
+    "site/package.json": '{"dependencies": {"next": "1"}}\n',
+}
+
 RULES: list[dict] = [
     {"id": "SQLI-100", "name": "Concatenated statement", "severity": "critical", "confidence": "high", "cwe": "CWE-89", "owasp": "A03", "tags": ["sql-injection"], "languages": ["java", "python"],
      "detection": {"patterns": [{"pattern": r"(?:insert|select)[^\n]*\"\s*\+"}, {"pattern": r"execute\([^)]*%", "language": "python"}]}},
@@ -227,9 +335,9 @@ RULES: list[dict] = [
 ]
 
 
-def files(spark: SparkSession) -> DataFrame:
+def files(spark: SparkSession, source: dict[str, str] = FILES) -> DataFrame:
     """The corpus as a files table."""
-    return from_table(spark.createDataFrame(list(FILES.items()), "path string, content string"))
+    return from_table(spark.createDataFrame(list(source.items()), "path string, content string"))
 
 
 def quoted(text: str | None) -> str:
@@ -237,9 +345,9 @@ def quoted(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
-def sql() -> str:
+def sql(source: dict[str, str] = FILES) -> str:
     """The corpus as an SQL query of (path, content, name, ext)."""
-    rows = ",\n".join(f"({quoted(p)}, {quoted(c)})" for p, c in FILES.items())
+    rows = ",\n".join(f"({quoted(p)}, {quoted(c)})" for p, c in source.items())
     return (
         "SELECT path, content, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS ext "
         f"FROM (VALUES {rows}) AS f(path, content)"
