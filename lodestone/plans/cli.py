@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.operators.findings import exit_code
-from lodestone.plans import reports
+from lodestone.functions.text import SEVERITIES
+from lodestone.operators.findings import at_least, exit_code
+from lodestone.plans import reports, spreadsheet
 from lodestone.plans.scan import Scan
 from lodestone.sources import files, rules
 
 
-def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+#: Files at a target's root with patterns of what not to scan; the first that is there counts.
+IGNORE_FILES = (".lodestoneignore", ".scanignore")
+
+
+def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lodestone", description=__doc__)
     parser.add_argument("target")
     parser.add_argument("--rules", required=True)
@@ -22,22 +28,50 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--severity")
     parser.add_argument("--exclude", action="append", default=[])
     parser.add_argument("--skip-tests", action="store_true")
-    parser.add_argument("-o", "--output", action="append", default=[], help="by suffix: .sarif, .html, .json (a folder), .csv (a folder), else text")
-    given = parser.parse_args(args)
+    scope = parser.add_mutually_exclusive_group()
+    scope.add_argument("--staged", action="store_true", help="only what is staged in git")
+    scope.add_argument("--since", help="only what changed since a git revision")
+    parser.add_argument("--fail-on", choices=list(SEVERITIES), help="exit with 1 for findings of this severity or worse, else with 0")
+    parser.add_argument("-o", "--output", action="append", default=[], help="by suffix: .sarif, .html, .report.json, .xlsx, .json (a folder of rows), .csv (a folder), else text")
+    return parser
+
+
+def _write(out: str, found: DataFrame, source: DataFrame, target: str, info: dict) -> None:
+    kind = Path(out).suffix
+    if kind == ".csv":
+        reports.write_csv(found, out)
+    elif kind == ".xlsx":
+        spreadsheet.write(found, out, info["files_scanned"])
+    elif kind == ".json" and not out.endswith(".report.json"):
+        reports.json_rows(found).write.text(out)
+    elif kind in (".json", ".sarif"):
+        parts = reports.json_parts(found, info) if kind == ".json" else reports.sarif_parts(found, "lodestone", "0.2", target, source.select("path"))
+        with open(out, "w") as file:
+            file.writelines(parts)
+    else:
+        Path(out).write_text(reports.html(found, target) if kind == ".html" else reports.console(found))
+
+
+def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    given = _arguments().parse_args(args)
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
-    source = files.from_tree(spark, given.target, given.exclude)
+    begun = time.time()
+    ignored = next((p for n in IGNORE_FILES if (p := Path(given.target) / n).is_file()), None)
+    excludes = given.exclude + (files.ignore_patterns(spark.read.text(str(ignored.resolve()))) if ignored else [])
+    source = files.from_tree(spark, given.target, excludes)
+    if given.staged or given.since:
+        source = files.scannable(source, files.git_paths(spark, given.target, given.since, given.staged))
+    table = rules.from_yaml(spark, given.rules)
     scan = Scan(languages=given.language.split(",") if given.language else None, severity_min=given.severity, skip_tests=given.skip_tests)
-    found = scan.run(source, rules.from_yaml(spark, given.rules)).cache()
-    for out in given.output:
-        kind = Path(out).suffix
-        if kind == ".csv":
-            reports.write_csv(found, out)
-        elif kind == ".json":
-            reports.json_rows(found).write.text(out)
-        else:
-            Path(out).write_text(reports.sarif(found, "lodestone", "0.1") if kind == ".sarif" else reports.html(found, given.target) if kind == ".html" else reports.console(found))
-    if not given.output:
+    found = scan.run(source, table).cache()
+    if given.output:
+        info = {"target": given.target, "files_scanned": source.count(), "rules_applied": table.filter("enabled").count(), "duration_seconds": round(time.time() - begun, 3)}
+        for out in given.output:
+            _write(out, found, source, given.target, info)
+    else:
         print(reports.console(found))
+    if given.fail_on:
+        return int(not at_least(found, given.fail_on).isEmpty())
     return exit_code(found).first().exit_code
 
 

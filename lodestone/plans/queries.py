@@ -14,7 +14,7 @@ from lodestone.operators import callgraph, checks, enrich, impact, lattice, myba
 from lodestone.operators import context as ctx
 from lodestone.operators import findings as relation
 from lodestone.operators.check_tables import ANGULAR, CLOUDFORMATION, DJANGO, FLASK, FRAMEWORKS, LANGUAGES, REACT, VUE
-from lodestone.plans import reports
+from lodestone.plans import code_queries, reports
 from lodestone.plans import sqltext as S
 from lodestone.plans.scan import Scan
 from lodestone.sources import corpus, files, rules
@@ -465,7 +465,8 @@ def queries() -> dict[str, Query]:
     }
     out |= {f"lang_checks_{x}": partial(_checked, f"language:{x}") for x in LANGUAGES}
     out |= {f"framework_checks_{x}": partial(_checked, f"framework:{x}") for x, (_, table) in FRAMEWORKS.items() if table}
-    return out | {f"iac_{x}": partial(_checked, f"iac:{x}") for x in ("terraform", "kubernetes", "dockerfile", "cloudformation")}
+    out |= {f"iac_{x}": partial(_checked, f"iac:{x}") for x in ("terraform", "kubernetes", "dockerfile", "cloudformation")}
+    return out | code_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -503,7 +504,7 @@ def oracle_sql() -> dict[str, str]:
     for name, table in (("django", DJANGO), ("flask", FLASK), ("react", REACT), ("vue", VUE), ("angular", ANGULAR)):
         out[f"framework_checks_{name}"] = S.check_queries(table, _extensions(FRAMEWORKS[name][0]))
     out["iac_cloudformation"] = S.check_queries(CLOUDFORMATION, "ext IN ('.yaml', '.yml', '.json') AND (contains(content, 'AWSTemplateFormatVersion') OR contains(content, 'Resources:'))")
-    return out
+    return out | code_queries.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

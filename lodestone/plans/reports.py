@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SARIF_LEVELS, SARIF_SCORES, fingerprint, html_escape, mapped, relative_path, severity_rank
@@ -41,27 +44,84 @@ def sarif_rules(findings: DataFrame, base: str | None = None) -> DataFrame:
 
 
 def sarif_results(findings: DataFrame, base: str | None = None) -> DataFrame:
-    """(finding_no, rule_id, rule_index, level, uri, line_number, fingerprint, partial)."""
+    """(finding_no, rule_id, rule_index, level, uri, line_number, fingerprint, partial) and what a result shows beside them."""
     rows = numbered(findings).join(sarif_rules(findings).select("rule_id", "rule_index"), "rule_id")
-    key = fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_number"))
-    return rows.select("finding_no", "rule_id", "rule_index", mapped(F.col("severity"), SARIF_LEVELS, "warning").alias("level"), relative_path(F.col("file_path"), base).alias("uri"), "line_number", key.alias("fingerprint"), F.crc32(F.coalesce("snippet", F.lit("")).cast("binary")).alias("partial"))
-
-
-def sarif(findings: DataFrame, tool: str, version: str, base: str | None = None) -> str:
-    """A whole SARIF document, for reports of a size that one file can hold."""
-    rules = [
-        {"id": r.rule_id, "name": r.rule_name, "defaultConfiguration": {"level": r.level}, "properties": {"security-severity": r.security_severity, "tags": r.tags}}
-        for r in sarif_rules(findings).orderBy("rule_index").collect()
-    ]
-    results = [
-        {
-            "ruleId": r.rule_id, "ruleIndex": r.rule_index, "level": r.level, "fingerprints": {"primary": r.fingerprint}, "partialFingerprints": {"snippet": str(r.partial)},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri}, "region": {"startLine": r.line_number}}}],
-        }
-        for r in sarif_results(findings, base).orderBy("finding_no").toLocalIterator()
-    ]
-    run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": results}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]})
+    uri = relative_path(F.col("file_path"), base)
+    key = fingerprint(F.col("rule_id"), uri, F.col("line_number"))
+    severity = F.col("severity")
+    return rows.select(
+        "finding_no", "rule_id", "rule_index", mapped(severity, SARIF_LEVELS, "warning").alias("level"), uri.alias("uri"), "line_number", key.alias("fingerprint"), F.crc32(key.cast("binary")).alias("partial"),
+        F.coalesce("description", "rule_name", F.lit("")).alias("message"), "snippet", mapped(severity, SARIF_SCORES, "5.0").alias("security_severity"), "confidence", "cwe", "owasp",
+    )
+
+
+#: Files that a SARIF document lists as scanned.
+SARIF_FILES = 1000
+
+
+def timestamp(moment: datetime | None = None) -> str:
+    """A moment (now) in UTC, as ISO 8601 with a Z."""
+    return (moment or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def visible(findings: DataFrame, include_suppressed: bool = False) -> DataFrame:
+    """findings less those whose metadata says that they are suppressed."""
+    return findings if include_suppressed else findings.filter(F.coalesce(F.col("metadata")["suppressed"], F.lit("false")) != "true")
+
+
+def _one_rule(r: Row) -> dict:
+    rule = {"id": r.rule_id, "name": r.rule_name, "defaultConfiguration": {"level": r.level}, "properties": {"security-severity": r.security_severity, "tags": r.tags}}
+    cwe = next((t for t in r.tags or () if re.fullmatch(r"CWE-\d+", t)), None)
+    return rule | ({"helpUri": f"https://cwe.mitre.org/data/definitions/{cwe[4:]}.html"} if cwe else {})
+
+
+def _one_result(r: Row) -> dict:
+    region = {"startLine": r.line_number, "startColumn": 1} | ({"snippet": {"text": r.snippet[:500]}} if r.snippet else {})
+    properties = {k: v for k, v in (("security-severity", r.security_severity), ("confidence", r.confidence), ("cwe", r.cwe), ("owasp", r.owasp)) if v}
+    return {
+        "ruleId": r.rule_id, "ruleIndex": r.rule_index, "level": r.level, "message": {"text": r.message}, "properties": properties,
+        "fingerprints": {"primaryLocationLineHash": r.fingerprint}, "partialFingerprints": {"primaryLocationLineHash": str(r.partial)},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri, "uriBaseId": "%SRCROOT%"}, "region": region}}],
+    }
+
+
+def sarif_parts(findings: DataFrame, tool: str, version: str, base: str | None = None, scanned: DataFrame | None = None, include_suppressed: bool = False) -> Iterator[str]:
+    """A whole SARIF document in pieces: results stream through the driver one by one; scanned: (path) of files to list, a thousand at most."""
+    shown = visible(findings, include_suppressed)
+    rules = [_one_rule(r) for r in sarif_rules(shown).orderBy("rule_index").collect()]  # a scan's rules
+    run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "invocations": [{"executionSuccessful": True, "endTimeUtc": timestamp()}]}
+    run["originalUriBaseIds"] = {"%SRCROOT%": {"uri": f"file://{base}/" if base else ""}}
+    if scanned is not None:
+        listed = scanned.select(relative_path(F.col("path"), base).alias("uri")).orderBy("uri").limit(SARIF_FILES)
+        run["artifacts"] = [{"location": {"uri": r.uri, "uriBaseId": "%SRCROOT%"}} for r in listed.collect()]
+    yield json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1] + ', "runs": [' + json.dumps(run)[:-1] + ', "results": ['
+    for k, r in enumerate(sarif_results(shown, base).orderBy("finding_no").toLocalIterator()):
+        yield (", " if k else "") + json.dumps(_one_result(r))
+    yield "]}]}"
+
+
+def sarif(findings: DataFrame, tool: str, version: str, base: str | None = None, **options) -> str:
+    """A whole SARIF document, for reports of a size that one text can hold."""
+    return "".join(sarif_parts(findings, tool, version, base, **options))
+
+
+def json_parts(findings: DataFrame, info: dict, errors: list[str] | None = None) -> Iterator[str]:
+    """A whole JSON report in pieces: scan_info, summary, total, findings and errors; findings stream through the driver."""
+    counts = {r.severity: r.n for r in summary(findings).collect()}
+    head = {"scan_info": {"timestamp": timestamp()} | info, "summary": counts, "total_findings": sum(counts.values()), "errors": errors or []}
+    yield json.dumps(head)[:-1] + ', "findings": ['
+    for k, r in enumerate(json_rows(findings).toLocalIterator()):
+        yield (", " if k else "") + r.value
+    yield "]}"
+
+
+def enhanced_json_parts(replies: DataFrame, info: dict, usage: dict) -> Iterator[str]:
+    """A JSON report of findings with a model's verdicts, in pieces."""
+    yield json.dumps({"timestamp": timestamp()} | info | {"llm_stats": usage})[:-1] + ', "enhanced_findings": ['
+    kept = [c for c in replies.columns if c not in ("prompt", "reply", "engine_seq", "rule_ord", "pattern_idx", "match_no")]
+    for k, r in enumerate(replies.select(F.to_json(F.struct(*kept)).alias("value")).toLocalIterator()):
+        yield (", " if k else "") + r.value
+    yield "]}"
 
 
 def console(findings: DataFrame, rows: int = 50) -> str:

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.regex import any_of
 from lodestone.operators import findings as relation
-from lodestone.operators import mybatis, onepass, spring, taint
+from lodestone.operators import astcheck, deepflow, mybatis, onepass, spring, taint
 from lodestone.operators.context import TEST_PATHS, VENDOR_PATHS, with_context
+from lodestone.operators.lineage import cut
 from lodestone.sources.rules import chosen
 
 
+def dataflow(files: DataFrame) -> DataFrame:
+    """Taint within methods; only where that finds nothing at all, taint by lines and along the call graph."""
+    deep = cut(deepflow.findings(files))
+    return taint.findings(files) if deep.isEmpty() else deep
+
+
 @dataclass(frozen=True)
 class Scan:
     """Options of a scan.  The engines' findings are one union, ordered, deduplicated and freed of doubtful ones."""
@@ -24,7 +31,7 @@ class Scan:
     skip_tests: bool = False
     skip_vendor: bool = True
     context_aware: bool = True
-    engines: tuple[str, ...] = field(default=("rules", "dataflow", "spring", "mybatis", "frameworks", "languages", "iac"))
+    engines: tuple[str, ...] = field(default=("rules", "ast", "dataflow", "spring", "mybatis", "frameworks", "languages", "iac"))
 
     def raw(self, files: DataFrame, rules: DataFrame) -> DataFrame:
         """Every engine's findings, before context and duplicates; rules pass over vendored and, on demand, test files."""
@@ -32,9 +39,9 @@ class Scan:
         left_out = (any_of(F.col("path"), VENDOR_PATHS) & F.lit(self.skip_vendor)) | (any_of(F.col("path"), TEST_PATHS) & F.lit(self.skip_tests))
         marked = files.withColumn("plain", ~left_out)
         parts = [onepass.scan(marked, wanted, self.engines, self.context_aware)]
-        for name, engine in (("dataflow", taint), ("spring", spring), ("mybatis", mybatis)):
+        for name, found in (("ast", astcheck.java_findings), ("dataflow", dataflow), ("spring", spring.project_findings), ("mybatis", mybatis.findings), ("languages", astcheck.go_findings)):
             if name in self.engines:
-                parts.append(engine.findings(files))
+                parts.append(found(files))
         return relation.union_all(*parts)
 
     def run(self, files: DataFrame, rules: DataFrame) -> DataFrame:
