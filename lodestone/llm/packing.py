@@ -1,19 +1,21 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous rounds.
 
-Pieces are range-sorted by length and gaps by size.  In a round every length
-looks for its successor, the smallest gap that holds it; where several lengths
-want one gap size the longest come first, by rank; what was placed shrinks its
-gaps, and rounds repeat until nothing fits, when as many sequences are opened
-as the rest needs at least.
-
-Pieces of one length are interchangeable, so a round moves runs: (length,
-count) and (gap, first sequence, count).  There are at most ``capacity``
-lengths and gap sizes however large the corpus, so the sweeps work on tables
-of that size and their outcome is a plan of rank ranges, each a length's ranks
-and the sequences they go to.  All that grows with the corpus stays in the
-cluster: tokenizing, counting lengths, ranking pieces within their length
-(from the counts of each task, so that a length with a third of all pieces is
-never gathered) and looking up each piece's rank in the plan.
+Pieces are range-sorted by length and gaps by size, in one order from the
+largest down.  A round sweeps it: a piece takes the last gap before it that is
+free, which is its successor, the smallest gap that holds it; where several
+want one gap the longest comes first, by rank.  Each gap takes one piece a
+round.  Ranges are swept apart, and what they leave is swept together: as
+pieces and gaps pair like brackets, that is the sweep of the whole order.
+Then gaps are updated and the next round begins; where nothing fits, as many
+sequences are opened as the rest needs at least.
+
+Pieces of one length are interchangeable, and so are gaps of one size, so the
+tables hold runs of them: (length, first rank, count) and (size, first
+sequence, count).  There are at most ``capacity`` lengths and a few runs for
+each, however large the corpus.  The driver sees two counters a round.  All
+that grows with the corpus is tokenizing, counting lengths, ranking pieces
+within their length (from the counts of each task, so that a length with a
+third of all pieces is never gathered) and looking up each piece's rank.
 
 Defined cases: null and empty texts are a single end id; repeated rows are
 packed each; an empty table gives an empty result.
@@ -22,8 +24,7 @@ packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, quoted, small_batches, text_or_empty, written
+from .common import discard, map_arrow, quoted, small_batches, text_or_empty, tidy, written
 from .tokens import BYTE_LEVEL, encoder, public_path
 
 CAPACITY = 1024
@@ -68,72 +69,98 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
             )
 
     texts = docs.select(quoted(id_col), text_or_empty(quoted(text_col)).alias("t"))
-    return texts.mapInArrow(run, f"{quoted(id_col)} {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return texts.mapInArrow(tidy(run), f"{quoted(id_col)} {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+
+
+#: Kinds of rows: gaps and pieces that a round sweeps, and what it makes: gaps of the next round and placed pieces.
+GAP, PIECE, NEXT, PLACED = range(4)
+#: Columns of runs; a placed run's number is its first rank, its sequence and offset where it goes.
+RUN = "kind int, value long, number long, n long, sequence long, offset long"
+#: Ranges that a round sweeps side by side.
+RANGES = 8
+
+
+def swept(rows: Iterable[tuple[int, ...]], capacity: int) -> Iterator[tuple[int, ...]]:
+    """One sweep over runs in order of falling value, gaps before pieces of their size."""
+    free: list[tuple[int, int, int]] = []
+    for kind, value, number, n, sequence, offset in rows:
+        if kind == GAP:
+            free.append((value, number, n))
+        elif kind == PIECE:
+            while n and free:
+                size, first, count = free.pop()
+                took = min(n, count)
+                yield PLACED, value, number, took, first, capacity - size
+                if size > value:
+                    yield NEXT, size - value, first, took, 0, 0
+                if took < count:
+                    free.append((size, first + took, count - took))
+                number, n = number + took, n - took
+            if n:
+                yield PIECE, value, number, n, 0, 0
+        else:
+            yield kind, value, number, n, sequence, offset
+    for value, number, n in free:
+        yield GAP, value, number, n, 0, 0
+
+
+def _order(row: tuple[int, ...]) -> tuple[int, ...]:
+    return -row[1], row[0], row[2]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: where each length's ranks go, up to the next row's first rank."""
-    waiting = {n: c for n, c in counts.items() if c}
-    placed = dict.fromkeys(waiting, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # gap sizes that are open, ascending
-    rows: list[tuple[int, int, int, int]] = []
-    sequences = 0
-
-    def add_gap(size: int, first: int, count: int) -> None:
-        if size:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, count))
-
-    def place(length: int, size: int, most: int) -> int:
-        """Put up to most pieces of a length into gaps of a size, one each."""
-        left = most
-        while left and gaps.get(size):
-            first, count = gaps[size].pop()
-            took = min(count, left)
-            rows.append((length, placed[length], first, capacity - size))
-            placed[length] += took
-            if took < count:
-                gaps[size].append((first + took, count - took))
-            left -= took
-            updates.append((size - length, first, took))
-        if size in gaps and not gaps[size]:
-            del gaps[size]
-            sizes.remove(size)
-        waiting[length] -= most - left
-        if not waiting[length]:
-            del waiting[length]
-        return most - left
-
-    updates: list[tuple[int, int, int]] = []
-    for length in sorted(waiting, reverse=True):  # no two of these fit one sequence
-        if 2 * length > capacity:
-            add_gap(capacity, sequences, waiting[length])
-            sequences += waiting[length]
-            place(length, capacity, waiting[length])
-    for u in updates:
-        add_gap(*u)
+    """Rows (length, first rank, first sequence, offset), sorted: where each length's ranks go, up to the next row's first rank; by the same rounds, in memory."""
+    rows = [(PIECE, n, 0, c, 0, 0) for n, c in counts.items() if c]
+    sequences, out = 0, []
+    opened = sum(c for n, c in counts.items() if 2 * n > capacity) or -(-sum(n * c for n, c in counts.items()) // capacity)  # no two of the first fit one sequence
+    while any(r[0] == PIECE for r in rows):
+        if opened:
+            rows.append((GAP, capacity, sequences, opened, 0, 0))
+            sequences += opened
+        made = list(swept(sorted(rows, key=_order), capacity))
+        placed = [r for r in made if r[0] == PLACED]
+        out += [(r[1], r[2], r[4], r[5]) for r in placed]
+        rows = [(GAP, *r[1:]) if r[0] == NEXT else r for r in made if r[0] != PLACED]
+        opened = 0 if placed else -(-sum(r[1] * r[3] for r in rows if r[0] == PIECE) // capacity)
+    return np.array(sorted(out), np.int64).reshape(-1, 4)
+
+
+def placed_runs(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """The same from (length, n), a round at a time on tables: (value, number, n, sequence, offset) of every run that is placed."""
+    spark = counts.sparkSession
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = list(swept(rows, capacity))
+        if made:
+            columns = list(zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["kind", "value", "number", "n", "sequence", "offset"])
+
+    none = F.lit(0).cast("long")
+    state = written(counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("value"), none.alias("number"), F.col("n"), none.alias("sequence"), none.alias("offset")), "pack-round")
+    tables, sequences = [], 0
+    tokens, waiting, long = state.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("value") * F.col("n"), F.col("n"), F.when(F.col("value") * 2 > capacity, F.col("n")))]).first()
+    opened = long or -(-tokens // capacity)  # no two of the long ones fit one sequence
+    order = [F.col("value").desc(), F.col("kind"), F.col("number")]
     while waiting:
-        updates = []
-        proposals: dict[int, list[int]] = {}
-        for length in sorted(waiting, reverse=True):  # the sweep: each length's successor among the gaps
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                proposals.setdefault(sizes[at], []).append(length)
-        for size, lengths in proposals.items():
-            for length in lengths:  # longest first: by rank
-                if size not in gaps:
-                    break
-                place(length, size, waiting[length])
-        for u in updates:
-            add_gap(*u)
-        if not proposals:
-            count = -(-sum(n * c for n, c in waiting.items()) // capacity)
-            add_gap(capacity, sequences, count)
-            sequences += count
-    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+        rows = state.filter(F.col("kind") != PLACED).withColumn("kind", F.when(F.col("kind") == NEXT, GAP).otherwise(F.col("kind")))
+        if opened:
+            rows = rows.unionByName(spark.createDataFrame([(GAP, capacity, sequences, opened, 0, 0)], RUN))
+            sequences += opened
+        local = rows.repartitionByRange(ranges, F.col("value").desc()).sortWithinPartitions(*order).mapInArrow(tidy(sweep), RUN)
+        # what the ranges leave: a few runs for each length and size, whatever the corpus
+        state = written(local.repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(sweep), RUN), "pack-round")
+        tables.append(state)
+        piece = F.col("kind") == PIECE
+        tokens, placed, waiting = state.agg(*[F.coalesce(F.sum(F.when(c, v)), F.lit(0)) for c, v in ((piece, F.col("value") * F.col("n")), (F.col("kind") == PLACED, F.col("n")), (piece, F.col("n")))]).first()
+        opened = 0 if placed else -(-tokens // capacity)
+    if not tables:
+        return state.filter("false").drop("kind")
+    paths = [t._lodestone_path for t in tables]
+    found = written(spark.read.schema(state.schema).parquet(*paths).filter(F.col("kind") == PLACED).drop("kind"), "pack-plan")
+    for t in tables:
+        discard(t)
+    return found
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -141,19 +168,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     cutup = written(pieces(docs, id_col, text_col, tokenizer or public_path("byte_bpe_50k.json"), end_id, capacity), "pack-pieces")
     per_task = written(cutup.groupBy("part", "length").count(), "pack-counts")
-    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
-    table = spark.sparkContext.broadcast(plan(counts, capacity))
+    runs = placed_runs(per_task.groupBy("length").agg(F.sum("count").alias("n")), capacity)
+    found = runs.select("value", "number", "sequence", "offset").orderBy("value", "number").toArrow()  # a few rows for each length
+    table = spark.sparkContext.broadcast(np.stack([found.column(k).to_numpy() for k in range(4)], axis=1) if found.num_rows else np.empty((0, 4), np.int64))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cutup.join(bases, ["part", "length"]).select(quoted(id_col), "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
+    # as many rows as tasks times lengths: joined by shuffle, as that grows with the corpus
+    ranked = cutup.join(bases.hint("merge"), ["part", "length"]).select(quoted(id_col), "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 
     def look_up(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = table.value
         length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
         key = lambda n, r: n * (1 << 48) + r  # noqa: E731  a length's ranks stay below 2 ** 48
         at = np.searchsorted(key(rows[:, 0], rows[:, 1]), key(length, rank), side="right") - 1
-        found = rows[at]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(found[:, 2] + rank - found[:, 1]), pa.array(found[:, 3])], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        place = rows[at]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(place[:, 2] + rank - place[:, 1]), pa.array(place[:, 3])], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)[id_col]
     return map_arrow(ranked, look_up, f"{quoted(id_col)} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_path, quoted, small_batches, text_or_empty
+from .common import input_bytes, map_arrow, new_path, quoted, shuffle_partitions, small_batches, text_or_empty, tidy
 from .tokens import WORD_LEVEL, encoder, public_path
 
 END_ID = 1
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
+#: Bytes of input (as stored) that a file holds the tokens of, at most about.
+RANGE_BYTES = 128 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES, row_stride: int = ROW_STRIDE) -> None:
@@ -55,8 +57,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(np.full(len(ids), shard), pa.int32()), pa.array(starts), pa.array(sizes), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
     texts = docs.select(F.col(quoted(id_col)).alias("i"), text_or_empty(quoted(text_col)).alias("t"))
-    ordered = texts.repartitionByRange("i").sortWithinPartitions("i", F.xxhash64("t"))
-    rows = ordered.mapInArrow(run, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids array<int>")
+    ranges = max(shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // RANGE_BYTES))
+    ordered = texts.repartitionByRange(ranges, "i").sortWithinPartitions("i", F.xxhash64("t"))
+    rows = ordered.mapInArrow(tidy(run), f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(row_stride), "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
     rows.write.options(**options).orc(path)
 

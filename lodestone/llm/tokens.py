@@ -3,7 +3,9 @@
 Both tokenizers split a text into pieces that never cross the chunks below, so
 the ids of a text are those of its chunks in order.  Each chunk not seen
 before goes through the tokenizers library; its ids are kept in a cache of two
-generations, so memory is bounded and frequent chunks stay.
+generations, so memory is bounded and frequent chunks stay.  A text that holds
+the string of an added token, such as <|endoftext|>, goes through the library
+whole, which gives the token's id for it (its own default).
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I).search
         self.model = self.tokenizer.model
         self.keeps_space = chunks == BYTE_LEVEL
         self.find = re.compile(chunks).findall
@@ -95,13 +98,14 @@ class ChunkEncoder:
                 size += len(texts[to])
                 to += 1
             part = texts[at:to]
+            whole = {i: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4") for i, t in enumerate(part) if self.added(t)}
             if not self.keeps_space:  # ids don't depend on case; of Latin letters, lower case is the same everywhere
                 part = [t if self.beyond_latin(t) else t.lower() for t in part]
             found = [self.find(t) for t in part]
             once = self._learn(set().union(*found))
             get = (self.young | once if once else self.young).__getitem__
-            for chunks in found:
-                out.append(np.frombuffer(b"".join(map(get, chunks)) + tail, "<u4"))
+            for i, chunks in enumerate(found):
+                out.append(whole[i] if i in whole else np.frombuffer(b"".join(map(get, chunks)) + tail, "<u4"))
             at = to
         return out
 

@@ -15,7 +15,6 @@ MODELS = {"byte_bpe_50k.json": BYTE_LEVEL, "word_bpe_49k.json": WORD_LEVEL}
 
 def whole(name, texts, end):
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return [np.array(x.ids + [end], "<u4") for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -26,6 +25,14 @@ def test_chunks_give_the_library_ids(name, text):
     assert encoder(public_path(name), MODELS[name]).encode([text], 7)[0].tolist() == whole(name, [text], 7)[0].tolist()
 
 
+@pytest.mark.parametrize("name", MODELS)
+def test_strings_of_added_tokens_are_their_ids(name):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|> z", "plain Text", "<|endoftext"]
+    got = [x.tolist() for x in encoder(public_path(name), MODELS[name]).encode(texts, 7)]
+    assert got == [x.tolist() for x in whole(name, texts, 7)]
+    assert {"byte_bpe_50k.json": 50256, "word_bpe_49k.json": 49407}[name] in got[0]
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     from lodestone.llm import tokens
 
@@ -102,3 +109,18 @@ def test_token_files(spark, docs, rows, tmp_path):
 
 def test_empty_tables(empty):
     assert pack(empty).count() == tokenize(empty).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_rounds_on_tables_equal_rounds_in_memory(spark, ranges):
+    from lodestone.llm.packing import placed_runs
+
+    rng = np.random.default_rng(4)
+    counts = {int(n): int(c) for n, c in zip(rng.integers(1, 100, 40), rng.integers(1, 30, 40))}
+    table = spark.createDataFrame(list(counts.items()), "length long, n long")
+    got = np.array(sorted((r.value, r.number, r.sequence, r.offset) for r in placed_runs(table, 100, ranges).collect()))
+    wanted = plan(counts, 100)
+    places = lambda rows: {(n, k, first + k - rank, offset) for (n, rank, first, offset), end in zip(rows.tolist(), ends(rows)) for k in range(rank, end)}
+    ends = lambda rows: [int(b[1]) if b is not None and b[0] == a[0] else counts[int(a[0])] for a, b in zip(rows, [*rows[1:], None])]
+    assert places(got) == places(wanted)
+    assert placed_runs(table.limit(0), 100).count() == 0
