@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import scriptcode
 from lodestone.functions.javacode import Java, blanked, parts
 from lodestone.functions.text import mapped
 from lodestone.operators.check_tables import LANGUAGES
@@ -110,6 +111,18 @@ def _each(files: DataFrame, read: Callable[[str], Iterator[tuple]], schema: str)
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def script_calls(files: DataFrame) -> DataFrame:
+    """(file_path, n, function, line, arguments, code) of the calls in Python, JavaScript and TypeScript files."""
+    schema = "file_path string, n int, function string, line int, arguments array<string>, code string"
+    python = _each(files.filter(F.col("ext") == ".py"), scriptcode.python_calls, schema)
+    return python.unionByName(_each(files.filter(F.col("ext").isin(".js", ".jsx", ".ts", ".tsx")), scriptcode.script_calls, schema))
+
+
+def python_functions(files: DataFrame) -> DataFrame:
+    """(file_path, n, name, first_line, last_line, parameters) of the functions in Python files."""
+    return _each(files.filter(F.col("ext") == ".py"), scriptcode.python_functions, "file_path string, n int, name string, first_line int, last_line int, parameters array<string>")
+
+
 def java_findings(files: DataFrame) -> DataFrame:
     """AST-<KIND>-001 of Java files."""
     rows = _each(files.filter(F.col("ext") == ".java"), java_calls, "file_path string, n int, kind string, sink string, line int, code string, sure boolean")

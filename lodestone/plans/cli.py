@@ -16,6 +16,8 @@ from lodestone.plans.scan import Scan
 from lodestone.sources import files, rules
 
 
+#: The rules that come along.
+STARTER = Path(__file__).resolve().parents[1] / "rules"
 #: Files at a target's root with patterns of what not to scan; the first that is there counts.
 IGNORE_FILES = (".lodestoneignore", ".scanignore")
 
@@ -23,7 +25,7 @@ IGNORE_FILES = (".lodestoneignore", ".scanignore")
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lodestone", description=__doc__)
     parser.add_argument("target")
-    parser.add_argument("--rules", required=True)
+    parser.add_argument("--rules", default=str(STARTER), help="a folder or a file of rules; a small set of our own by default")
     parser.add_argument("--language", help="comma-separated")
     parser.add_argument("--severity")
     parser.add_argument("--exclude", action="append", default=[])

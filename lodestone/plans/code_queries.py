@@ -134,6 +134,26 @@ SIGNATURES_SQL = values(
 )
 
 
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return astcheck.script_calls(_code(spark)).select("file_path", "function", "line", F.array_join("arguments", "|").alias("arguments"))
+
+
+SCRIPT_SQL = values(
+    "file_path, function, line, arguments",
+    [
+        ("web/urls.py", "path", 3, "'orders/'|views.orders"), ("web/urls.py", "path", 4, '"orders/<int:pk>/"|views.order'), ("web/flaskapp.py", "Flask", 2, "__name__"),
+        ("web/flaskapp.py", "app.route", 3, "'/login'"), ("web/flaskapp.py", "app.route", 5, '"/items/<id>"'), ("site/pages/api/users.js", "res.end", 1, ""),
+    ],
+)
+
+
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return astcheck.python_functions(_code(spark)).select("file_path", "name", "first_line", "last_line", F.array_join("parameters", ",").alias("parameters"))
+
+
+FUNCTIONS_SQL = values("file_path, name, first_line, last_line, parameters", [("web/flaskapp.py", "login", 4, 4, ""), ("web/flaskapp.py", "item", 6, 6, "id")])
+
+
 # --- extractors, endpoints and signs
 
 
@@ -377,7 +397,7 @@ SELECT expression, CASE expression WHEN 'new ArrayList<String>(' THEN 'ArrayList
 
 _PLAIN: dict[str, tuple[Query, str]] = {
     "deep_dataflow": (deep_dataflow, DEEP_SQL), "ssa_statements": (ssa_statements, SSA_SQL), "dataflow_stats": (dataflow_stats, STATS_SQL), "ast_findings": (ast_findings, AST_SQL), "go_ast_findings": (go_ast_findings, GO_SQL),
-    "java_types": (java_types, TYPES_SQL), "java_signatures": (java_signatures, SIGNATURES_SQL), "extracted_names": (extracted_names, NAMES_SQL), "framework_endpoints": (framework_endpoints, ENDPOINTS_SQL),
+    "script_calls": (script_calls, SCRIPT_SQL), "python_functions": (python_functions, FUNCTIONS_SQL), "java_types": (java_types, TYPES_SQL), "java_signatures": (java_signatures, SIGNATURES_SQL), "extracted_names": (extracted_names, NAMES_SQL), "framework_endpoints": (framework_endpoints, ENDPOINTS_SQL),
     "framework_settings": (framework_settings, SETTINGS_SQL), "framework_signs": (framework_signs, SIGNS_SQL), "spring_gate": (spring_gate, SPRING_GATE_SQL), "sanitizer_lookup": (sanitizer_lookup, _sanitizers_sql()),
     "multilang_lookup": (multilang_lookup, _multilang_sql()), "type_chains": (type_chains, CHAINS_SQL), "type_interfaces": (type_interfaces, INTERFACES_SQL), "type_subtypes": (type_subtypes, SUBTYPES_SQL),
     "type_targets": (type_targets, TARGETS_SQL), "named_targets": (named_targets, NAMED_SQL), "type_guess": (type_guess, GUESS_SQL), "type_inference": (type_inference, INFERENCE_SQL),

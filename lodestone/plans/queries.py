@@ -23,8 +23,6 @@ from lodestone.streaming.incremental import windowed_metrics
 Query = Callable[[SparkSession, str], DataFrame]
 SECRET = r'(?:token|key|secret)\s*=\s*"[^"]{16,}"'
 CHECK_COLUMNS = ("file_path", "rule_id", "pattern_idx", "match_no", "line_number", "severity", "confidence", "cwe", "owasp")
-GRAPH = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("f", "g"), ("e", "h"), ("a", "d")]
-SITES = [("m1", "m2", ["x + 1", "k"]), ("m2", "m3", ["param_0", "z"]), ("m3", "m1", ["q", "param_0"]), ("m1", "m3", ["lit", "y"]), ("m4", "m5", ["w"])]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +91,9 @@ def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILE_FILTER_SQL = f"""
-WITH p AS (SELECT path, regexp_extract(path, '(\\.[^.]+)$', 1) AS ext, octet_length(encode(content)) AS size FROM ({S.PATHS}))
-SELECT path, ext, ext IN ('.py', '.java', '.yml') AND size <= 10485760 AND NOT contains(path, '/vendor/') AND NOT contains(path, '/node_modules/')
-       AND NOT contains(path, 'doc_1') AND NOT contains(path, '/src3/') AS selected FROM p"""
+WITH p AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS ext, octet_length(encode(content)) AS size FROM ({S.PATHS}))
+SELECT path, ext, (list_contains({S.lit(files.EXTENSIONS)}, ext) OR list_contains({S.lit(files.NAMES)}, name)) AND size <= 10485760 AND NOT list_contains({S.lit(files.SKIP_NAMES)}, name)
+       AND NOT list_has_any(string_split(regexp_replace(path, '/[^/]*$', ''), '/'), {S.lit(files.SKIP_DIRECTORIES)}) AND NOT contains(path, 'doc_1') AND NOT contains(path, '/src3/') AS selected FROM p"""
 
 
 def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +143,8 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rules_sql() -> str:
     parsed = [r for r in map(rules.parsed, corpus.RULES) if r]
-    row = lambda i, r: f"({i}, {S.quoted(r[1])}, {S.quoted(r[4])}, {S.quoted(r[7])}, {S.lit(r[10])}::VARCHAR[], {len(r[12])}, {str(r[16]).lower()})"
-    return f"SELECT * FROM (VALUES {', '.join(row(i, r) for i, r in enumerate(parsed))}) AS r(rule_ord, rule_id, severity, owasp, languages, n_patterns, enabled)"
+    row = lambda i, r: f"({i}, {S.quoted(r[1])}, {S.quoted(r[4])}, {S.quoted(r[7])}, {S.lit(r[9])}::VARCHAR[], {S.lit(r[10])}::VARCHAR[], {len(r[12])}, {str(r[16]).lower()})"
+    return f"SELECT * FROM (VALUES {', '.join(row(i, r) for i, r in enumerate(parsed))}) AS r(rule_ord, rule_id, severity, owasp, tags, languages, n_patterns, enabled)"
 
 
 RULE_FILTER_SQL = f"SELECT rule_id, severity, n_patterns FROM ({_rules_sql()}) WHERE enabled AND (len(languages) = 0 OR list_contains(languages, 'java')) AND {S.RANK} >= 3"
@@ -329,8 +327,10 @@ def impact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IMPACT_SQL = f"""
-SELECT rule_id, severity, CASE {" ".join(f"WHEN cwe = {S.quoted(k)} THEN {S.quoted(v)}" for k, v in impact.BY_CWE.items())}
-       WHEN rule_id = 'LOG-001' THEN {S.quoted(impact.BY_TAG["config"])} END AS impact, count(*) AS n FROM ({S.FINDINGS}) GROUP BY ALL"""
+WITH t(k, o, text) AS (VALUES {", ".join(f"({S.quoted(k)}, {i}, {S.quoted(v)})" for i, (k, v) in enumerate(impact.BY_TAG.items()))})
+SELECT rule_id, severity, coalesce(CASE {" ".join(f"WHEN cwe = {S.quoted(k)} THEN {S.quoted(v)}" for k, v in impact.BY_CWE.items())} END,
+       CASE WHEN rule_id = 'LOG-001' THEN (SELECT text FROM t WHERE contains('app-config', k) OR contains(k, 'app-config') ORDER BY o LIMIT 1) END,
+       CASE severity {" ".join(f"WHEN {S.quoted(k)} THEN {S.quoted(v)}" for k, v in impact.BY_SEVERITY.items())} END) AS impact, count(*) AS n FROM ({S.FINDINGS}) GROUP BY ALL"""
 
 
 # --- graphs, taint and the lattice
@@ -348,49 +348,55 @@ e AS (SELECT CAST(l_partkey % 40 AS VARCHAR) AS file_path, CAST(l_quantity * 3 -
 SELECT uid, count(*) AS n FROM e ASOF LEFT JOIN h ON e.file_path = h.file_path AND e.line >= h.start_line GROUP BY 1"""
 
 
-def _graph(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GRAPH, "caller_uid string, callee_uid string")
+def _halves(spark: SparkSession, sf_dir: str, *divisors: int) -> DataFrame:
+    """Parts as methods, each calling those of a half, a third and so on of its number."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    calls = F.filter(F.array(*[F.floor(F.col("p") / d) for d in divisors]), lambda x: x > 0)
+    return part.select(F.col("p").cast("string").alias("caller_uid"), F.explode(calls).alias("c")).select("caller_uid", F.col("c").cast("string").alias("callee_uid"))
 
 
-def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = spark.createDataFrame([("a",), ("f",)], "s string")
-    return callgraph.reached(_graph(spark), starts).select("start", "node", F.col("depth").cast("int").alias("depth"), F.array_join("path", ">").alias("path"))
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the largest size, as methods that a request reaches."""
+    return _table(spark, sf_dir, "part").filter("p_size = 50").select(F.col("p_partkey").cast("string").alias("s"))
 
 
-def _edges_sql() -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in GRAPH)}) AS e(a, b)"
+def call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = callgraph.reached(_halves(spark, sf_dir, 2, 3), _entries(spark, sf_dir))
+    return found.select("start", "node", F.col("depth").cast("int").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
-CHAINS_SQL = f"""
-WITH RECURSIVE e AS ({_edges_sql()}), w(start, node, depth, path) AS (
-  SELECT s, s, 0, s FROM (VALUES ('a'), ('f')) AS v(s)
-  UNION ALL SELECT w.start, e.b, w.depth + 1, w.path || '>' || e.b FROM w JOIN e ON e.a = w.node WHERE w.depth < 10 AND NOT contains(w.path, e.b))
-SELECT start, node, CAST(min(depth) AS INTEGER) AS depth, arg_min(path, (depth, path)) AS path FROM w GROUP BY start, node"""
+CHAINS_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, unnest([p_partkey // 2, p_partkey // 3]) AS b FROM part), w(start, node, depth, path) AS (
+  SELECT p_partkey, p_partkey, 0, [CAST(p_partkey AS VARCHAR)] FROM part WHERE p_size = 50
+  UNION ALL SELECT w.start, e.b, w.depth + 1, list_append(w.path, CAST(e.b AS VARCHAR)) FROM w JOIN e ON e.a = w.node WHERE w.depth < 10 AND e.b > 0)
+SELECT CAST(start AS VARCHAR) AS start, CAST(node AS VARCHAR) AS node, CAST(min(depth) AS INTEGER) AS depth, array_to_string(arg_min(path, (depth, path)), '>') AS path FROM w GROUP BY w.start, w.node"""
 
 
 def superclass_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hierarchy = spark.createDataFrame([("C", "B"), ("B", "A"), ("A", "Object"), ("D", "A")], "child string, parent string")
-    return callgraph.superclasses(hierarchy, spark.createDataFrame([("C",), ("D",)], "s string")).select("start", "node", F.col("depth").cast("int").alias("depth"))
+    hierarchy = _halves(spark, sf_dir, 2).select(F.col("caller_uid").alias("child"), F.col("callee_uid").alias("parent"))
+    return callgraph.superclasses(hierarchy, _entries(spark, sf_dir)).select("start", "node", F.col("depth").cast("int").alias("depth"))
 
 
 SUPERCLASS_SQL = """
-WITH RECURSIVE h(c, p) AS (VALUES ('C', 'B'), ('B', 'A'), ('A', 'Object'), ('D', 'A')),
-w(start, node, depth) AS (SELECT c, p, 1 FROM h WHERE c IN ('C', 'D') UNION ALL SELECT start, p, depth + 1 FROM w JOIN h ON c = node)
-SELECT start, node, CAST(depth AS INTEGER) AS depth FROM w"""
+WITH RECURSIVE w(start, node, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_size = 50 AND p_partkey > 1 UNION ALL SELECT start, node // 2, depth + 1 FROM w WHERE node // 2 > 0)
+SELECT CAST(start AS VARCHAR) AS start, CAST(node AS VARCHAR) AS node, CAST(depth AS INTEGER) AS depth FROM w"""
 
 
 def taint_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([("m1", "x", "http_parameter", "f:1", []), ("m4", "other", "cookie", "f:2", [])], "uid string, var string, source_type string, source_loc string, path array<string>")
-    sites = spark.createDataFrame(SITES, "caller_uid string, callee_uid string, args array<string>")
-    return taint.propagated(seeds, sites).select("uid", "var", "source_type", F.size("path").alias("hops"))
+    entries = _entries(spark, sf_dir)
+    seeds = entries.select(F.col("s").alias("uid"), F.lit("x").alias("var"), F.lit("http_parameter").alias("source_type"), F.concat(F.lit("f:"), "s").alias("source_loc"), F.array().cast("array<string>").alias("path"))
+    p, size = F.col("p_partkey"), F.col("p_size")
+    args = F.array(F.concat(F.lit("x + param_"), (p % 2).cast("string")), F.concat(F.lit("param_"), (size % 2).cast("string")))
+    sites = _table(spark, sf_dir, "part").filter("p_partkey > 1").select(p.cast("string").alias("caller_uid"), F.floor(p / 2).cast("string").alias("callee_uid"), args.alias("args"))
+    return taint.propagated(seeds, sites).select("uid", "var", F.size("path").alias("hops"))
 
 
-TAINT_SQL = f"""
-WITH RECURSIVE s(a, b, args) AS (VALUES {", ".join(f"('{a}', '{b}', {S.lit(x)})" for a, b, x in SITES)}),
-w(uid, var, source_type, hops) AS (
-  SELECT * FROM (VALUES ('m1', 'x', 'http_parameter', 0), ('m4', 'other', 'cookie', 0)) AS v(uid, var, source_type, hops)
-  UNION SELECT s.b, 'param_' || (k - 1), w.source_type, w.hops + 1 FROM w JOIN s ON s.a = w.uid, range(1, len(s.args) + 1) AS t(k) WHERE contains(s.args[k], w.var) AND w.hops < 8)
-SELECT uid, var, arg_min(source_type, hops) AS source_type, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1, 2"""
+TAINT_SQL = """
+WITH RECURSIVE s AS (SELECT p_partkey AS a, p_partkey // 2 AS b, ['x + param_' || (p_partkey % 2), 'param_' || (p_size % 2)] AS args FROM part WHERE p_partkey > 1),
+w(uid, var, hops) AS (
+  SELECT p_partkey, 'x', 0 FROM part WHERE p_size = 50
+  UNION SELECT s.b, 'param_' || (k - 1), w.hops + 1 FROM w JOIN s ON s.a = w.uid, range(1, len(s.args) + 1) AS t(k) WHERE contains(s.args[k], w.var))
+SELECT CAST(uid AS VARCHAR) AS uid, var, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1, 2"""
 
 
 def lattice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,6 +424,35 @@ SELECT event_id,
 # --- metrics and the rest
 
 
+# --- expected rows over the corpus, where SQL has not the patterns or the structure
+
+_ORDERS, _MAPPER = "src/main/java/shop/OrderController.java", "src/main/resources/mappers/OrderMapper.xml"
+ENDPOINTS_SQL = code_queries.values(
+    "path, line_number, class_name, method_name, http_method, url, params, has_authentication, has_validation, snippet",
+    [
+        (_ORDERS, 7, "OrderController", "one", "GET", "/orders/{id}", "@PathVariable Long id", False, False, '@GetMapping("/{id}")'),
+        (_ORDERS, 10, "OrderController", "add", "POST", "/orders", "@RequestBody OrderForm form", False, False, "@PostMapping"),
+        (_ORDERS, 18, "OrderController", "drop", "DELETE", "/orders/{id}", "@PathVariable Long id", True, False, '@DeleteMapping("/{id}")'),
+    ],
+)
+
+
+def _expected(rows: list[tuple]) -> str:
+    return code_queries.values(", ".join(CHECK_COLUMNS), rows)
+
+
+MAPPER_SQL = _expected([(_MAPPER, f"MYBATIS-{r}", i, n, line, severity, confidence, "CWE-89", "A03") for r, i, n, line, severity, confidence in (
+    ("001", 0, 0, 7, "critical", "high"), ("001", 0, 0, 11, "high", "high"), ("001", 0, 0, 14, "high", "medium"), ("001", 0, 1, 14, "high", "medium"), ("001", 0, 0, 19, "high", "medium"),
+    ("002", 1, 0, 14, "high", "medium"), ("003", 2, 0, 14, "high", "medium"), ("004", 3, 0, 11, "critical", "high"),
+)])
+KUBERNETES_SQL = _expected([("ops/pod.yaml", f"K8S-{r}", 0, 1, line, severity, "high", cwe, "A05") for r, line, severity, cwe in (
+    ("PRIVILEG", 11, "critical", "CWE-250"), ("NO_RESOU", 8, "medium", "CWE-770"), ("HOST_NET", 7, "high", "CWE-284"), ("DEFAULT_", 5, "low", "CWE-1188"), ("LATEST_I", 9, "low", "CWE-1104"),
+)])
+DOCKERFILE_SQL = _expected([("ops/Dockerfile", f"DOCKER-{r}", 0, 1, line, severity, "high", cwe, "A05") for r, line, severity, cwe in (
+    ("ROOT-001", 1, "high", "CWE-250"), ("LATEST", 1, "medium", "CWE-1104"), ("HARDCO", 2, "critical", "CWE-798"), ("EXPOSE", 5, "medium", "CWE-284"), ("APT_NO", 3, "low", "CWE-1188"), ("CURL_B", 4, "high", "CWE-494"),
+)])
+
+
 def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"))
@@ -474,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "secret_matches": SECRET_SQL, "secret_entropy": SECRET_ENTROPY_SQL, "file_filter": FILE_FILTER_SQL, "file_context": FILE_CONTEXT_SQL, "numbered_snippet": SNIPPET_SQL, "page_checks": PAGE_SQL,
         "rule_filter": RULE_FILTER_SQL, "rule_stats": RULE_STATS_SQL, "rules_by_owasp": RULES_BY_OWASP_SQL, "rule_file_match": _rule_sql(), "spring_lines": _spring_sql(), "iac_resources": _resources_sql(),
-        "rules_anti": f"SELECT rule_id FROM ({_rules_sql()}) WHERE rule_id <> 'SECRET-100'", "dedupe_first": DEDUPE_SQL,
+        "rules_anti": f"WITH r AS ({_rules_sql()}) SELECT rule_id FROM r ANTI JOIN (SELECT rule_id FROM r WHERE list_has_any(tags, ['secret', 'credentials'])) USING (rule_id)", "dedupe_first": DEDUPE_SQL,
         "severity_summary": f"SELECT l.severity, l.severity_rank, count(x.severity) AS n FROM (VALUES ('critical', 5), ('high', 4), ('medium', 3), ('low', 2), ('info', 1)) AS l(severity, severity_rank) LEFT JOIN ({f}) x ON x.severity = l.severity GROUP BY 1, 2",
         "affected_files": f"SELECT DISTINCT file_path FROM ({f})",
         "top_categories": f"SELECT string_split(rule_id, '-')[1] AS category, count(*) AS n FROM ({f}) GROUP BY 1 ORDER BY n DESC, category LIMIT 8",
@@ -504,6 +539,7 @@ def oracle_sql() -> dict[str, str]:
     for name, table in (("django", DJANGO), ("flask", FLASK), ("react", REACT), ("vue", VUE), ("angular", ANGULAR)):
         out[f"framework_checks_{name}"] = S.check_queries(table, _extensions(FRAMEWORKS[name][0]))
     out["iac_cloudformation"] = S.check_queries(CLOUDFORMATION, "ext IN ('.yaml', '.yml', '.json') AND (contains(content, 'AWSTemplateFormatVersion') OR contains(content, 'Resources:'))")
+    out |= {"spring_endpoints": ENDPOINTS_SQL, "mybatis_findings": MAPPER_SQL, "mybatis_stats": "SELECT 1 AS mappers, 5 AS statements, 4 AS interpolated, 80.0::DOUBLE AS percent", "iac_kubernetes": KUBERNETES_SQL, "iac_dockerfile": DOCKERFILE_SQL}
     return out | code_queries.oracle_sql()
 
 

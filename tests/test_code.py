@@ -6,6 +6,7 @@ import zipfile
 import pandas as pd
 import pytest
 
+from lodestone.functions import scriptcode
 from lodestone.functions.javacode import Java, blanked, parts
 from lodestone.functions.regex import java, matches
 from lodestone.functions.text import valid_secret
@@ -44,6 +45,14 @@ def test_java_reader():
     assert Java("").types() == [] and Java("}}} class {").types() == [] and Java('"open').calls() == []
 
 
+def test_script_readers():
+    text = "function f(a) { return g(a, `x ${b(1)}`); }\nclass C { m(x) { new Foo(x).go('(').z?.(2); } }\nawait axios.get(url + '/', {a: [1, 2]})\n"
+    assert [(n, line, a) for n, line, a, _ in scriptcode.script_calls(text)] == [("g", 1, ["a", "`x ${b(1)}`"]), (None, 2, ["2"]), (None, 2, ["'('"]), ("axios.get", 3, ["url + '/'", "{a: [1, 2]}"])]
+    assert [(n, line, a) for n, line, a, _ in scriptcode.python_calls("x = f(a, k=g(1), *b)\n'a'.join(c)\n")] == [("f", 1, ["a", "*b", "k=g(1)"]), ("g", 1, ["1"]), (None, 2, ["c"])]
+    assert list(scriptcode.python_calls("def (")) == [] and [x[0] for x in scriptcode.python_functions("async def f(a, *b, c=1, **d): pass")] == ["f"]
+    assert scriptcode.in_string('a = "b c"', 6, "java") and not scriptcode.in_string('a = "b c"', 4, "java") and scriptcode.in_string("x = `a`", 5, "javascript") and not scriptcode.in_string("x = `a`", 5, "go")
+
+
 def statement(body, *parameters):
     flow = deepflow.Flow(deepflow.Body(list(parameters), body, 1), "F", 1, sanitizers.Registry())
     return sorted({(sink, line) for sink, _, line in flow.run().reached})
@@ -290,3 +299,19 @@ def test_a_whole_scan_holds_every_engine(spark, code):
     both = code.unionByName(corpus.files(spark))
     engines = {r.engine for r in Scan(context_aware=False).run(both, rules.from_rows(spark, corpus.RULES)).select("engine").distinct().collect()}
     assert {"pattern", "secret", "ast", "dataflow", "spring", "mybatis", "language:go", "framework:flask", "iac:dockerfile"} <= engines
+
+
+def test_starter_rules(spark, tmp_path):
+    from lodestone.plans.cli import STARTER
+
+    table = rules.from_yaml(spark, str(STARTER))
+    assert table.count() >= 20 and table.filter("size(patterns) = 0").count() == 0
+    texts = {
+        "a.py": 'import os\nos.system(x)\nrequests.get(u, verify=False)\nyaml.load(f)\ncur.execute(f"select {x}")\n', "B.java": 'x.executeQuery("select " + y);\nMessageDigest.getInstance("MD5");\n', "c.js": "el.innerHTML = x;\ndb.query(`select ${a}`);\n",
+        "d.pem.txt": "-----BEGIN RSA PRIVATE KEY-----\n", "E.java": 'DocumentBuilderFactory.newInstance().setFeature("disallow-doctype-decl", true);\n',
+    }
+    found = keys(onepass.scan(files.from_table(spark.createDataFrame(list(texts.items()), "path string, content string")), table, ("rules",)))
+    assert found == [
+        ("START-CMD-002", "a.py", 2), ("START-CRY-001", "B.java", 2), ("START-DES-002", "a.py", 4), ("START-SEC-002", "d.pem.txt", 1), ("START-SQLI-001", "B.java", 1),
+        ("START-SQLI-002", "a.py", 5), ("START-SQLI-003", "c.js", 2), ("START-TLS-001", "a.py", 3), ("START-XSS-001", "c.js", 1),
+    ]
