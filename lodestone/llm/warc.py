@@ -19,6 +19,8 @@ empty archive.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +33,18 @@ CRLF = "\r\n"
 
 
 def _record_uri(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    """Ids are percent-encoded, so that none breaks its line or its brackets."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")), F.lit(">"))
 
 
-def _header() -> Column:
+def _header(date: str) -> Column:
     """The header block of a record, exactly as it stands before the payload."""
     revisit = F.col("__type") == "revisit"
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("__type")),
         F.concat(F.lit("WARC-Record-ID: "), _record_uri(F.col("__id"))),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("__uri"), F.lit("")), r"[\r\n]+", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("__digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_uri(F.col("__owner")))),
@@ -51,11 +55,12 @@ def _header() -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write one record per row to the archive at ``path``.
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES, date: str | None = None) -> None:
+    """Write one record per row to the archive at ``path``; date: of all its records, the time of writing by default.
 
     Pages are read twice: for digests alone, and for the payloads of owners.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = text_or_empty(quoted(payload_col)).cast("binary")
     rows = pages.select(
         F.col(quoted(id_col)).alias("__id"),
@@ -76,7 +81,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col:
             "__owner": F.col("__best.id"),
         }
     )
-    typed.select(_header().alias("header"), F.col("__digest").alias("digest"), (F.col("__best.row") == F.col("__row")).alias("introduces"), F.col("__id").alias("record")).write.parquet(f"{path}/headers")
+    typed.select(_header(date).alias("header"), F.col("__digest").alias("digest"), (F.col("__best.row") == F.col("__row")).alias("introduces"), F.col("__id").alias("record")).write.parquet(f"{path}/headers")
     # a payload goes with its owner only; the row is found again by (digest, id), and repeats of one id hold the same bytes
     written_headers = pages.sparkSession.read.parquet(f"{path}/headers").filter("introduces").select(F.col("digest").alias("__digest"), F.col("record").alias("__owner"))
     owned = rows.select("__id", "__digest", "__payload").join(written_headers, "__digest").filter(F.col("__id").eqNullSafe(F.col("__owner")))
@@ -109,7 +114,7 @@ def header_field(name: str) -> Column:
 def archive_index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """One row per record, from its header and its rebuilt payload."""
     number = lambda field: F.regexp_extract(header_field(field), r"^<urn:page:(.*)>$", 1)
-    given = lambda c: F.when(c != "", c).cast(id_type)
+    given = lambda c: F.when(c != "", F.url_decode(c)).cast(id_type)
     return read_archive(spark, path).select(
         given(number("WARC-Record-ID")).alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),

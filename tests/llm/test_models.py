@@ -163,5 +163,77 @@ def test_warc(spark, tmp_path):
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
         assert int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0]) == len(body) - 4
+        assert b"\r\nWARC-Date: " in head
+    odd = spark.createDataFrame([("a>\r\nb", "u", "y" * 3_000_000), ("é %2F", None, "y" * 3_000_000), ("c", "u", None)], "page_id string, url string, html string").selectExpr("*", "'x' AS record_type", "1 AS payload_bytes")
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in archive_pages(odd).collect()) == [("a>\r\nb", "response", None, 3_000_000), ("c", "response", None, 0), ("é %2F", "revisit", "a>\r\nb", 3_000_000)]
     write_archive(pages.limit(0), str(tmp_path / "e"))
     assert archive_index(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_scores_token_by_token(spark):
+    """The score of a document from its words, one at a time, in plain arithmetic of doubles."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(["a b", "c d e", "f", "rare%d" % rng.randrange(30)]) for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    words = {i: t.lower().split() for i, t in texts}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(x for w in train for x in w)
+    chosen = sorted(counts, key=lambda w: (-counts[w], w))[:6]
+    rare_n, rare_v = sum(c for w, c in counts.items() if w not in chosen), len(counts) - len(chosen)
+    named = sorted([(len(train), ""), (rare_n, " "), *((counts[w], w) for w in chosen)], key=lambda x: (-x[0], x[1]))
+    number = {w: k for k, (_, w) in enumerate(named)}
+    shape = gru.Shape.of(np.array([c for c, _ in named], float), 3, 4, alone=number[" "])
+    trainer = gru.Trainer(gru.initial(shape), shape, number[""], lanes=4)
+    for w in train:
+        trainer.add(np.array([*(number.get(x, number[" "]) for x in w), number[""]], np.int32))
+    trainer.finish()
+    assert trainer.tokens == sum(len(w) + 1 for w in train)  # every word is trained on once
+    p = {k: v.astype(np.float64) for k, v in trainer.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: np.exp(x) / np.exp(x).sum()
+    total = []
+    for w in words.values():
+        h, log, given = np.zeros(4), 0.0, number[""]
+        for x in [*(number.get(x, number[" "]) for x in w), number[""]]:
+            e = p["input"][given]
+            z, r = sigmoid(e[:4] + h @ p["gates"][:, :4]), sigmoid(e[4:8] + h @ p["gates"][:, 4:])
+            h = (1 - z) * h + z * np.tanh(e[8:] + (r * h) @ p["state"])
+            k = shape.class_of[x]
+            a, b = shape.bounds[k], shape.bounds[k + 1]
+            log += math.log(soft(h @ p["to_class"] + p["class_bias"])[k]) + math.log(soft(p["to_word"][a:b] @ h + p["word_bias"][a:b])[x - a])
+            given = x
+        total.append(log)
+    sequences = [np.array([*(number.get(x, number[" "]) for x in w), number[""]], np.int32) for w in words.values()]
+    assert np.allclose(gru.score(trainer.p, shape, sequences, number[""]), total, rtol=1e-4, atol=1e-3)
+    assert lm_scores(docs, vocabulary=6, known_words=50, hidden=4, classes=3).count() == 60
+
+
+def test_language_model_on_awkward_rows(docs, rows):
+    got = lm_scores(docs, vocabulary=30, known_words=100, hidden=4, classes=4).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score <= 0 for r in got if r.doc_id is not None)
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.n_tokens), set()).add((round(r.base_score, 6), round(r.score, 2)))
+    assert len(by[(0, 17)]) == 1  # repeated rows score alike
+    try:
+        lm_scores(docs, rounds=1, parts=2)
+        raise AssertionError("words that no round trains on")
+    except ValueError:
+        pass
+
+
+def test_statistics_of_brute_force():
+    from lodestone.llm.quality_qda import statistics
+
+    text = "The The cat SAT!! on 12 mats.\nThe cat\n\nThe cat\n$$x"
+    values, n = statistics(text.encode())
+    words, lines = text.lower().split(), [x.strip() for x in text.split("\n") if x.strip()]
+    assert n == len(words) == 13 and len(values) == len(FEATURES)
+    count = lambda test: sum(map(test, text))
+    assert abs(values[0] - math.log((count(lambda c: "A" <= c <= "Z") + 1) / (count(lambda c: "a" <= c <= "z") + 20))) < 1e-12
+    assert abs(values[2] - math.log((count(str.isdigit) + 0.5) / (len(text) + 50))) < 1e-12
+    assert abs(values[5] - math.log((n - len(set(words)) + 2) / (n + 10))) < 1e-12
+    assert abs(values[6] - math.log((len(lines) - len(set(lines)) + 0.5) / (len(lines) + 2))) < 1e-12
+    assert abs(values[8] - math.log((sum(a == b for a, b in zip(words, words[1:])) + 0.5) / (n + 20))) < 1e-12
+    assert abs(values[10] - sum(map(len, words)) / n) < 1e-12
