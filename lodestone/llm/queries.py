@@ -11,6 +11,7 @@ from .common import read_table
 from .exact_dedup import exact_groups, normal_form
 from .license_scan import license_statements
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_qda import quality_scores
 from .recurrent_lm import lm_scores
 from .simhash import near_duplicates
@@ -81,6 +82,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_recurrent_lm": op1_recurrent_lm,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_token_orc": op9_token_orc,
         "op10_license_scan": op10_license_scan,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -119,6 +125,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
+#: The checksum is computed bit by bit; a node is the text of its turns' digests, 32 digits each.
+OP13_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(text, '') AS txt, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, md5(said) AS tag, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) AS place FROM t
+), c AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t
+), crc(conv_id, s, i, v) AS (
+  SELECT conv_id, s, 0, CAST(4294967295 AS BIGINT) FROM c
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT))
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE v END AS x FROM crc WHERE i < 8 * length(s))
+), shared AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS hundred, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM crc WHERE i = 8 * length(s)
+), made AS (
+  SELECT s.conv_id, p.place, p.tag, p.txt FROM shared s JOIN placed p ON p.conv_id = s.hundred AND p.place <= s.h
+  UNION ALL
+  SELECT s.conv_id, p.place, p.tag, p.txt FROM shared s JOIN placed p ON p.conv_id = s.conv_id AND p.place > s.h
+), paths AS (
+  SELECT conv_id, txt, string_agg(tag, '') OVER (PARTITION BY conv_id ORDER BY place) AS path FROM made
+), whole AS (
+  SELECT c.conv_id, coalesce(max(path), '') AS path FROM c LEFT JOIN paths p ON p.conv_id = c.conv_id GROUP BY c.conv_id
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * length(any_value(txt)) AS saved FROM paths GROUP BY path
+  UNION ALL
+  SELECT '', min(conv_id), count(*), 0 FROM c HAVING count(*) > 0
+), children AS (
+  SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE path <> '' GROUP BY 1
+), up AS (
+  SELECT left(n.path, 32 * k) AS path, sum(n.saved) AS saved, count(*) FILTER (WHERE ch.path IS NULL) AS leaves
+  FROM (SELECT path, saved, unnest(range(0, length(path) // 32 + 1)) AS k FROM nodes) n LEFT JOIN children ch ON ch.path = n.path GROUP BY 1
+), ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM whole GROUP BY path
+)
+SELECT n.conv_id, CAST(length(n.path) // 32 AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n, 0) AS n_children, up.leaves AS n_leaves,
+       CAST(up.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN up ON up.path = n.path LEFT JOIN children ch ON ch.path = n.path LEFT JOIN ends e ON e.path = n.path
+LEFT JOIN nodes p ON n.path <> '' AND p.path = left(n.path, length(n.path) - 32)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op13_prefix_trie": OP13_SQL}
