@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .divergence import source_divergence
 from .exact_dedup import exact_groups, normal_form
 from .license_scan import license_statements
+from .neighbours import nearest_vectors
 from .packing import pack
 from .prefix_trie import prefix_trie
 from .quality_qda import quality_scores
@@ -82,6 +84,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -98,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_token_orc": op9_token_orc,
         "op10_license_scan": op10_license_scan,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_neighbours": op12_neighbours,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
@@ -125,6 +137,41 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), w AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT e.lang, source, term, e.n, 1 + (CAST(1000000000 AS HUGEINT) * (e.n + 5)) // (sum(e.n) OVER (PARTITION BY e.lang, source) + 5 * v.v) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 5)) // (v.total + 5 * v.v) AS q
+  FROM every e JOIN v ON v.lang = e.lang
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), parts AS (
+  FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
 #: The checksum is computed bit by bit; a node is the text of its turns' digests, 32 digits each.
 OP13_SQL = """
 WITH RECURSIVE t AS (
@@ -168,4 +215,4 @@ LEFT JOIN nodes p ON n.path <> '' AND p.path = left(n.path, length(n.path) - 32)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_prefix_trie": OP13_SQL}
