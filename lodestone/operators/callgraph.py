@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.regex import java, matches
 from lodestone.functions.text import class_guess
+from lodestone.operators.graph import ancestors
 from lodestone.operators.lineage import cut
+from lodestone.operators.rangescan import running
 
 # Headers of classes and methods, calls, and words that only look like them.
 CLASS = java(r"\b(?:class|interface|enum)\s+(\w+)")
@@ -42,15 +44,18 @@ def methods(files: DataFrame) -> DataFrame:
 
 
 def containing(events: DataFrame, found: DataFrame, line: str = "line") -> DataFrame:
-    """As-of join: each event of a file with the last method that begins at or before its line, as uid (null before the first)."""
+    """As-of join: each event of a file with the last method that begins at or before its line, as uid (null before the first).
+
+    Methods and events lie on one line, which is scanned in ranges, so a file
+    with very many events is the work of many tasks.
+    """
     marks = found.select("file_path", F.col("start_line").alias("__at"), F.lit(0).alias("__kind"), F.struct("uid").alias("__method"))
     rest = [c for c in events.columns if c != "file_path"]
     both = marks.withColumn("__event", F.lit(None).cast(events.select(F.struct(*rest)).schema[0].dataType)).unionByName(
         events.select("file_path", F.col(line).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("struct<uid:string>").alias("__method"), F.struct(*rest).alias("__event"))
     )
-    so_far = Window.partitionBy("file_path").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("__method", ignorenulls=True).over(so_far)
-    return both.withColumn("uid", last["uid"]).filter("__kind = 1").select("file_path", "__event.*", "uid")
+    last = running(both, ["file_path"], ["__at", "__kind"], {"__last": ("last", F.col("__method"))})
+    return last.filter("__kind = 1").select("file_path", "__event.*", F.col("__last.uid").alias("uid"))
 
 
 def calls(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,8 +125,8 @@ def chains(graph: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, reverse:
 
 
 def superclasses(hierarchy: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, depth, path) up a (child, parent) table, to the root."""
-    return reached(hierarchy.select(F.col("child").alias("caller_uid"), F.col("parent").alias("callee_uid")), starts, None).filter("depth > 0")
+    """(start, node, depth) up a (child, parent) table, to the root, in as many rounds as the depth has binary digits."""
+    return ancestors(hierarchy.select("child", "parent"), starts).filter("depth > 0")
 
 
 def stats(found: DataFrame, graph: DataFrame) -> DataFrame:

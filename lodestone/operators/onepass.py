@@ -2,7 +2,8 @@
 
 For a whole scan, hundreds of patterns as column expressions cost more to
 plan than to run.  Here the patterns are compiled once in each task and every
-file of a batch is searched by all that apply to it: one scan of the files,
+file of a batch is searched by those that apply to it and that its words do
+not rule out (manypatterns): one scan of the files,
 no shuffle, memory of one batch, and Python's own regular expressions.
 ``patterns`` and ``checks`` give the same rows as built-in expressions.
 """
@@ -25,6 +26,7 @@ from lodestone.functions.text import MATCHER_LANGUAGES, NOT_SECRET, NOT_VALID, S
 from lodestone.operators.check_tables import CLOUDFORMATION, DOCKERFILE, FRAMEWORKS, KUBERNETES, LANGUAGES, TERRAFORM, Check
 from lodestone.operators.checks import SEQUENCE, frameworks
 from lodestone.operators.findings import COLUMNS, shaped
+from lodestone.operators.manypatterns import Candidates
 from lodestone.operators.patterns import SAFE, kind_of_rule
 from lodestone.sources.rules import RULE_SUFFIXES
 
@@ -32,19 +34,31 @@ ROW = [c for c in COLUMNS if c != "metadata"]
 _TRIPLE = re.compile(r'""".*?"""', re.S), re.compile(r"'''.*?'''", re.S)
 _NOSEC = re.compile(r"(?:#|//|/\*)\s*nosec\b\s*([\w,\s-]*)", re.I)
 
+_FLAGS = {"i": re.I, "m": re.M, "s": re.S}
+
 
 @cache
 def _compiled(pattern: str, flags: str) -> re.Pattern:
-    return re.compile(pattern, sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in flags))
+    return re.compile(pattern, sum(_FLAGS[f] for f in flags))
 
 
 class Text:
     """A file with what several patterns ask of it."""
 
-    def __init__(self, path: str, name: str, ext: str, content: str):
-        self.path, self.name, self.ext, self.content = path, name, ext, content
+    def __init__(self, path: str, name: str, ext: str, content: str, candidates: Candidates | None = None):
+        self.path, self.name, self.ext, self.content, self.candidates = path, name, ext, content, candidates
         self.lines = content.split("\n")
 
+    @cached_property
+    def possible(self) -> set[tuple[str, str]]:
+        return self.candidates.of(self.content)
+
+    def found(self, pattern: str, flags: str) -> list[re.Match]:
+        """All matches of a pattern; none without a search if the file has nothing that it must contain."""
+        if self.candidates is not None and (pattern, flags) not in self.possible:
+            return []
+        return list(_compiled(pattern, flags).finditer(self.content))
+
     @cached_property
     def ends(self) -> list[int]:
         """Where the line feeds are."""
@@ -98,6 +112,19 @@ def _absent(content: str, alternatives: str) -> bool:
     return True
 
 
+def _rule_pattern(pattern: dict) -> tuple[str, str]:
+    return pattern["pattern"], "mi" if pattern["case_insensitive"] else "m"
+
+
+def candidates_of(rules: list[dict], engines: set[str]) -> Candidates:
+    """Of all patterns that a scan searches for, those that can match a file."""
+    wanted = {_rule_pattern(p) for r in rules for p in r["patterns"]}
+    tables = [t for name, of in (("frameworks", FRAMEWORKS), ("languages", LANGUAGES)) if name in engines for _, t in of.values()]
+    tables += [TERRAFORM, KUBERNETES, DOCKERFILE, CLOUDFORMATION] if "iac" in engines else []
+    wanted.update((p, check.flags) for table in tables for check in table for p in check.patterns)
+    return Candidates({(p, flags): (p, sum(_FLAGS[f] for f in flags)) for p, flags in wanted})
+
+
 def rule_rows(text: Text, rule: dict, context_aware: bool) -> Iterator[tuple]:
     """A rule's findings in a file."""
     if not applies(rule, text):
@@ -109,7 +136,7 @@ def rule_rows(text: Text, rule: dict, context_aware: bool) -> Iterator[tuple]:
         if pattern["language"] and pattern["language"].lower() != language:
             continue
         try:
-            found = list(_compiled(pattern["pattern"], "mi" if pattern["case_insensitive"] else "m").finditer(text.content))
+            found = text.found(*_rule_pattern(pattern))
         except re.error:
             continue
         if not found or (pattern["missing"] and not _absent(text.content, pattern["missing"])):
@@ -151,7 +178,7 @@ def check_rows(text: Text, check: Check, ordinal: int, engine: str, sequence: in
         yield text.row(**fixed, **at_top, pattern_idx=0)
         return
     for k, pattern in enumerate(check.patterns):
-        found = list(_compiled(pattern, check.flags).finditer(content))
+        found = text.found(pattern, check.flags)
         if check.above:
             if len(found) > check.above:
                 yield text.row(**fixed, **at_top, pattern_idx=k)
@@ -222,11 +249,12 @@ def scan(files: DataFrame, rules: DataFrame, engines: tuple[str, ...], context_a
         files = files.withColumn("plain", F.lit(True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        candidates = candidates_of(chosen, wanted)
         for batch in batches:
             rows = []
             for path, name, ext, content, plain in batch.itertuples(index=False, name=None):
                 try:
-                    rows.extend(all_rows(Text(path, name, ext, content or ""), chosen, present, wanted, context_aware, plain))
+                    rows.extend(all_rows(Text(path, name, ext, content or "", candidates), chosen, present, wanted, context_aware, plain))
                 except Exception:  # one file must not end the scan of the others
                     logging.getLogger(__name__).exception("not scanned: %s", path)
             yield pd.DataFrame(rows, columns=ROW)

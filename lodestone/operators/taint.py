@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.regex import java
 from lodestone.operators.callgraph import CUT_ROUNDS, calls, containing, methods, resolved
 from lodestone.operators.findings import shaped
+from lodestone.operators.labelflow import label_sets
 from lodestone.operators.lineage import cut
 
 # Patterns of sources and sinks, and the grades of what they make.
@@ -117,6 +118,27 @@ def propagated(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     return known
 
 
+def value_edges(seeds: DataFrame, sites: DataFrame) -> DataFrame:
+    """(a, b): from a value, a struct of uid and var, to the parameter that an argument holding it gives.
+
+    Values are the seeds' (uid, var) and every parameter that a call gives.
+    """
+    arguments = cut(sites.select(F.col("caller_uid").alias("uid"), "callee_uid", F.posexplode("args").alias("k", "arg")))
+    given = F.concat(F.lit("param_"), F.col("k").cast("string"))
+    values = seeds.select("uid", "var").unionByName(arguments.select(F.col("callee_uid").alias("uid"), given.alias("var"))).distinct()
+    held = arguments.join(values, "uid").filter(F.col("arg").contains(F.col("var")))
+    return held.select(F.struct("uid", "var").alias("a"), F.struct(F.col("callee_uid").alias("uid"), given.alias("var")).alias("b")).distinct()
+
+
+def source_sets(seeds: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All sources that reach each value: sets (uid, var, word, bits) over the sources' places, and their numbers.
+
+    propagated() keeps one source and a path for each value; here none is lost.
+    """
+    sets, names = label_sets(seeds.select(F.struct("uid", "var").alias("node"), F.col("source_loc").alias("label")), value_edges(seeds, sites))
+    return sets.select("node.uid", "node.var", "word", "bits"), names
+
+
 def flows(tainted: DataFrame, reached: DataFrame) -> DataFrame:
     """Sinks joined to the tainted values of their method that they hold, or that the lines around put into an expression."""
     v = F.concat(F.lit(r"\Q"), F.col("var"), F.lit(r"\E"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.javacode import Java
 from lodestone.functions.regex import java
-from lodestone.operators.callgraph import superclasses
+from lodestone.operators.graph import Jumps, ancestors
+from lodestone.operators.lineage import cut
+from lodestone.operators.rangescan import running
 
 _CLASSES = "class_name string, extends string, implements array<string>, file_path string, line int"
 _SIGNATURES = "class_name string, method_name string, params array<string>, return_type string, file_path string, line int, is_static boolean, is_abstract boolean"
@@ -59,12 +61,13 @@ def signatures(files: DataFrame) -> DataFrame:
     return files.filter(F.col("ext") == ".java").select("path", "content").mapInPandas(run, _SIGNATURES)
 
 
+def _parents(found: DataFrame) -> DataFrame:
+    return found.filter("extends IS NOT NULL").groupBy(F.col("class_name").alias("child")).agg(F.max("extends").alias("parent"))
+
+
 def chains(found: DataFrame) -> DataFrame:
     """(class_name, ancestor, depth): each class with itself (0), its superclasses to the root, and Object."""
-    own = found.select("class_name").distinct()
-    parents = found.filter("extends IS NOT NULL").groupBy(F.col("class_name").alias("child")).agg(F.max("extends").alias("parent"))
-    up = superclasses(parents, own).select(F.col("start").alias("class_name"), F.col("node").alias("ancestor"), F.col("depth").cast("int").alias("depth"))
-    all_ = own.select("class_name", F.col("class_name").alias("ancestor"), F.lit(0).alias("depth")).unionByName(up)
+    all_ = ancestors(_parents(found), found.select("class_name")).select(F.col("start").alias("class_name"), F.col("node").alias("ancestor"), F.col("depth").cast("int").alias("depth"))
     last = all_.groupBy("class_name").agg(F.max("depth").alias("d"), F.bool_or(F.col("ancestor") == "Object").alias("has")).filter("NOT has")
     return all_.unionByName(last.select("class_name", F.lit("Object").alias("ancestor"), (F.col("d") + 1).alias("depth")))
 
@@ -81,19 +84,109 @@ def subtypes(found: DataFrame) -> DataFrame:
     return up.unionByName(interfaces(found).select(F.col("class_name").alias("subtype"), F.col("interface").alias("supertype"))).distinct()
 
 
+def labels(found: DataFrame) -> DataFrame:
+    """(class_name, pre, post, known): numbers of a walk through the class tree below Object, so that a class is C or below it exactly if its pre lies from pre to post of C.
+
+    Numbers come from sums by doubling: the sizes of subtrees, then for each
+    node those of the siblings before it, then these along the way up.  Classes
+    that extend each other in a circle share one place.  known: whether the
+    class itself is there, and not only named as a parent.
+    """
+    up = cut(_parents(found).filter("child <> 'Object'"))
+    names = cut(found.select("class_name", F.lit(True).alias("known")).unionByName(up.select("parent", F.lit(False))).unionByName(_root(found, "class_name string, known boolean", ("Object", False))).groupBy("class_name").agg(F.max("known").alias("known")))
+    loops = Jumps(up).loops()
+    if loops is None:
+        at = names.select("class_name", F.col("class_name").alias("node"))
+        tree = up.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    else:
+        loops = cut(loops)
+        at = cut(names.join(loops.withColumnRenamed("node", "class_name"), "class_name", "left").select("class_name", F.coalesce("component", "class_name").alias("node")))
+        outside = up.join(loops.select(F.col("node").alias("child")), "child", "left_anti")
+        tree = outside.join(at.withColumnsRenamed({"class_name": "parent", "node": "up"}), "parent").select(F.col("child").alias("node"), "up")
+    roots = at.select("node").filter("node <> 'Object'").distinct().join(tree.select("node"), "node", "left_anti")
+    tree = cut(tree.unionByName(roots.select("node", F.lit("Object").alias("up"))))
+    jumps = Jumps(tree)
+    size = jumps.summed(at.select("node").distinct().withColumn("size", F.lit(1).cast("long")), {"size": "sum"}, upward=False)
+    before = running(tree.join(size, "node"), ["up"], ["node"], {"with": ("sum", F.col("size"))}).select("node", (F.col("with") - F.col("size") + 1).alias("pre"))
+    pre = jumps.summed(before.unionByName(_root(found, "node string, pre long", ("Object", 0))), {"pre": "sum"}, upward=True)
+    numbers = pre.join(size, "node").select("node", "pre", (F.col("pre") + F.col("size") - 1).alias("post"))
+    return cut(at.join(numbers, "node").join(names, "class_name").select("class_name", "pre", "post", "known"))
+
+
+def _root(like: DataFrame, schema: str, row: tuple) -> DataFrame:
+    return like.sparkSession.createDataFrame([row], schema)
+
+
+def _covering(asked: DataFrame, declared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(type, method_name, n, first_class) of methods in a class or above it.
+
+    asked: (type, method_name); declared: (class_name, method_name, n).  Per
+    name, each declaring class opens an interval at its pre and closes it after
+    its post; a type asks at its pre.  Running sums over that line give how
+    many are open, and the level; the innermost open one is the last that
+    opened at that level.  Each knows the one around it in the same way, and
+    least names are carried outward by doubling.
+    """
+    own = declared.join(tree, "class_name").groupBy("method_name", "pre", "post").agg(F.sum("n").alias("n"), F.min("class_name").alias("least"))
+    own = cut(own.withColumn("id", F.concat_ws("@", F.col("pre").cast("string"), "method_name")))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    point = lambda at, kind, step, n, id_, type_: [F.col("method_name"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(step).alias("step"), n.alias("n"), id_.alias("id"), type_.alias("type")]
+    asks = asked.join(tree.filter("known").select(F.col("class_name").alias("type"), "pre"), "type")
+    line = own.select(*point(F.col("pre"), 1, 1, F.col("n"), F.col("id"), none)).unionByName(own.select(*point(F.col("post") + 1, 0, -1, -F.col("n"), none, none))).unionByName(asks.select(*point(F.col("pre"), 2, 0, zero, none, F.col("type"))))
+    levels = cut(running(line, ["method_name"], ["at", "kind", "type"], {"level": ("sum", F.col("step")), "open": ("sum", F.col("n"))}).filter("kind > 0"))
+    opened = levels.filter("kind = 1")
+    marks = opened.select("method_name", "level", "at", F.lit(0).alias("kind"), F.col("id").alias("mark"), none.alias("id"), none.alias("type"), zero.alias("open"))
+    outer = opened.filter("level > 1").select("method_name", (F.col("level") - 1).alias("level"), "at", F.lit(1).alias("kind"), none.alias("mark"), "id", none.alias("type"), zero.alias("open"))
+    inner = levels.filter("kind = 2 AND level > 0").select("method_name", "level", "at", F.lit(2).alias("kind"), none.alias("mark"), none.alias("id"), "type", "open")
+    around = cut(running(marks.unionByName(outer).unionByName(inner), ["method_name", "level"], ["at", "kind", "type"], {"around": ("last", F.col("mark"))}).filter("kind > 0"))
+    outward = Jumps(around.filter("kind = 1").select("id", "around"))
+    least = outward.summed(own.select(F.col("id").alias("node"), "least"), {"least": "min"}, upward=True)
+    return around.filter("kind = 2").join(least.withColumnRenamed("node", "around"), "around").select("type", "method_name", F.col("open").alias("n"), F.col("least").alias("first_class"))
+
+
+def target_counts(calls: DataFrame, found: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call_id, n, first_class): how many methods a call may mean, and the least class that has one; only calls that have any.
+
+    As targets(), but methods are summed up per (type, name) before calls join:
+    no row per call and candidate, nor per type and superclass, is made.  A
+    call's row has its type's sums; calls without a type have those of the name.
+    """
+    found, declared = cut(found), cut(methods.select("method_name", "class_name", "file_path", "line").distinct().groupBy("class_name", "method_name").agg(F.count(F.lit(1)).alias("n")))
+    asked = cut(calls.filter("receiver_type IS NOT NULL").select(F.col("receiver_type").alias("type"), "method_name").distinct())
+    tree = labels(found)
+    above = _covering(asked, declared, tree)
+    implementing = found.select(F.explode("implements").alias("type"), "class_name").distinct().join(asked.select("type").distinct(), "type", "left_semi")
+    place = tree.filter("known").select(F.col("class_name").alias("type"), F.col("pre").alias("at"))
+    implementing = implementing.join(tree.select("class_name", "pre", "post"), "class_name", "left").join(place, "type", "left")
+    besides = implementing.filter("at IS NULL OR at < pre OR at > post").select("type", "class_name")  # those above are counted
+    below = besides.join(declared, "class_name").groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class"))
+    by_type = cut(above.unionByName(below).groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("first_class").alias("first_class")))
+    by_name = cut(declared.groupBy("method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class")))
+    typed = calls.filter("receiver_type IS NOT NULL").select("call_id", "method_name", F.col("receiver_type").alias("type")).join(by_type, ["type", "method_name"])
+    untyped = calls.filter("receiver_type IS NULL").select("call_id", "method_name").join(by_name, "method_name")
+    return typed.select("call_id", "n", "first_class").unionByName(untyped.select("call_id", "n", "first_class"))
+
+
 def targets(calls: DataFrame, found: DataFrame, methods: DataFrame) -> DataFrame:
-    """(call_id, class_name, file_path, line): methods that a call may mean.
+    """(call_id, class_name, file_path, line): methods that a call may mean, a row each; target_counts() counts them without.
 
     calls: (call_id, method_name, receiver_type, n_args).  With a receiver's
     type: the methods of that name in it and its superclasses, and if it is an
     interface in all classes that implement it; without one: all of that name.
     Any number of arguments fits, as parameters may be optional or variable.
+    Types and names that are asked for meet their methods once, then calls.
     """
-    named = methods.select("method_name", "class_name", "file_path", "line")
-    implementing = found.select(F.explode("implements").alias("type"), "class_name").distinct()
-    scope = chains(found).select(F.col("class_name").alias("type"), F.col("ancestor").alias("class_name")).unionByName(implementing).distinct()
+    named = methods.select("method_name", "class_name", "file_path", "line").distinct()
     typed = calls.filter("receiver_type IS NOT NULL").select("call_id", "method_name", F.col("receiver_type").alias("type"))
-    by_type = typed.join(scope, "type").join(named, ["method_name", "class_name"]).select("call_id", "class_name", "file_path", "line")
+    asked = cut(typed.select("type", "method_name").distinct())
+    types_ = asked.select(F.col("type").alias("start")).distinct()
+    own = ancestors(_parents(found), types_.join(found.select(F.col("class_name").alias("start")), "start", "left_semi")).select(F.col("start").alias("type"), F.col("node").alias("class_name"))
+    object_ = own.select("type", F.lit("Object").alias("class_name"))
+    implementing = found.select(F.explode("implements").alias("type"), "class_name").join(types_.withColumnRenamed("start", "type"), "type", "left_semi")
+    scope = own.unionByName(object_).unionByName(implementing).distinct()
+    wanted = named.join(asked.select("method_name").distinct(), "method_name", "left_semi")
+    candidates = cut(scope.join(wanted, "class_name").join(asked, ["type", "method_name"], "left_semi"))
+    by_type = typed.join(candidates, ["type", "method_name"]).select("call_id", "class_name", "file_path", "line")
     by_name = calls.filter("receiver_type IS NULL").select("call_id", "method_name").join(named, "method_name").select("call_id", "class_name", "file_path", "line")
     return by_type.unionByName(by_name).distinct()
 

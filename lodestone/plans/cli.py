@@ -46,10 +46,10 @@ def _write(out: str, found: DataFrame, source: DataFrame, target: str, info: dic
         spreadsheet.write(found, out, info["files_scanned"])
     elif kind == ".json" and not out.endswith(".report.json"):
         reports.json_rows(found).write.text(out)
-    elif kind in (".json", ".sarif"):
-        parts = reports.json_parts(found, info) if kind == ".json" else reports.sarif_parts(found, "lodestone", "0.2", target, source.select("path"))
-        with open(out, "w") as file:
-            file.writelines(parts)
+    elif kind == ".json":
+        reports.write_json(found, out, info)
+    elif kind == ".sarif":
+        reports.write_sarif(found, out, "lodestone", "0.2", target, source.select("path"))
     else:
         Path(out).write_text(reports.html(found, target) if kind == ".html" else reports.console(found))
 
@@ -62,7 +62,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     excludes = given.exclude + (files.ignore_patterns(spark.read.text(str(ignored.resolve()))) if ignored else [])
     source = files.from_tree(spark, given.target, excludes)
     if given.staged or given.since:
-        source = files.scannable(source, files.git_paths(spark, given.target, given.since, given.staged))
+        source = files.scannable(source, files.git_paths(spark, given.target, given.since, given.staged), files.local_root(given.target))
     table = rules.from_yaml(spark, given.rules)
     scan = Scan(languages=given.language.split(",") if given.language else None, severity_min=given.severity, skip_tests=given.skip_tests)
     found = scan.run(source, table).cache()

@@ -352,8 +352,7 @@ _CALLS_SQL = "SELECT o_orderkey AS call_id, 'm' || (o_custkey % 997) AS method_n
 
 def type_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many methods each call may mean."""
-    found = types.targets(_calls(spark, sf_dir), _part_classes(spark, sf_dir), _methods(spark, sf_dir))
-    return found.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_name").alias("first_class"))
+    return types.target_counts(_calls(spark, sf_dir), _part_classes(spark, sf_dir), _methods(spark, sf_dir))
 
 
 TARGETS_SQL = f"""

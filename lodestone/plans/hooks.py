@@ -18,15 +18,14 @@ def folder(repository: str = ".") -> Path | None:
 
 
 def script(name: str, threshold: str, rules: str | None) -> str:
-    """A hook's text; the threshold and the rules' folder can be set in the environment."""
+    """A hook's text; the threshold and the rules' folder can be set in the environment, else the starter rules scan."""
     scope = HOOKS[name][0]
     return f"""#!/bin/sh
 {MARK}
 threshold="${{LODESTONE_THRESHOLD:-{threshold}}}"
 rules="${{LODESTONE_RULES:-{shlex.quote(rules) if rules else ''}}}"
 command -v python3 >/dev/null 2>&1 || {{ echo "python3 not found, nothing scanned" >&2; exit 0; }}
-[ -n "$rules" ] || {{ echo "no rules folder set, nothing scanned" >&2; exit 0; }}
-exec python3 -m lodestone.plans.cli "$(git rev-parse --show-toplevel)" --rules "$rules" {scope} --fail-on "$threshold"
+exec python3 -m lodestone.plans.cli "$(git rev-parse --show-toplevel)" ${{rules:+--rules "$rules"}} {scope} --fail-on "$threshold"
 """
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.regex import java, matches
-from lodestone.operators import callgraph, checks, enrich, impact, lattice, mybatis, onepass, patterns, priority, spring, taint
+from lodestone.operators import callgraph, checks, enrich, graph, impact, labelflow, lattice, manypatterns, mybatis, onepass, patterns, priority, spring, taint
 from lodestone.operators import context as ctx
 from lodestone.operators import findings as relation
 from lodestone.operators.check_tables import ANGULAR, CLOUDFORMATION, DJANGO, FLASK, FRAMEWORKS, LANGUAGES, REACT, VUE
@@ -333,6 +333,25 @@ SELECT rule_id, severity, coalesce(CASE {" ".join(f"WHEN cwe = {S.quoted(k)} THE
        CASE severity {" ".join(f"WHEN {S.quoted(k)} THEN {S.quoted(v)}" for k, v in impact.BY_SEVERITY.items())} END) AS impact, count(*) AS n FROM ({S.FINDINGS}) GROUP BY ALL"""
 
 
+#: Beginnings of words that patterns look for, made from the letters' pairs.
+_PAIRS = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or")
+MANY_PATTERNS = [f"(?i)(?:^|[ \n]){a}{b}{c}[a-z]*[ ,.\n]" for a in _PAIRS for b in _PAIRS for c in _PAIRS[:2]]
+
+
+def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of 450 patterns matches in all documents, and in how many."""
+    wanted = [manypatterns.Pattern(k, p, 0) for k, p in enumerate(MANY_PATTERNS)]
+    found = manypatterns.matched(_table(spark, sf_dir, "documents"), wanted)
+    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_docs"))
+
+
+_PAIRS_SQL = "[" + ", ".join(S.quoted(x) for x in _PAIRS) + "]"
+MANY_SQL = f"""
+WITH s AS (SELECT {_PAIRS_SQL} AS s), p AS (SELECT i * 30 + j * 2 + k AS pattern, '(?i)(?:^|[ \n])' || s[i + 1] || s[j + 1] || s[k + 1] || '[a-z]*[ ,.\n]' AS p FROM s, range(15) a(i), range(15) b(j), range(2) c(k)),
+f AS (SELECT pattern, doc_id, len(regexp_extract_all(text, p)) AS n FROM documents, p)
+SELECT CAST(pattern AS INTEGER) AS pattern, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM f WHERE n > 0 GROUP BY 1"""
+
+
 # --- graphs, taint and the lattice
 
 
@@ -382,6 +401,63 @@ WITH RECURSIVE w(start, node, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FRO
 SELECT CAST(start AS VARCHAR) AS start, CAST(node AS VARCHAR) AS node, CAST(depth AS INTEGER) AS depth FROM w"""
 
 
+def _looping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as methods: each calls that of half its number, and some call far ones, which makes loops of many sizes."""
+    p = F.col("p_partkey")
+    part = _table(spark, sf_dir, "part").select(p)
+    far = F.when(p % 50 == 1, p * 13 + 5).when(p % 10 == 7, p * 2)
+    far = part.select(p, far.alias("q")).join(part.select(p.alias("q")), "q", "left_semi")
+    down = part.select(p, F.floor(p / 2).alias("q")).filter("q > 0")
+    return down.unionByName(far).select(p.cast("string").alias("caller_uid"), F.col("q").cast("string").alias("callee_uid"))
+
+
+_LOOPING_SQL = """
+e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0
+      UNION SELECT p.p_partkey, q.p_partkey FROM part p JOIN part q ON q.p_partkey = CASE WHEN p.p_partkey % 50 = 1 THEN p.p_partkey * 13 + 5 WHEN p.p_partkey % 10 = 7 THEN p.p_partkey * 2 END)"""
+
+
+def call_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many methods each entry reaches, itself included, and the least of them by name."""
+    found = graph.reachable(_looping(spark, sf_dir), _entries(spark, sf_dir))
+    return found.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+
+
+REACH_SQL = f"""
+WITH RECURSIVE {_LOOPING_SQL}, w(start, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_size = 50 UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.node)
+SELECT CAST(start AS VARCHAR) AS start, count(*) AS n, min(CAST(node AS VARCHAR)) AS least FROM w GROUP BY w.start"""
+
+
+def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of methods that call each other in loops, with the least of each by name and their size."""
+    of = graph.components(_looping(spark, sf_dir))
+    return of.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+COMPONENTS_SQL = f"""
+WITH RECURSIVE {_LOOPING_SQL}, w(start, node) AS (SELECT a, b FROM e UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.node),
+grouped AS (SELECT x.start, min(CAST(x.node AS VARCHAR)) AS component FROM w x JOIN w y ON y.start = x.node AND y.node = x.start GROUP BY x.start)
+SELECT component, count(*) AS n FROM grouped GROUP BY component HAVING count(*) > 1"""
+
+
+def taint_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sources reach each value over calls with loops, and the first of them."""
+    seeds = _entries(spark, sf_dir).select(F.col("s").alias("uid"), F.lit("x").alias("var"), F.concat(F.lit("f:"), "s").alias("source_loc"))
+    n = F.col("caller_uid").cast("long")
+    args = F.array(F.concat(F.lit("x + param_"), (n % 2).cast("string")), F.concat(F.lit("param_"), (n % 3 % 2).cast("string")))
+    sets, names = taint.source_sets(seeds, _looping(spark, sf_dir).withColumn("args", args))
+    sets = sets.select(F.struct("uid", "var").alias("node"), "word", "bits")
+    first = labelflow.listed(sets, names).groupBy("node").agg(F.min("label").alias("first_source"))
+    return labelflow.counted(sets).join(first, "node").select("node.uid", "node.var", "n", "first_source")
+
+
+SOURCES_SQL = f"""
+WITH RECURSIVE {_LOOPING_SQL}, s AS (SELECT a, b, ['x + param_' || (a % 2), 'param_' || (a % 3 % 2)] AS args FROM e),
+w(uid, var, label) AS (
+  SELECT p_partkey, 'x', 'f:' || p_partkey FROM part WHERE p_size = 50
+  UNION SELECT s.b, 'param_' || (k - 1), w.label FROM w JOIN s ON s.a = w.uid, range(1, len(s.args) + 1) AS t(k) WHERE contains(s.args[k], w.var))
+SELECT CAST(uid AS VARCHAR) AS uid, var, count(*) AS n, min(label) AS first_source FROM w GROUP BY 1, 2"""
+
+
 def taint_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
     seeds = entries.select(F.col("s").alias("uid"), F.lit("x").alias("var"), F.lit("http_parameter").alias("source_type"), F.concat(F.lit("f:"), "s").alias("source_loc"), F.array().cast("array<string>").alias("path"))
@@ -494,7 +570,7 @@ def queries() -> dict[str, Query]:
         "iac_resources": iac_resources, "dedupe_first": dedupe_first, "severity_summary": over(relation.summary), "affected_files": over(relation.affected_files), "top_categories": over(relation.top_categories),
         "conditional_counts": conditional_counts, "exit_code": over(relation.exit_code), "impact_lookup": impact_lookup, "csv_projection": csv_projection, "sarif_rules": sarif_rules, "result_filters": result_filters, "changed_files_semi": changed_files,
         "prioritize": prioritize, "top_n": top_n, "risk_groups": over(priority.risk_groups), "budget_prefix": budget_prefix, "running_cost": running_cost, "cost_estimate": over(priority.cost),
-        "containing_method_asof": asof_methods, "call_chains": call_chains, "superclass_chain": superclass_chain, "taint_propagation": taint_propagation, "lattice_join": lattice_join,
+        "containing_method_asof": asof_methods, "call_chains": call_chains, "superclass_chain": superclass_chain, "taint_propagation": taint_propagation, "lattice_join": lattice_join, "many_patterns": many_patterns, "call_reach": call_reach, "call_components": call_components, "taint_sources": taint_sources,
         "methods": on_corpus(callgraph.methods), "calls": lambda s, d: callgraph.calls(_corpus(s), callgraph.methods(_corpus(s))), "taint_findings": lambda s, d: taint.findings(_corpus(s)).select(*CHECK_COLUMNS),
         "usage_stats": usage_stats, "hourly_metrics": hourly_metrics, "enriched_findings": enriched, "full_scan": full_scan, "document_scan": document_scan,
     }
@@ -524,7 +600,7 @@ def oracle_sql() -> dict[str, str]:
         "budget_prefix": f"SELECT rule_id, priority_score, {', '.join(_TIES)} FROM (SELECT *, sum({priority.unit_cost('full')}) OVER (ORDER BY priority_score DESC, {', '.join(_TIES)} ROWS UNBOUNDED PRECEDING) AS c FROM ({PRIORITY_SQL})) WHERE c <= 2.0 + 1e-9",
         "running_cost": f"SELECT file_path, match_no, engine_seq, rule_ord, round(sum(CAST({priority.unit_cost('full')} AS DOUBLE)) OVER (PARTITION BY file_path ORDER BY priority_score DESC, {', '.join(_TIES[1:])} ROWS UNBOUNDED PRECEDING), 6) AS running_cost FROM ({PRIORITY_SQL})",
         "cost_estimate": f"SELECT count(*) AS n_findings, count(*) * 3500 AS input_tokens, count(*) * 2000 AS output_tokens, round(count(*) * CAST({priority.unit_cost('full')} AS DOUBLE), 6) AS total_cost FROM ({f})",
-        "containing_method_asof": ASOF_SQL, "call_chains": CHAINS_SQL, "superclass_chain": SUPERCLASS_SQL, "taint_propagation": TAINT_SQL, "lattice_join": _lattice_sql(),
+        "containing_method_asof": ASOF_SQL, "call_chains": CHAINS_SQL, "superclass_chain": SUPERCLASS_SQL, "taint_propagation": TAINT_SQL, "lattice_join": _lattice_sql(), "many_patterns": MANY_SQL, "call_reach": REACH_SQL, "call_components": COMPONENTS_SQL, "taint_sources": SOURCES_SQL,
         "usage_stats": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1",
         "hourly_metrics": "SELECT date_trunc('hour', ts) AS window_start, event_type AS name, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2",
         "framework_gate": f"""WITH c AS ({corpus.sql()}) SELECT unnest({S.lit(checks.framework_signs_names())}) AS framework, unnest([

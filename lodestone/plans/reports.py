@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import SARIF_LEVELS, SARIF_SCORES, fingerprint, html_escape, mapped, relative_path, severity_rank
 from lodestone.operators.findings import numbered, ordered, summary, top_categories
+from lodestone.plans import documents
 
 #: Findings that a page shows, and categories of its summary.
 PAGE_ROWS, PAGE_CATEGORIES = 200, 8
@@ -75,53 +75,56 @@ def _one_rule(r: Row) -> dict:
     return rule | ({"helpUri": f"https://cwe.mitre.org/data/definitions/{cwe[4:]}.html"} if cwe else {})
 
 
-def _one_result(r: Row) -> dict:
-    region = {"startLine": r.line_number, "startColumn": 1} | ({"snippet": {"text": r.snippet[:500]}} if r.snippet else {})
-    properties = {k: v for k, v in (("security-severity", r.security_severity), ("confidence", r.confidence), ("cwe", r.cwe), ("owasp", r.owasp)) if v}
-    return {
-        "ruleId": r.rule_id, "ruleIndex": r.rule_index, "level": r.level, "message": {"text": r.message}, "properties": properties,
-        "fingerprints": {"primaryLocationLineHash": r.fingerprint}, "partialFingerprints": {"primaryLocationLineHash": str(r.partial)},
-        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri, "uriBaseId": "%SRCROOT%"}, "region": region}}],
-    }
+def sarif_rows(findings: DataFrame, base: str | None = None) -> DataFrame:
+    """SARIF results as one JSON object a row, in report order; what is empty is left out."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    region = F.struct(F.col("line_number").alias("startLine"), F.lit(1).alias("startColumn"), F.when(F.col("snippet") != "", F.struct(F.left("snippet", F.lit(500)).alias("text"))).alias("snippet"))
+    place = F.struct(F.struct(F.struct(F.col("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.struct(F.col("message").alias("text")).alias("message"),
+        F.struct(some("security_severity").alias("security-severity"), some("confidence").alias("confidence"), some("cwe").alias("cwe"), some("owasp").alias("owasp")).alias("properties"),
+        F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("fingerprints"), F.struct(F.col("partial").cast("string").alias("primaryLocationLineHash")).alias("partialFingerprints"), F.array(place).alias("locations"),
+    )
+    return sarif_results(findings, base).orderBy("finding_no").select(F.to_json(result).alias("value"))
 
 
-def sarif_parts(findings: DataFrame, tool: str, version: str, base: str | None = None, scanned: DataFrame | None = None, include_suppressed: bool = False) -> Iterator[str]:
-    """A whole SARIF document in pieces: results stream through the driver one by one; scanned: (path) of files to list, a thousand at most."""
-    shown = visible(findings, include_suppressed)
+def _sarif_frame(shown: DataFrame, tool: str, version: str, base: str | None, scanned: DataFrame | None) -> tuple[str, str]:
+    """A SARIF document's text before and after its results; scanned: (path) of files to list, a thousand at most."""
     rules = [_one_rule(r) for r in sarif_rules(shown).orderBy("rule_index").collect()]  # a scan's rules
     run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "invocations": [{"executionSuccessful": True, "endTimeUtc": timestamp()}]}
     run["originalUriBaseIds"] = {"%SRCROOT%": {"uri": f"file://{base}/" if base else ""}}
     if scanned is not None:
         listed = scanned.select(relative_path(F.col("path"), base).alias("uri")).orderBy("uri").limit(SARIF_FILES)
         run["artifacts"] = [{"location": {"uri": r.uri, "uriBaseId": "%SRCROOT%"}} for r in listed.collect()]
-    yield json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1] + ', "runs": [' + json.dumps(run)[:-1] + ', "results": ['
-    for k, r in enumerate(sarif_results(shown, base).orderBy("finding_no").toLocalIterator()):
-        yield (", " if k else "") + json.dumps(_one_result(r))
-    yield "]}]}"
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1] + ', "runs": [' + json.dumps(run)[:-1] + ', "results": [', "]}]}"
+
+
+def write_sarif(findings: DataFrame, path: str, tool: str, version: str, base: str | None = None, scanned: DataFrame | None = None, include_suppressed: bool = False) -> None:
+    """Write a whole SARIF document; its results are written by executors."""
+    shown = visible(findings, include_suppressed)
+    head, foot = _sarif_frame(shown, tool, version, base, scanned)
+    documents.write(sarif_rows(shown, base), path, head, ", ", foot)
 
 
-def sarif(findings: DataFrame, tool: str, version: str, base: str | None = None, **options) -> str:
-    """A whole SARIF document, for reports of a size that one text can hold."""
-    return "".join(sarif_parts(findings, tool, version, base, **options))
+def sarif(findings: DataFrame, tool: str, version: str, base: str | None = None, scanned: DataFrame | None = None, include_suppressed: bool = False) -> str:
+    """A whole SARIF document as one text, for reports that one text can hold."""
+    shown = visible(findings, include_suppressed)
+    head, foot = _sarif_frame(shown, tool, version, base, scanned)
+    return head + ", ".join(r.value for r in sarif_rows(shown, base).collect()) + foot
 
 
-def json_parts(findings: DataFrame, info: dict, errors: list[str] | None = None) -> Iterator[str]:
-    """A whole JSON report in pieces: scan_info, summary, total, findings and errors; findings stream through the driver."""
+def write_json(findings: DataFrame, path: str, info: dict, errors: list[str] | None = None) -> None:
+    """Write a whole JSON report: scan_info, summary, total, findings and errors; findings are written by executors."""
     counts = {r.severity: r.n for r in summary(findings).collect()}
     head = {"scan_info": {"timestamp": timestamp()} | info, "summary": counts, "total_findings": sum(counts.values()), "errors": errors or []}
-    yield json.dumps(head)[:-1] + ', "findings": ['
-    for k, r in enumerate(json_rows(findings).toLocalIterator()):
-        yield (", " if k else "") + r.value
-    yield "]}"
+    documents.write(json_rows(findings), path, json.dumps(head)[:-1] + ', "findings": [', ", ", "]}")
 
 
-def enhanced_json_parts(replies: DataFrame, info: dict, usage: dict) -> Iterator[str]:
-    """A JSON report of findings with a model's verdicts, in pieces."""
-    yield json.dumps({"timestamp": timestamp()} | info | {"llm_stats": usage})[:-1] + ', "enhanced_findings": ['
+def write_enhanced_json(replies: DataFrame, path: str, info: dict, usage: dict) -> None:
+    """Write a JSON report of findings with a model's verdicts."""
     kept = [c for c in replies.columns if c not in ("prompt", "reply", "engine_seq", "rule_ord", "pattern_idx", "match_no")]
-    for k, r in enumerate(replies.select(F.to_json(F.struct(*kept)).alias("value")).toLocalIterator()):
-        yield (", " if k else "") + r.value
-    yield "]}"
+    head = json.dumps({"timestamp": timestamp()} | info | {"llm_stats": usage})[:-1] + ', "enhanced_findings": ['
+    documents.write(replies.select(F.to_json(F.struct(*kept)).alias("value")), path, head, ", ", "]}")
 
 
 def console(findings: DataFrame, rows: int = 50) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.regex import glob
 from lodestone.functions.text import CONTEXT_LANGUAGES, basename, mapped, suffix
+from lodestone.sources import tree
 
 # What a scan reads and what it passes over.
 EXTENSIONS = (
@@ -67,20 +68,27 @@ def ignore_patterns(lines: DataFrame) -> list[str]:
     return [r[0] for r in lines.select(text.alias("p")).filter("p <> '' AND NOT startswith(p, '#')").collect()]
 
 
+def local_root(root: str) -> str:
+    """A folder's absolute path, without a scheme."""
+    return os.path.abspath(re.sub("^file:/*", "/", root))
+
+
 def from_tree(spark: SparkSession, root: str, excludes: list[str] | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """The files below a folder, or one file, read in parallel; size and name filters come before contents are read."""
-    if "://" not in root and not root.startswith("file:"):
-        root = os.path.abspath(root)  # paths come back absolute, and folders are judged below the root
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    kept = raw.filter(F.col("length") <= MAX_BYTES).filter(selected(path, F.col("length"), re.sub("^file:/*", "/", root).rstrip("/"), excludes, extensions))
-    return from_table(kept.select(path.alias("path"), decoded(F.col("content")).alias("content")))
+    """The files below a folder, or one file, whatever their names begin with; see sources/tree.py.
+
+    Folders that a scan passes over are not entered, and names, sizes and
+    excludes are judged before a file is read.  A file that cannot be read has
+    an empty text.
+    """
+    settings = {"skip_directories": SKIP_DIRECTORIES, "skip_names": SKIP_NAMES, "extensions": extensions, "names": NAMES, "excludes": list(excludes or ()), "max_bytes": MAX_BYTES}
+    raw = tree.read(spark, local_root(root), settings)
+    return from_table(raw.select("path", decoded(F.col("content")).alias("content")))
 
 
 def git_paths(spark: SparkSession, repository: str, base: str | None = None, staged: bool = False) -> DataFrame:
     """Paths that git names: staged, changed since a base, or all tracked."""
-    command = ["git", "-C", repository, *(["diff", "--cached", "--name-only", "--diff-filter=ACMR"] if staged else ["diff", "--name-only", f"{base}...HEAD"] if base else ["ls-files"])]
-    names = subprocess.run(command, capture_output=True, text=True, check=True).stdout.split("\n")
+    command = ["git", "-C", repository, *(["diff", "--cached", "--name-only", "--diff-filter=ACMR", "-z"] if staged else ["diff", "--name-only", "-z", f"{base}...HEAD"] if base else ["ls-files", "-z"])]
+    names = subprocess.run(command, capture_output=True, check=True).stdout.decode("utf-8", "surrogateescape").split("\0")
     return spark.createDataFrame([(n,) for n in names if n], "path string")
 
 
@@ -88,11 +96,11 @@ def git_paths(spark: SparkSession, repository: str, base: str | None = None, sta
 HOOK_EXTENSIONS = (".java", ".py", ".js", ".ts", ".jsx", ".tsx", ".xml", ".yaml", ".yml", ".json", ".properties", ".sql", ".sh", ".bash", ".go", ".rb", ".php")
 
 
-def scannable(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """The files that are there of those that a change names (from their root), if a hook scans their kind."""
-    given = paths.select(F.col("path").alias("changed"), F.element_at(F.split("path", "/"), -1).alias("n")).distinct()
-    named = (F.col("name") == F.col("n")) & ((F.col("path") == F.col("changed")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("changed"))))
-    return files.filter(F.col("ext").isin(*HOOK_EXTENSIONS)).join(given, named, "left_semi")
+def scannable(files: DataFrame, paths: DataFrame, root: str = "") -> DataFrame:
+    """The files that are there of those that a change names, relative to the root, if a hook scans their kind."""
+    before = root.rstrip("/") + "/" if root else ""
+    given = paths.select(F.concat(F.lit(before), F.col("path")).alias("path")).distinct()
+    return files.filter(F.col("ext").isin(*HOOK_EXTENSIONS)).join(given, "path", "left_semi")
 
 
 def changed(findings: DataFrame, paths: DataFrame) -> DataFrame:

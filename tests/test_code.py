@@ -208,7 +208,8 @@ def test_questions_and_answers(spark, code, tmp_path):
     assert (used.requests, used.cache_hits, used.hit_rate, used.output_tokens, used.cost) == (3, 3, 1.0, 0, 0.0) and enrich.usage(replies).first().input_tokens > 100
     enrich.clear(spark, path)
     assert enrich.load(spark, path).count() == 0
-    assert "".join(reports.enhanced_json_parts(replies, {"target": "t"}, {"requests": 3})).count('"rule_id"') == 3
+    reports.write_enhanced_json(replies, str(tmp_path / "e.json"), {"target": "t"}, {"requests": 3})
+    assert (tmp_path / "e.json").read_text().count('"rule_id"') == 3
 
 
 def test_candidates_and_first_ranked(spark):
@@ -226,7 +227,10 @@ def test_documents_of_findings(spark, tmp_path):
     run = whole["runs"][0]
     assert [r["ruleId"] for r in run["results"]] == ["R-1"] and run["artifacts"][0]["location"]["uri"] == "x.java" and run["invocations"][0]["endTimeUtc"].endswith("Z")
     assert run["tool"]["driver"]["rules"][0]["helpUri"].endswith("/89.html") and len(json.loads(reports.sarif(found, "t", "1", include_suppressed=True))["runs"][0]["results"]) == 2
-    text = json.loads("".join(reports.json_parts(found, {"target": "/b"})))
+    reports.write_sarif(found, str(tmp_path / "f.sarif"), "t", "1", "/b")
+    assert json.loads((tmp_path / "f.sarif").read_text())["runs"][0]["results"] == run["results"]
+    reports.write_json(found, str(tmp_path / "f.json"), {"target": "/b"})
+    text = json.loads((tmp_path / "f.json").read_text())
     assert (text["total_findings"], text["summary"]["high"], len(text["findings"])) == (2, 1, 2)
     spreadsheet.write(found, str(tmp_path / "f.xlsx"), 7)
     with zipfile.ZipFile(tmp_path / "f.xlsx") as book:
@@ -284,7 +288,8 @@ def test_profile(spark):
 
 def test_changed_and_scannable_files(spark, code):
     paths = spark.createDataFrame([("svc/handler.go",), ("order.rb",), ("svc/Item.swift",), ("gone.py",)], "path string")
-    assert sorted(r.path for r in files.scannable(code, paths).collect()) == ["svc/handler.go", "svc/order.rb"]
+    assert sorted(r.path for r in files.scannable(code, paths).collect()) == ["svc/handler.go"]  # whole paths: a name alone is another file
+    assert sorted(r.path for r in files.scannable(code, spark.createDataFrame([("order.rb",), ("handler.go",)], "path string"), "svc").collect()) == ["svc/handler.go", "svc/order.rb"]
 
 
 def test_numbers_follow_the_report(spark):
