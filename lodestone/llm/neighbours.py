@@ -38,6 +38,8 @@ PART_ROOT, LEAST_PARTS, MOST_PARTS = 16, 4, 128
 SLAB_ROWS, PACK_ROWS, QUERY_ROWS = 65_536, 4096, 1024
 #: Bytes of a pack's vectors at most.
 PACK_BYTES = 4 << 20
+#: Packs of queries whose best a task holds for the slab at hand.
+HELD_PACKS = 64
 #: Candidates ranked again beside the k wanted, as products of blocks are rounded differently.
 SPARE = 4
 _PACK = "part int, n int, counts binary, ids binary, vectors binary"
@@ -124,23 +126,55 @@ def best_of_pack(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.n
     return place, (q[:, None, :] * x[place]).sum(axis=2)
 
 
+def _listed(place: np.ndarray, score: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row a query of ids and their scores: each chosen vector's ids, filled up with scores of minus infinity."""
+    times = counts[place]
+    total = times.sum(axis=1)
+    flat = times.ravel()
+    offset = np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat)
+    starts = (np.cumsum(counts) - counts)[place].ravel()
+    owner = np.repeat(np.arange(len(place)), total)
+    column = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    out_ids, out_scores = np.zeros((len(place), total.max()), np.int64), np.full((len(place), total.max()), -np.inf)
+    out_ids[owner, column] = ids[np.repeat(starts, flat) + offset]
+    out_scores[owner, column] = np.repeat(score.ravel(), flat)
+    return out_ids, out_scores
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k of each row by score and then id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
 def _rerank(d: int, kind: type, k: int):
+    """(key, vec_id, score) of packs of vectors met by packs of queries; what one slab's packs give a query is merged before it leaves the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        slab = None
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for keys, (ids, scores) in held.items():
+                row, column = np.nonzero(scores > -np.inf)
+                names = pa.array([keys[i : i + KEY_BYTES] for i in range(0, len(keys), KEY_BYTES)], pa.binary())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids[row, column]), pa.array(scores[row, column])], names=["key", "vec_id", "score"])
+            held.clear()
+
         for batch in batches:
-            for row in range(batch.num_rows):
+            for row, here in enumerate(zip(batch["part"].to_pylist(), batch["slab"].to_pylist(), strict=True)):
+                if here != slab or len(held) > HELD_PACKS:
+                    yield from passed_on()
+                    slab = here
                 value = lambda name, row=row, batch=batch: batch[name][row].as_buffer()
                 queries = np.frombuffer(value("query_vectors"), kind).reshape(-1, d)
                 vectors = np.frombuffer(value("vectors"), kind).reshape(-1, d)
-                counts, ids = np.frombuffer(value("counts"), np.int32), np.frombuffer(value("ids"), np.int64)
-                starts = np.cumsum(counts) - counts
-                keys = np.frombuffer(value("keys"), f"V{KEY_BYTES}")
-                place, score = best_of_pack(queries, vectors, k)
-                times = counts[place].ravel()
-                first = np.repeat(starts[place].ravel(), times)
-                offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                owner = np.repeat(np.repeat(np.arange(len(queries)), place.shape[1]), times)
-                out = [pa.array([bytes(x) for x in keys], pa.binary()).take(pa.array(owner)), pa.array(ids[first + offset]), pa.array(np.repeat(score.ravel(), times))]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "vec_id", "score"])
+                found = _listed(*best_of_pack(queries, vectors, k), np.frombuffer(value("counts"), np.int32), np.frombuffer(value("ids"), np.int64))
+                keys = batch["keys"][row].as_py()
+                if keys in held:
+                    found = tuple(np.hstack(x) for x in zip(held[keys], found, strict=True))
+                held[keys] = _best(*found, k)
+        yield from passed_on()
 
     return tidy(run)
 
@@ -173,7 +207,7 @@ def nearest_vectors(vectors: DataFrame, asks: Column | None = None, k: int = 20,
     dealt = packs.withColumn("slab", F.pmod(F.xxhash64("ids"), slabs))
     queries = asking.mapInArrow(_query_packs(router, d, kind, min(rows, QUERY_ROWS)), _QUERIES)
     queries = written(queries, "vectors-queries").select("part", "keys", F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), (slabs - 1).cast("long"))).alias("slab"))
-    met = dealt.join(queries, ["part", "slab"]).select("keys", "query_vectors", "counts", "ids", "vectors")
+    met = dealt.join(queries, ["part", "slab"]).select("part", "slab", "keys", "query_vectors", "counts", "ids", "vectors")
     scored = met.mapInArrow(_rerank(d, kind, k + 1), "key binary, vec_id long, score double")
     best = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
     found = written(scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1), "vectors-found")
