@@ -134,9 +134,13 @@ def class_guess(name: Column) -> Column:
 
 def numbered_snippet(content: Column, line: Column, around: int) -> Column:
     """Lines around a line with their numbers, the line itself marked."""
-    lines = F.split(content, "\n", -1)
-    first, last = F.greatest(line - around, F.lit(1)), F.least(line + around, F.size(lines))
-    row = lambda i: F.concat(F.when(i == line, ">>>").otherwise("   "), F.lit(" "), F.lpad(i.cast("string"), 4, " "), F.lit(" | "), F.element_at(lines, i))
+    return numbered_lines(F.split(content, "\n", -1), F.lit(1), line, around)
+
+
+def numbered_lines(lines: Column, at: Column, line: Column, around: int) -> Column:
+    """As numbered_snippet, from a piece of a text's lines of which the first has the number ``at``."""
+    first, last = F.greatest(line - around, F.lit(1)), F.least(line + around, at + F.size(lines) - 1)
+    row = lambda i: F.concat(F.when(i == line, ">>>").otherwise("   "), F.lit(" "), F.lpad(i.cast("string"), 4, " "), F.lit(" | "), F.element_at(lines, (i - at + 1).cast("int")))
     return F.array_join(F.transform(F.sequence(first, last), row), "\n")
 
 

@@ -10,9 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import numbered_snippet, parsed_reply, severity_rank, template
+from lodestone.functions.text import parsed_reply, severity_rank, template
 from lodestone.operators.findings import FOUND as _FOUND
 from lodestone.operators.findings import at_least
+from lodestone.operators.ledger import Ledger
+from lodestone.operators.lineage import cut
+from lodestone.operators.snippets import with_snippets
 
 VERDICT = "is_false_positive boolean, confidence string, explanation string"
 #: What models are asked, by kind of question: own wording; $names are filled in.
@@ -37,10 +40,10 @@ PROMPT = "Finding $rule_id ($severity) in $file_path at line $line:\n$code\nIs i
 
 
 def prompts(findings: DataFrame, files: DataFrame, around: int = 10) -> DataFrame:
-    """findings with the prompt of each, and its cache key."""
-    rows = findings.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
-    text = template(PROMPT, {"rule_id": F.col("rule_id"), "severity": F.col("severity"), "file_path": F.col("file_path"), "line": F.col("line_number").cast("string"), "code": numbered_snippet(F.coalesce("content", F.lit("")), F.col("line_number"), around)})
-    return rows.withColumn("prompt", text).drop("content").withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
+    """findings with the prompt of each, and its cache key; of each file only the lines around findings move, once."""
+    rows = with_snippets(findings, files, around)
+    text = template(PROMPT, {"rule_id": F.col("rule_id"), "severity": F.col("severity"), "file_path": F.col("file_path"), "line": F.col("line_number").cast("string"), "code": F.col("code")})
+    return rows.withColumn("prompt", text).drop("code").withColumn("cache_key", F.left(F.sha2(F.to_json(F.struct("prompt")), 256), F.lit(16)))
 
 
 def asked(cases: DataFrame, kind: str) -> DataFrame:
@@ -109,21 +112,38 @@ def stub_provider(texts: pd.Series) -> pd.Series:
     return texts.map(lambda p: '```json\n{"is_false_positive": %s, "confidence": "high", "explanation": "stub"}\n```' % ("true" if len(p) % 2 else "false"))
 
 
-def answered(asked: DataFrame, provider: Callable[[pd.Series], pd.Series], cache: DataFrame | None = None) -> DataFrame:
-    """asked with reply and cached: from the cache table (cache_key, reply) where it has the key, else from the provider, a batch at a time."""
-    kept = cache.select("cache_key", F.col("reply").alias("old")) if cache is not None else asked.select("cache_key", F.lit(None).cast("string").alias("old")).limit(0)
-    joined = asked.join(kept.dropDuplicates(["cache_key"]), "cache_key", "left")
+def answered(asked: DataFrame, provider: Callable[[pd.Series], pd.Series], cache: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """asked with reply, latency_ms and cached: from the cache table (cache_key, reply) or the ledger where they have the key, else from the provider.
+
+    The provider is asked at once and once for each key, whatever is done with
+    the result; rows of one key share its answer.  With a ledger, answers
+    outlive the job and a failed task (see there); without, they are a table of
+    this session.
+    """
+    known = asked.select("cache_key", F.lit(None).cast("string").alias("old")).limit(0) if cache is None else cache.select("cache_key", F.col("reply").alias("old")).dropDuplicates(["cache_key"])
+    joined = asked.join(known, "cache_key", "left")
+    old = joined.filter("old IS NOT NULL").withColumnRenamed("old", "reply").withColumns({"cached": F.lit(True), "latency_ms": F.lit(0.0)})
     rest = joined.filter("old IS NULL").drop("old")
+    if ledger is not None:
+        new_keys = ledger.ask(rest.select("cache_key", "prompt"), provider).withColumn("fresh", F.lit(True))
+        replies = ledger.replies().join(new_keys, "cache_key", "left")
+    else:
+        replies = _asked_once(rest, provider).withColumn("fresh", F.lit(True))
+    new = rest.join(replies, "cache_key").withColumn("cached", F.col("fresh").isNull()).drop("fresh")
+    return old.unionByName(new.withColumn("latency_ms", F.when(F.col("cached"), 0.0).otherwise(F.col("latency_ms"))))
+
+
+def _asked_once(rest: DataFrame, provider: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """(cache_key, reply, latency_ms) of the distinct keys, as a table that later actions read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             begun = time.perf_counter()
             reply = provider(batch["prompt"])
-            yield batch.assign(reply=reply, latency_ms=1000 * (time.perf_counter() - begun) / max(1, len(batch)))
+            yield pd.DataFrame({"cache_key": batch["cache_key"], "reply": reply, "latency_ms": 1000 * (time.perf_counter() - begun) / max(1, len(batch))})
 
-    new = rest.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", reply string, latency_ms double")
-    old = joined.filter("old IS NOT NULL").withColumnRenamed("old", "reply").withColumns({"cached": F.lit(True), "latency_ms": F.lit(0.0)})
-    return old.unionByName(new.withColumn("cached", F.lit(False)))
+    keys = cut(rest.groupBy("cache_key").agg(F.min("prompt").alias("prompt")))
+    return cut(keys.mapInPandas(run, "cache_key string, reply string, latency_ms double"))
 
 
 def enhanced(replies: DataFrame) -> DataFrame:

@@ -240,10 +240,15 @@ def all_rows(text: Text, rules: list[dict], present: set[str], engines: set[str]
                 yield from check_rows(text, check, i, engine, sequence, width)
 
 
-def scan(files: DataFrame, rules: DataFrame, engines: tuple[str, ...], context_aware: bool = True) -> DataFrame:
-    """Findings of rules and check tables.  files may have a column ``plain``: whether rules read the file."""
+def scan(files: DataFrame, rules: DataFrame, engines: tuple[str, ...], context_aware: bool = True, present: set[str] | None = None) -> DataFrame:
+    """Findings of rules and check tables.
+
+    files may have a column ``plain``: whether rules read the file.  present:
+    the frameworks whose checks apply; by default those that the files show.
+    """
     chosen = [r.asDict(recursive=True) for r in rules.orderBy("rule_ord").collect()] if "rules" in engines else []  # a scan's rules: a parameter
-    present = {r.framework for r in frameworks(files).filter("present").collect()} if "frameworks" in engines else set()  # 14 at most
+    if present is None:
+        present = {r.framework for r in frameworks(files).filter("present").collect()} if "frameworks" in engines else set()  # 14 at most
     wanted = set(engines)
     if "plain" not in files.columns:
         files = files.withColumn("plain", F.lit(True))

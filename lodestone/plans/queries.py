@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.regex import java, matches
-from lodestone.operators import callgraph, checks, enrich, graph, impact, labelflow, lattice, manypatterns, mybatis, onepass, patterns, priority, spring, taint
+from lodestone.operators import callgraph, checks, enrich, graph, impact, labelflow, lattice, manypatterns, mybatis, onepass, patterns, priority, snippets, spring, tablefunctions, taint
 from lodestone.operators import context as ctx
 from lodestone.operators import findings as relation
 from lodestone.operators.check_tables import ANGULAR, CLOUDFORMATION, DJANGO, FLASK, FRAMEWORKS, LANGUAGES, REACT, VUE
@@ -114,8 +114,8 @@ FROM h"""
 
 
 def numbered_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secret_matches(spark, sf_dir).join(_paths(spark, sf_dir).select("path", "content"), "path")
-    return rows.select("path", "match_no", T.numbered_snippet(F.col("content"), F.col("line_number"), 2).alias("snippet"))
+    found = secret_matches(spark, sf_dir).withColumnRenamed("path", "file_path")
+    return snippets.with_snippets(found, _paths(spark, sf_dir), 2, "snippet").select(F.col("file_path").alias("path"), "match_no", "snippet")
 
 
 SNIPPET_SQL = f"""
@@ -352,6 +352,18 @@ f AS (SELECT pattern, doc_id, len(regexp_extract_all(text, p)) AS n FROM documen
 SELECT CAST(pattern AS INTEGER) AS pattern, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM f WHERE n > 0 GROUP BY 1"""
 
 
+def analyzer_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's analyzer of files, from SQL over all documents."""
+    tablefunctions.register(spark, "long_lines", tablefunctions.of_files(tablefunctions.long_lines, ("doc_id",)))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return spark.sql("SELECT doc_id, line_number, description FROM long_lines(TABLE({docs}))", docs=docs)
+
+
+ANALYZER_SQL = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS line_number, length(l[i]) || ' characters' AS description FROM n WHERE length(l[i]) > 400"""
+
+
 # --- graphs, taint and the lattice
 
 
@@ -570,7 +582,7 @@ def queries() -> dict[str, Query]:
         "iac_resources": iac_resources, "dedupe_first": dedupe_first, "severity_summary": over(relation.summary), "affected_files": over(relation.affected_files), "top_categories": over(relation.top_categories),
         "conditional_counts": conditional_counts, "exit_code": over(relation.exit_code), "impact_lookup": impact_lookup, "csv_projection": csv_projection, "sarif_rules": sarif_rules, "result_filters": result_filters, "changed_files_semi": changed_files,
         "prioritize": prioritize, "top_n": top_n, "risk_groups": over(priority.risk_groups), "budget_prefix": budget_prefix, "running_cost": running_cost, "cost_estimate": over(priority.cost),
-        "containing_method_asof": asof_methods, "call_chains": call_chains, "superclass_chain": superclass_chain, "taint_propagation": taint_propagation, "lattice_join": lattice_join, "many_patterns": many_patterns, "call_reach": call_reach, "call_components": call_components, "taint_sources": taint_sources,
+        "containing_method_asof": asof_methods, "call_chains": call_chains, "superclass_chain": superclass_chain, "taint_propagation": taint_propagation, "lattice_join": lattice_join, "many_patterns": many_patterns, "analyzer_function": analyzer_function, "call_reach": call_reach, "call_components": call_components, "taint_sources": taint_sources,
         "methods": on_corpus(callgraph.methods), "calls": lambda s, d: callgraph.calls(_corpus(s), callgraph.methods(_corpus(s))), "taint_findings": lambda s, d: taint.findings(_corpus(s)).select(*CHECK_COLUMNS),
         "usage_stats": usage_stats, "hourly_metrics": hourly_metrics, "enriched_findings": enriched, "full_scan": full_scan, "document_scan": document_scan,
     }
@@ -600,7 +612,7 @@ def oracle_sql() -> dict[str, str]:
         "budget_prefix": f"SELECT rule_id, priority_score, {', '.join(_TIES)} FROM (SELECT *, sum({priority.unit_cost('full')}) OVER (ORDER BY priority_score DESC, {', '.join(_TIES)} ROWS UNBOUNDED PRECEDING) AS c FROM ({PRIORITY_SQL})) WHERE c <= 2.0 + 1e-9",
         "running_cost": f"SELECT file_path, match_no, engine_seq, rule_ord, round(sum(CAST({priority.unit_cost('full')} AS DOUBLE)) OVER (PARTITION BY file_path ORDER BY priority_score DESC, {', '.join(_TIES[1:])} ROWS UNBOUNDED PRECEDING), 6) AS running_cost FROM ({PRIORITY_SQL})",
         "cost_estimate": f"SELECT count(*) AS n_findings, count(*) * 3500 AS input_tokens, count(*) * 2000 AS output_tokens, round(count(*) * CAST({priority.unit_cost('full')} AS DOUBLE), 6) AS total_cost FROM ({f})",
-        "containing_method_asof": ASOF_SQL, "call_chains": CHAINS_SQL, "superclass_chain": SUPERCLASS_SQL, "taint_propagation": TAINT_SQL, "lattice_join": _lattice_sql(), "many_patterns": MANY_SQL, "call_reach": REACH_SQL, "call_components": COMPONENTS_SQL, "taint_sources": SOURCES_SQL,
+        "containing_method_asof": ASOF_SQL, "call_chains": CHAINS_SQL, "superclass_chain": SUPERCLASS_SQL, "taint_propagation": TAINT_SQL, "lattice_join": _lattice_sql(), "many_patterns": MANY_SQL, "analyzer_function": ANALYZER_SQL, "call_reach": REACH_SQL, "call_components": COMPONENTS_SQL, "taint_sources": SOURCES_SQL,
         "usage_stats": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1",
         "hourly_metrics": "SELECT date_trunc('hour', ts) AS window_start, event_type AS name, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2",
         "framework_gate": f"""WITH c AS ({corpus.sql()}) SELECT unnest({S.lit(checks.framework_signs_names())}) AS framework, unnest([
