@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,55 +94,79 @@ def labels(found: DataFrame) -> DataFrame:
     class itself is there, and not only named as a parent.
     """
     up = cut(_parents(found).filter("child <> 'Object'"))
-    names = cut(found.select("class_name", F.lit(True).alias("known")).unionByName(up.select("parent", F.lit(False))).unionByName(_root(found, "class_name string, known boolean", ("Object", False))).groupBy("class_name").agg(F.max("known").alias("known")))
-    loops = Jumps(up).loops()
-    if loops is None:
-        at = names.select("class_name", F.col("class_name").alias("node"))
-        tree = up.select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    else:
-        loops = cut(loops)
-        at = cut(names.join(loops.withColumnRenamed("node", "class_name"), "class_name", "left").select("class_name", F.coalesce("component", "class_name").alias("node")))
-        outside = up.join(loops.select(F.col("node").alias("child")), "child", "left_anti")
-        tree = outside.join(at.withColumnsRenamed({"class_name": "parent", "node": "up"}), "parent").select(F.col("child").alias("node"), "up")
-    roots = at.select("node").filter("node <> 'Object'").distinct().join(tree.select("node"), "node", "left_anti")
-    tree = cut(tree.unionByName(roots.select("node", F.lit("Object").alias("up"))))
+    named = found.select("class_name", F.lit(True).alias("known")).unionByName(up.select(F.col("parent").alias("class_name"), F.lit(False).alias("known"))).unionByName(_root(found, "class_name string, known boolean", ("Object", False)))
+    at = cut(named.groupBy("class_name").agg(F.max("known").alias("known")).withColumn("node", F.col("class_name")))
+    tree = _rooted(at, up.select(F.col("child").alias("node"), F.col("parent").alias("up")))
     jumps = Jumps(tree)
+    if jumps.looped:
+        loops = cut(jumps.loops().withColumnRenamed("node", "class_name"))
+        at = cut(at.drop("node").join(loops, "class_name", "left").select("class_name", "known", F.coalesce("component", "class_name").alias("node")))
+        outside = up.join(loops.select(F.col("class_name").alias("child")), "child", "left_anti")
+        tree = _rooted(at, outside.join(at.select(F.col("class_name").alias("parent"), F.col("node").alias("up")), "parent").select(F.col("child").alias("node"), "up"))
+        jumps = Jumps(tree)
     size = jumps.summed(at.select("node").distinct().withColumn("size", F.lit(1).cast("long")), {"size": "sum"}, upward=False)
     before = running(tree.join(size, "node"), ["up"], ["node"], {"with": ("sum", F.col("size"))}).select("node", (F.col("with") - F.col("size") + 1).alias("pre"))
     pre = jumps.summed(before.unionByName(_root(found, "node string, pre long", ("Object", 0))), {"pre": "sum"}, upward=True)
     numbers = pre.join(size, "node").select("node", "pre", (F.col("pre") + F.col("size") - 1).alias("post"))
-    return cut(at.join(numbers, "node").join(names, "class_name").select("class_name", "pre", "post", "known"))
+    return cut(at.join(numbers, "node").select("class_name", "pre", "post", "known"))
+
+
+def _rooted(at: DataFrame, tree: DataFrame) -> DataFrame:
+    """The tree's (node, up) with Object above all that have nothing above them."""
+    roots = at.select("node").filter("node <> 'Object'").distinct().join(tree.select("node"), "node", "left_anti")
+    return cut(tree.unionByName(roots.select("node", F.lit("Object").alias("up"))))
 
 
 def _root(like: DataFrame, schema: str, row: tuple) -> DataFrame:
     return like.sparkSession.createDataFrame([row], schema)
 
 
+def _open_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each question (kind 1) the sum and the least class of the intervals that hold it, of rows sorted by range, name and place.
+
+    Intervals lie in one another or apart, so those that are open are a stack
+    whose top has the sums of all; it is as deep as declarations of one name
+    are nested.
+    """
+    stack: list[tuple] = []
+    group = None
+    for batch in batches:
+        out = []
+        for range_, name, at, kind, post, n, least, type_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (range_, name) != group:
+                stack, group = [], (range_, name)
+            while stack and stack[-1][0] < at:
+                stack.pop()
+            if kind == 0:
+                _, total, first = stack[-1] if stack else (0, 0, least)
+                stack.append((post, total + n, min(first, least)))
+            elif stack:
+                out.append((type_, name, *stack[-1][1:]))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["type", "method_name", "n", "first_class"])
+
+
 def _covering(asked: DataFrame, declared: DataFrame, tree: DataFrame) -> DataFrame:
     """(type, method_name, n, first_class) of methods in a class or above it.
 
     asked: (type, method_name); declared: (class_name, method_name, n).  Per
-    name, each declaring class opens an interval at its pre and closes it after
-    its post; a type asks at its pre.  Running sums over that line give how
-    many are open, and the level; the innermost open one is the last that
-    opened at that level.  Each knows the one around it in the same way, and
-    least names are carried outward by doubling.
+    name, each declaring class is the interval from its pre to its post, and a
+    type asks at its pre which intervals hold it.  Both are sorted into ranges
+    that are scanned side by side; a range gets the intervals that are open
+    where it begins, which are those of one name that lie in one another.
     """
-    own = declared.join(tree, "class_name").groupBy("method_name", "pre", "post").agg(F.sum("n").alias("n"), F.min("class_name").alias("least"))
-    own = cut(own.withColumn("id", F.concat_ws("@", F.col("pre").cast("string"), "method_name")))
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    point = lambda at, kind, step, n, id_, type_: [F.col("method_name"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(step).alias("step"), n.alias("n"), id_.alias("id"), type_.alias("type")]
-    asks = asked.join(tree.filter("known").select(F.col("class_name").alias("type"), "pre"), "type")
-    line = own.select(*point(F.col("pre"), 1, 1, F.col("n"), F.col("id"), none)).unionByName(own.select(*point(F.col("post") + 1, 0, -1, -F.col("n"), none, none))).unionByName(asks.select(*point(F.col("pre"), 2, 0, zero, none, F.col("type"))))
-    levels = cut(running(line, ["method_name"], ["at", "kind", "type"], {"level": ("sum", F.col("step")), "open": ("sum", F.col("n"))}).filter("kind > 0"))
-    opened = levels.filter("kind = 1")
-    marks = opened.select("method_name", "level", "at", F.lit(0).alias("kind"), F.col("id").alias("mark"), none.alias("id"), none.alias("type"), zero.alias("open"))
-    outer = opened.filter("level > 1").select("method_name", (F.col("level") - 1).alias("level"), "at", F.lit(1).alias("kind"), none.alias("mark"), "id", none.alias("type"), zero.alias("open"))
-    inner = levels.filter("kind = 2 AND level > 0").select("method_name", "level", "at", F.lit(2).alias("kind"), none.alias("mark"), none.alias("id"), "type", "open")
-    around = cut(running(marks.unionByName(outer).unionByName(inner), ["method_name", "level"], ["at", "kind", "type"], {"around": ("last", F.col("mark"))}).filter("kind > 0"))
-    outward = Jumps(around.filter("kind = 1").select("id", "around"))
-    least = outward.summed(own.select(F.col("id").alias("node"), "least"), {"least": "min"}, upward=True)
-    return around.filter("kind = 2").join(least.withColumnRenamed("node", "around"), "around").select("type", "method_name", F.col("open").alias("n"), F.col("least").alias("first_class"))
+    own = declared.join(tree, "class_name").groupBy("method_name", F.col("pre").alias("at"), "post").agg(F.sum("n").alias("n"), F.min("class_name").alias("least"))
+    asks = asked.join(tree.filter("known").select(F.col("class_name").alias("type"), F.col("pre").alias("at")), "type")
+    long_, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    opened = own.select("method_name", "at", F.lit(0).alias("kind"), "post", "n", "least", text.alias("type"))
+    line = opened.unionByName(asks.select("method_name", "at", F.lit(1).alias("kind"), long_.alias("post"), long_.alias("n"), text.alias("least"), "type"))
+    ranges = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(line.repartitionByRange(ranges, "method_name", "at", "kind", "type").select(F.spark_partition_id().alias("range"), *line.columns))
+    begins = placed.groupBy("range").agg(F.min(F.struct("method_name", "at", "kind")).alias("b")).select("range", F.col("b.method_name").alias("method_name"), F.col("b.at").alias("begin"), F.col("b.kind").alias("with"))
+    earlier = (F.col("at") < F.col("begin")) | ((F.col("at") == F.col("begin")) & (F.col("with") == 1))
+    carried = placed.filter("kind = 0").drop("range").join(F.broadcast(begins), "method_name").filter(earlier & (F.col("post") >= F.col("begin")))  # a row a range
+    rows = placed.unionByName(carried.select(*placed.columns))
+    return rows.repartition(ranges, "range").sortWithinPartitions("range", "method_name", "at", "kind").mapInArrow(_open_intervals, "type string, method_name string, n long, first_class string")
 
 
 def target_counts(calls: DataFrame, found: DataFrame, methods: DataFrame) -> DataFrame:
@@ -160,7 +185,7 @@ def target_counts(calls: DataFrame, found: DataFrame, methods: DataFrame) -> Dat
     implementing = implementing.join(tree.select("class_name", "pre", "post"), "class_name", "left").join(place, "type", "left")
     besides = implementing.filter("at IS NULL OR at < pre OR at > post").select("type", "class_name")  # those above are counted
     below = besides.join(declared, "class_name").groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class"))
-    by_type = cut(above.unionByName(below).groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("first_class").alias("first_class")))
+    by_type = cut(above.unionByName(below).groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("first_class").alias("first_class")))  # tables of their own, so that a hot pair's calls can be split
     by_name = cut(declared.groupBy("method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class")))
     typed = calls.filter("receiver_type IS NOT NULL").select("call_id", "method_name", F.col("receiver_type").alias("type")).join(by_type, ["type", "method_name"])
     untyped = calls.filter("receiver_type IS NULL").select("call_id", "method_name").join(by_name, "method_name")
