@@ -26,8 +26,6 @@ from lodestone.operators.checks import framework_signs
 from lodestone.operators.findings import COLUMNS, FOUND, deduplicated
 
 BUCKETS = 16
-#: Milliseconds for which given findings are remembered: a file that comes again later is new.
-REMEMBERED = 30 * 24 * 3600 * 1000
 ENGINES = ("rules", "frameworks", "languages", "iac")
 _OUT = "project string, finding string"
 
@@ -35,7 +33,7 @@ _OUT = "project string, finding string"
 class Waiting(StatefulProcessor):
     """State of one bucket of a project: frameworks that were seen, findings that wait for one, and findings that were given."""
 
-    def __init__(self, remembered: int) -> None:
+    def __init__(self, remembered: int | None) -> None:
         self.remembered = remembered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -93,15 +91,19 @@ def arriving(files: DataFrame, rules: DataFrame, project: str = "project", engin
     return own.unionByName(signs)
 
 
-def scanned(files: DataFrame, rules: DataFrame, project: str = "project", engines: tuple[str, ...] = ENGINES, remembered: int = REMEMBERED) -> DataFrame:
+def scanned(files: DataFrame, rules: DataFrame, project: str = "project", engines: tuple[str, ...] = ENGINES, remembered: int | None = None) -> DataFrame:
     """A stream of findings (project and the columns of findings) of a stream of files, each given once.
 
-    The session needs the RocksDB state store.  Of several findings of one
+    The session needs the RocksDB state store.  remembered: milliseconds for
+    which given findings are remembered, after which a file that comes again
+    is new; None remembers all, and state grows with the findings.  Spark runs
+    batches without data for as long as state can expire, so give a time to
+    streams that go on, and none to those that end (availableNow).  Of several findings of one
     rule, file and line the first that arrives is given; reports deduplicate
     again, which changes nothing within one file's batch.
     """
     rows = arriving(files, rules, project, engines)
-    out = rows.groupBy("project", "bucket").transformWithStateInPandas(Waiting(remembered), _OUT, "append", "ProcessingTime")
+    out = rows.groupBy("project", "bucket").transformWithStateInPandas(Waiting(remembered), _OUT, "append", "None" if remembered is None else "ProcessingTime")
     columns = ", ".join(f"`{c}` {t}" for c, t in COLUMNS.items())
     return out.select("project", F.from_json("finding", columns).alias("f")).select("project", "f.*")
 
