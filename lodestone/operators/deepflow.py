@@ -353,24 +353,31 @@ def _safely(path: str, content: str) -> list[tuple[Method, Body, int]]:
 _VULNERABILITIES = "file_path string, line int, sink_type string, sink_method string, source_type string, source_loc string, variable string, annotation string, path array<string>"
 
 
+def _reached(path: str, content: str, registry: Registry) -> list[tuple]:
+    """Rows of one file, as far as its analysis came."""
+    rows, seen = [], set()
+    try:
+        for method, body, start in _safely(path, content):
+            flow = Flow(body, path, start, registry)
+            if not flow.starts:
+                continue
+            for sink, value, line in flow.run().reached:
+                for label in sorted(value.labels):
+                    if (sink, label.place, line) not in seen:
+                        seen.add((sink, label.place, line))
+                        rows.append((path, line, sink, method.name, label.kind, label.place, label.variable, label.annotation, list(value.path)))
+    except Exception:  # one file must not end the analysis of the others
+        logging.getLogger(__name__).exception("not analysed: %s", path)
+    return rows
+
+
 def vulnerabilities(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     """One row per sink type, source place and sink place."""
     registry = registry or Registry()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in batch.itertuples(index=False, name=None):
-                seen = set()
-                for method, body, start in _safely(path, content):
-                    flow = Flow(body, path, start, registry)
-                    if not flow.starts:
-                        continue
-                    for sink, value, line in flow.run().reached:
-                        for label in sorted(value.labels):
-                            if (sink, label.place, line) not in seen:
-                                seen.add((sink, label.place, line))
-                                rows.append((path, line, sink, method.name, label.kind, label.place, label.variable, label.annotation, list(value.path)))
+            rows = [r for path, content in batch.itertuples(index=False, name=None) for r in _reached(path, content, registry)]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _VULNERABILITIES.split(", ")])
 
     return files.filter(F.col("ext") == ".java").select("path", "content").mapInPandas(run, _VULNERABILITIES)

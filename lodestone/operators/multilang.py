@@ -2,244 +2,58 @@
 
 from __future__ import annotations
 
+import csv
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# For each language what gives tainted values (by kind), what is dangerous (by sink), what cleans (by the sinks it cleans for) and what marks parameters.
-SOURCES = {
-    "go": {
-        "http_parameter": "FormValue PostFormValue Form.Get URL.Query Query PostForm QueryParam",
-        "http_header": "Header.Get GetHeader",
-        "cookie": "Cookie",
-        "http_body": "Body ShouldBind ShouldBindJSON Bind BodyParser",
-        "path_variable": "URL.Path URL.RawPath RequestURI Param Params",
-        "environment": "Getenv LookupEnv Environ",
-        "file_input": "ReadFile ReadAll Read ReadString ReadLine ReadBytes",
-        "database": "Scan QueryRow",
-    },
-    "csharp": {
-        "http_parameter": "QueryString Query Form Request.QueryString Request.Form",
-        "http_header": "Headers Request.Headers",
-        "cookie": "Cookies Request.Cookies",
-        "http_body": "Body Request.InputStream",
-        "path_variable": "Path RouteValues Request.Path",
-        "environment": "GetEnvironmentVariable GetEnvironmentVariables",
-        "file_input": "ReadAllText ReadAllLines ReadAllBytes",
-        "database": "ExecuteReader GetString GetValue",
-        "user_input": "ReadLine Read",
-    },
-    "kotlin": {
-        "http_parameter": "call.parameters call.request.queryParameters getParameter",
-        "http_header": "call.request.headers getHeader",
-        "cookie": "call.request.cookies",
-        "http_body": "call.receive getBody",
-        "path_variable": "call.request.path",
-        "user_input": "getIntent getStringExtra getIntExtra getBundleExtra getData getExtras",
-        "file_input": "getString getInt readText readLines readBytes bufferedReader",
-        "environment": "System.getenv System.getProperty",
-    },
-    "php": {
-        "http_parameter": "$_GET $_POST $_REQUEST input query post all get",
-        "cookie": "$_COOKIE cookie",
-        "http_header": "$_SERVER getallheaders apache_request_headers header",
-        "file_input": "$_FILES file_get_contents fread fgets fgetc file readfile stream_get_contents",
-        "environment": "$_ENV",
-        "user_input": "$_SESSION readline",
-        "database": "fetch_assoc fetch_array fetch_row fetch_object fetchAll fetch",
-    },
-    "ruby": {
-        "http_parameter": "params request.params request.query_parameters request.request_parameters",
-        "http_header": "request.headers request.env",
-        "cookie": "request.cookies",
-        "http_body": "request.body request.raw_post",
-        "path_variable": "request.path request.url",
-        "environment": "ENV ENV.fetch",
-        "file_input": "File.read File.readlines IO.read IO.readlines",
-        "user_input": "gets readline",
-        "database": "find_by_sql connection.execute select_rows select_values",
-    },
-    "rust": {
-        "environment": "env::var env::var_os env::vars",
-        "user_input": "env::args stdin BufRead::read_line",
-        "file_input": "fs::read_to_string fs::read read_line read_to_string text bytes json",
-        "http_parameter": "Query Form web::Query web::Form",
-        "path_variable": "Path web::Path param",
-        "http_body": "Json web::Json",
-        "database": "query query_as fetch_one fetch_all",
-    },
-    "swift": {
-        "http_parameter": "URLComponents.queryItems URL.query URLQueryItem.value req.query",
-        "http_header": "URLRequest.allHTTPHeaderFields URLRequest.value req.headers",
-        "file_input": "UserDefaults.string UserDefaults.object UserDefaults.data String(contentsOf:) Data(contentsOf:) FileManager.contents URLSession.dataTask URLSession.data",
-        "environment": "ProcessInfo.environment",
-        "http_body": "req.content",
-        "path_variable": "req.parameters",
-        "user_input": "UIPasteboard.string UITextField.text UITextView.text URL.host URL.path URL.absoluteString",
-    },
-}
-SINKS = {
-    "go": {
-        "sql_query": "Query QueryRow Exec Prepare",
-        "command_exec": "Command CommandContext Run Start Output CombinedOutput",
-        "file_access": "Open OpenFile Create ReadFile WriteFile Remove RemoveAll Mkdir MkdirAll",
-        "ssrf": "Get Post Do NewRequest",
-        "xss": "Execute ExecuteTemplate Write",
-        "deserialization": "Unmarshal Decode NewDecoder",
-        "log_output": "Print Printf Println",
-    },
-    "csharp": {
-        "sql_query": "ExecuteNonQuery ExecuteReader ExecuteScalar ExecuteSqlRaw ExecuteSqlRawAsync FromSqlRaw SqlQuery",
-        "command_exec": "Start Process.Start",
-        "file_access": "WriteAllText WriteAllLines WriteAllBytes Open OpenRead OpenWrite Create Delete Move Copy",
-        "ssrf": "GetAsync PostAsync SendAsync GetStringAsync",
-        "xss": "Write WriteAsync Content",
-        "deserialization": "Deserialize DeserializeObject BinaryFormatter.Deserialize",
-        "ldap_query": "FindOne FindAll",
-        "xpath_query": "SelectNodes SelectSingleNode Evaluate",
-        "log_output": "Log LogInformation LogWarning LogError LogDebug",
-    },
-    "kotlin": {
-        "sql_query": "rawQuery execSQL compileStatement executeQuery executeUpdate",
-        "command_exec": "exec Runtime.getRuntime().exec ProcessBuilder startActivity startService sendBroadcast",
-        "file_access": "writeText writeBytes createNewFile delete mkdir",
-        "ssrf": "URL openConnection HttpURLConnection",
-        "xss": "loadUrl loadData loadDataWithBaseURL evaluateJavascript",
-        "deserialization": "readObject decodeFromString",
-        "log_output": "Log.d Log.i Log.w Log.e Log.v",
-    },
-    "php": {
-        "sql_query": "mysql_query mysqli_query query prepare raw selectRaw whereRaw havingRaw orderByRaw",
-        "command_exec": "exec shell_exec system passthru popen proc_open pcntl_exec backtick eval assert preg_replace create_function",
-        "file_access": "file_put_contents fwrite fputs include include_once require require_once readfile unlink rename copy mkdir rmdir",
-        "ssrf": "curl_exec curl_setopt file_get_contents fopen get_headers",
-        "xss": "echo print printf",
-        "deserialization": "unserialize",
-        "ldap_query": "ldap_search",
-        "xpath_query": "xpath",
-        "log_output": "error_log syslog",
-    },
-    "ruby": {
-        "sql_query": "find_by_sql execute exec_query select_all where order group having pluck calculate",
-        "command_exec": "system exec spawn Open3.capture3 Open3.popen3 IO.popen Kernel.system Kernel.exec ` %x eval instance_eval class_eval module_eval send public_send constantize",
-        "file_access": "File.open File.write File.delete File.rename FileUtils.cp FileUtils.mv FileUtils.rm send_file",
-        "ssrf": "Net::HTTP.get URI.open open-uri HTTParty.get RestClient.get Faraday.get",
-        "xss": "render html_safe raw safe_join ERB.new",
-        "deserialization": "YAML.load Marshal.load JSON.parse",
-        "log_output": "logger.info logger.debug logger.warn logger.error Rails.logger",
-    },
-    "rust": {
-        "sql_query": "query execute sql_query raw_sql",
-        "command_exec": "Command::new spawn output status unsafe",
-        "file_access": "File::create File::open fs::write fs::remove_file fs::remove_dir fs::create_dir",
-        "ssrf": "get post Client::get Client::post",
-        "deserialization": "from_str from_slice from_reader deserialize",
-        "log_output": "info! debug! warn! error! log::info",
-    },
-    "swift": {
-        "sql_query": "execute run prepare sqlite3_exec",
-        "command_exec": "Process.run Process.launch",
-        "file_access": "FileManager.createFile FileManager.removeItem FileManager.moveItem FileManager.copyItem write(to:) write(toFile:)",
-        "ssrf": "URLSession.dataTask URLSession.data URLSession.download UIApplication.open UIApplication.canOpenURL",
-        "xss": "WKWebView.load WKWebView.loadHTMLString UIWebView.loadRequest evaluateJavaScript",
-        "deserialization": "JSONDecoder.decode PropertyListDecoder.decode NSKeyedUnarchiver.unarchiveObject NSKeyedUnarchiver.unarchivedObject",
-        "log_output": "print NSLog os_log Logger.log",
-    },
-}
-SANITIZERS = {
-    "go": {
-        "xss": "HTMLEscapeString HTMLEscaper JSEscapeString JSEscaper",
-        "xss ssrf": "URLQueryEscaper QueryEscape",
-        "file_access ssrf": "PathEscape",
-        "sql_query command_exec": "Atoi ParseInt",
-        "sql_query": "ParseFloat ParseBool Prepare",
-        "file_access": "Clean Base",
-    },
-    "csharp": {
-        "xss": "HtmlEncode HtmlAttributeEncode JavaScriptStringEncode",
-        "xss ssrf": "UrlEncode",
-        "ssrf": "EscapeDataString EscapeUriString",
-        "file_access": "GetFileName GetFullPath",
-        "sql_query": "AddWithValue Add Convert.ToInt32 Convert.ToInt64",
-        "sql_query command_exec": "Parse TryParse",
-    },
-    "kotlin": {
-        "xss": "HtmlCompat.toHtml TextUtils.htmlEncode",
-        "xss ssrf": "URLEncoder.encode",
-        "ssrf": "Uri.encode",
-        "sql_query command_exec": "toIntOrNull",
-        "sql_query": "toLongOrNull toDoubleOrNull setString setInt",
-    },
-    "php": {
-        "xss": "htmlspecialchars htmlentities strip_tags nl2br",
-        "sql_query": "mysqli_real_escape_string mysql_real_escape_string addslashes floatval (float)",
-        "xss ssrf": "urlencode rawurlencode",
-        "file_access": "basename realpath",
-        "command_exec": "escapeshellarg escapeshellcmd",
-        "sql_query command_exec": "intval (int)",
-        "xss sql_query ssrf": "filter_var",
-        "xss sql_query": "filter_input",
-    },
-    "ruby": {
-        "xss": "ERB::Util.html_escape CGI.escapeHTML h sanitize strip_tags",
-        "xss ssrf": "CGI.escape",
-        "ssrf": "URI.encode_www_form ERB::Util.url_encode",
-        "file_access": "File.basename Pathname.new",
-        "command_exec": "Shellwords.escape Shellwords.shellescape",
-        "sql_query command_exec": "to_i Integer",
-        "sql_query": "to_f sanitize_sql sanitize_sql_array quote",
-        "deserialization": "YAML.safe_load",
-    },
-    "rust": {
-        "xss": "encode_text encode_quoted_attribute",
-        "ssrf": "Url::parse",
-        "xss ssrf": "form_urlencoded::byte_serialize",
-        "file_access": "Path::new canonicalize",
-        "sql_query command_exec": "parse",
-        "sql_query": "from_str bind",
-        "command_exec": "escape",
-    },
-    "swift": {
-        "xss ssrf": "addingPercentEncoding",
-        "xss": "removingPercentEncoding htmlEscape",
-        "file_access": "lastPathComponent standardizedFileURL resolvingSymlinksInPath",
-        "sql_query command_exec": "Int.init",
-        "sql_query": "Double.init bind",
-        "deserialization": "NSSecureCoding",
-    },
-}
-ANNOTATIONS = {
-    "csharp": {"http_parameter": "[FromQuery] [FromForm] [Bind]", "http_body": "[FromBody]", "http_header": "[FromHeader]", "path_variable": "[FromRoute]"},
-    "kotlin": {"http_parameter": "@RequestParam", "path_variable": "@PathVariable", "http_body": "@RequestBody", "http_header": "@RequestHeader"},
-}
+#: One entry a line: language, part, method and kind.
+TABLE = Path(__file__).with_suffix(".csv")
 ALIASES = {"cs": "csharp", "kt": "kotlin", "rb": "ruby", "rs": "rust"}
 
 
+@cache
+def _entries() -> dict[str, dict[str, dict[str, str]]]:
+    """Language to part to method to kind, as the file has them."""
+    out: dict[str, dict[str, dict[str, str]]] = {}
+    with TABLE.open(newline="") as file:
+        for row in csv.DictReader(line for line in file if not line.startswith("#")):
+            out.setdefault(row["language"], {}).setdefault(row["part"], {})[row["method"]] = row["kind"]
+    return out
+
+
+def languages() -> list[str]:
+    return list(_entries())
+
+
 def language_of(name: str) -> str | None:
     """The language of a name or alias, in any case."""
     name = ALIASES.get(name.lower(), name.lower())
-    return name if name in SOURCES else None
+    return name if name in _entries() else None
 
 
-def _of(table: dict, language: str) -> dict[str, str]:
+def _of(part: str, language: str) -> dict[str, str]:
     """Method to what it gives, reaches or cleans for."""
-    known = language_of(language)
-    return {m: kind for kind, methods in table.get(known, {}).items() for m in methods.split()}
+    return dict(_entries().get(language_of(language), {}).get(part, {}))
 
 
 def sources(language: str) -> dict[str, str]:
-    return _of(SOURCES, language)
+    return _of("source", language)
 
 
 def sinks(language: str) -> dict[str, str]:
-    return _of(SINKS, language)
+    return _of("sink", language)
 
 
 def annotations(language: str) -> dict[str, str]:
-    return _of(ANNOTATIONS, language)
+    return _of("annotation", language)
 
 
 def sanitizers(language: str) -> dict[str, frozenset[str]]:
-    return {m: frozenset(cleans.split()) for m, cleans in _of(SANITIZERS, language).items()}
+    """Method to the sinks that it cleans for."""
+    return {m: frozenset(kinds.split()) for m, kinds in _of("sanitizer", language).items()}
 
 
 def cleans(language: str, method: str, sink: str) -> bool:
@@ -249,7 +63,7 @@ def cleans(language: str, method: str, sink: str) -> bool:
 def table(spark: SparkSession) -> DataFrame:
     """(language, method, source, sink, cleans, annotation): one row per language and method, for joins."""
     rows = []
-    for language in SOURCES:
+    for language in languages():
         given, reached, cleaned, marked = sources(language), sinks(language), sanitizers(language), annotations(language)
         for method in sorted({*given, *reached, *cleaned, *marked}):
             rows.append((language, method, given.get(method), reached.get(method), sorted(cleaned.get(method, ())), marked.get(method)))

@@ -281,7 +281,7 @@ _NAMES = ["Query", "exec", "escape", "Clean", "params", "readObject", "query", "
 
 def _multilang_sql() -> str:
     rows = []
-    for language in multilang.SOURCES:
+    for language in multilang.languages():
         given, reached, cleaned, marked = multilang.sources(language), multilang.sinks(language), multilang.sanitizers(language), multilang.annotations(language)
         for method in sorted({*given, *reached, *cleaned, *marked}):
             rows.append((language, method, given.get(method), reached.get(method), ",".join(sorted(cleaned.get(method, ()))), marked.get(method)))

@@ -102,6 +102,14 @@ def test_one_bad_file_does_not_end_a_scan(spark, monkeypatch):
     assert deepflow.findings(source).count() == 0
 
 
+def test_a_flow_that_raises_costs_its_own_file(monkeypatch):
+    of = {p: c for p, c in (corpus.FILES | corpus.CODE).items() if p.endswith(".java")}
+    found = lambda: [r for p, c in of.items() for r in deepflow._reached(p, c, sanitizers.Registry())]
+    assert found()
+    monkeypatch.setattr(deepflow.Flow, "run", lambda self: 1 / 0)
+    assert found() == []
+
+
 def test_sanitizers():
     known = sanitizers.Registry()
     assert known.find("encodeForHTML", "org.owasp.esapi.ESAPI").cleans == ("xss",) and known.find("encodeForHTML") is None
