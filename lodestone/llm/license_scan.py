@@ -1,15 +1,17 @@
 """License statements in documents, found by conditional compression.
 
-Words that speak of licenses mark candidate blocks in the whole text.  Each
-template of which a part is in the block word for word is confirmed by
-wording: the template is aligned with the block word by word, and what differs
-(words changed, missing or put in between) may be at most one word in ten, so
-that a short statement must be there exactly.  The fit that covers most words,
-less some for each difference, wins, of equal ones that whose template saves
-most bytes when the block is compressed with it as a zstandard raw-content
-dictionary.  Savings only rank: in a large block a dictionary can cost more
-than it saves.  What a confirmed template covers is taken out and the rest of
-its block tried again, so a block can hold several statements.
+Words that speak of licenses mark candidate blocks in the whole text.  Where a
+part of a template is in a block word for word, a window of about the
+template's length is cut out and compressed, alone and with the template as a
+zstandard raw-content dictionary.  The bytes saved, less half of those that
+are left, rank all windows of a block; in rank order they are confirmed by
+wording, and the first that fits wins: the
+template is aligned with its window word by word, and what differs (words
+changed, missing or put in between) may be at most one word in ten, so that a
+short statement must be there exactly.  Of windows of equal rank, that of
+the longest template comes first.  A statement's words are taken out, and the
+windows they were in are weighed again, so a block can hold several
+statements.  Compression only ranks: every window has its turn.
 
 The catalogue holds whole texts of the short licenses, the usual notices of
 the long ones, and identifier lines; what is in none of them is not found.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import zstandard
@@ -114,8 +117,6 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 AROUND, BLOCK_WORDS = 120, 2000
 #: Of a template's words, one in so many may differ.
 DIFFER = 10
-#: Words that a difference counts as less covered.
-DIFFERENCE = 4
 LEVEL = 9
 
 
@@ -126,6 +127,15 @@ class Template:
     words: tuple[bytes, ...]
     compressor: zstandard.ZstdCompressor
 
+    @property
+    def most(self) -> int:
+        """Words that may differ."""
+        return len(self.words) // DIFFER
+
+    def window(self, at: int) -> tuple[int, int]:
+        """The words that the template may take where it begins at a place, give or take the differences."""
+        return max(0, at - self.most), at + len(self.words) + self.most
+
 
 @cache
 def _templates() -> tuple[Template, ...]:
@@ -135,6 +145,7 @@ def _templates() -> tuple[Template, ...]:
         for k, text in enumerate(texts):
             words = tuple(w.lower() for w in WORD.findall(text.encode()))
             raw = zstandard.ZstdCompressionDict(b" ".join(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=LEVEL)
             out.append(Template(name, k, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
     return tuple(out)
 
@@ -170,36 +181,34 @@ def blocks(text: bytes) -> list[tuple[int, list[bytes]]]:
     return out
 
 
-def ranked(words: list[bytes]) -> list[tuple[int, int, Template]]:
-    """(bytes saved, bytes with the template, template), the most saved first."""
-    block = b" ".join(words)
-    alone = len(_plain().compress(block))
-    found = [(alone - (n := len(t.compressor.compress(block))), n, t) for t in _templates()]
-    return sorted(found, key=lambda x: (-x[0], -len(x[2].words), x[2].license, x[2].number))
-
-
-def aligned(template: Template, words: list[bytes], positions: dict[bytes, list[int]]) -> tuple[int, int, list[dict]] | None:
-    """(first word, end word, differences) of the template's best place in a block, if it differs little enough."""
-    most = len(template.words) // DIFFER
-    n = len(template.words)
-    best = None
-    for at in _places(template.words, words, most, positions):
-        window = words[max(0, at - most) : at + n + most]
-        shift = max(0, at - most)
-        matcher = SequenceMatcher(None, template.words, window, autojunk=False)
-        same = [m for m in matcher.get_matching_blocks() if m.size]
-        if not same:
-            continue
-        a, b = same[0].b, same[-1].b + same[-1].size
-        inner = SequenceMatcher(None, template.words, window[a:b], autojunk=False)
-        differences, count = [], 0
-        for kind, i, j, k, m in inner.get_opcodes():
-            if kind != "equal":
-                count += max(j - i, m - k)
-                differences.append({"template": b" ".join(template.words[i:j]).decode(), "text": b" ".join(window[a:b][k:m]).decode("utf-8", "replace")})
-        if count <= most and (best is None or count < best[0]):
-            best = (count, shift + a, shift + b, differences)
-    return best and (best[1], best[2], best[3])
+def weighed(template: Template, at: int, words: list[bytes]) -> tuple[int, int]:
+    """(bytes saved, bytes with the template) of the window of about the template's length at a place."""
+    first, end = template.window(at)
+    window = b" ".join(words[first:end])
+    size = len(template.compressor.compress(window))
+    return len(_plain().compress(window)) - size, size
+
+
+def rank(saved: int, size: int) -> float:
+    """What a window's compression speaks for its template: the bytes saved, less half of those that the template leaves."""
+    return saved - size / 2
+
+
+def aligned(template: Template, words: list[bytes], at: int) -> tuple[int, int, list[dict]] | None:
+    """(first word, end word, differences) of the template in its window at a place, if it differs little enough."""
+    shift, end = template.window(at)
+    window = words[shift:end]
+    same = [m for m in SequenceMatcher(None, template.words, window, autojunk=False).get_matching_blocks() if m.size]
+    if not same:
+        return None
+    a, b = same[0].b, same[-1].b + same[-1].size
+    inner = SequenceMatcher(None, template.words, window[a:b], autojunk=False)
+    differences, count = [], 0
+    for kind, i, j, k, m in inner.get_opcodes():
+        if kind != "equal":
+            count += max(j - i, m - k)
+            differences.append({"template": b" ".join(template.words[i:j]).decode(), "text": b" ".join(window[a:b][k:m]).decode("utf-8", "replace")})
+    return (shift + a, shift + b, differences) if count <= template.most else None
 
 
 def _places(template: tuple[bytes, ...], words: list[bytes], most: int, at: dict[bytes, list[int]]) -> list[int]:
@@ -221,23 +230,44 @@ def _positions(words: list[bytes]) -> dict[bytes, list[int]]:
     return out
 
 
+def statements(words: list[bytes]) -> Iterator[dict]:
+    """A block's statements by rank: windows by their compression, the first that wording confirms taken out of the words (left as gaps), and so on.
+
+    A window that a statement was taken out of is weighed again.  Every window
+    has its turn, so that what compression ranks low is not lost.
+    """
+    positions, templates = _positions(words), _templates()
+    taken: list[tuple[int, int]] = []
+
+    def entry(k: int, at: int) -> tuple:
+        t = templates[k]
+        saved, size = weighed(t, at, words)
+        return (-rank(saved, size), -len(t.words), k, at, saved, size, len(taken))
+
+    waiting = [entry(k, at) for k, t in enumerate(templates) for at in _places(t.words, words, t.most, positions)]
+    heapify(waiting)
+    while waiting:
+        _, _, k, at, saved, size, known = heappop(waiting)
+        template = templates[k]
+        first, end = template.window(at)
+        gone = [(a, b) for a, b in taken[known:] if a < end and first < b]
+        if gone:
+            if sum(min(b, at + len(template.words)) - max(a, at) for a, b in gone) <= 2 * template.most:
+                heappush(waiting, entry(k, at))
+        elif fit := aligned(template, words, at):
+            a, b, differences = fit
+            taken.append((a, b))
+            words[a:b] = [b"\x00"] * (b - a)  # stays in place, so that later words keep their numbers
+            yield {"license": template.license, "template": template.number, "first": a, "end": b, "saved": saved, "size": size, "differences": differences}
+
+
 def scan(text: bytes) -> tuple[int, list[dict]]:
     """How many candidate blocks a text has, and its confirmed statements in order, without repeats where blocks overlap."""
     candidates, found = blocks(text), {}
     for start, words in candidates:
-        words = list(words)
-        while True:
-            positions = _positions(words)
-            fits = {t: fit for t in _templates() if (fit := aligned(t, words, positions))}
-            if not fits:
-                break
-            tried = [(saved, size, t) for saved, size, t in ranked(words) if t in fits]
-            saved, size, template = min(tried, key=lambda x: DIFFERENCE * len(fits[x[2]][2]) - (fits[x[2]][1] - fits[x[2]][0]))  # the first of equal ones saves most
-            a, b, differences = fits[template]
-            key = (start + a, template.license)
-            if key not in found:
-                found[key] = {"license": template.license, "template": template.number, "first": start + a, "end": start + b, "saved": saved, "size": size, "differences": differences}
-            words[a:b] = [b"\x00"] * (b - a)  # stays in place, so that later words keep their numbers
+        for s in statements(words):
+            s["first"], s["end"] = start + s["first"], start + s["end"]
+            found.setdefault((s["first"], s["license"]), s)
     return len(candidates), [found[k] for k in sorted(found)]
 
 

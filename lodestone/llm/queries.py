@@ -81,6 +81,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("statements").cast("long").alias("n_statements"),
         F.array_join(F.array_sort(F.array_distinct("statements.license")), ",").alias("licenses"),
         F.expr("aggregate(statements, 0L, (n, s) -> n + size(s.differences))").alias("n_differences"),
+        F.expr("aggregate(statements, 0L, (n, s) -> n + s.saved)").alias("bytes_saved"),
     )
 
 
