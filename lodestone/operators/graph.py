@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.lineage import cut
+from lodestone.operators.lineage import cut, shuffled
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -83,7 +83,7 @@ class Jumps:
         for table in reversed(self.tables):  # the longest jumps first, each where it does not pass the end
             state = cut(state.join(table.select(F.col("node").alias("end"), "up"), "end", "left").select("node", F.coalesce("up", "end").alias("end")))
         if self.looped:
-            state = state.join(self.tables[-1].select("node"), "node", "left_anti")
+            state = shuffled(state.join(self.tables[-1].select("node"), "node", "left_anti"))
         return state
 
     def loops(self) -> DataFrame | None:
@@ -188,12 +188,12 @@ def components(graph: DataFrame) -> DataFrame:
         heads = cut(heads.unionByName(heads.join(table, "node").select(F.col("up").alias("node"), "label")).distinct())
     singles = jumps.tables[0].select("node") if jumps.tables else every.limit(0)
     grouped = groups.unionByName(heads.join(singles, "node", "left_semi"))
-    least = grouped.groupBy("label").agg(F.min("node").alias("component"))
+    least = shuffled(grouped.groupBy("label").agg(F.min("node").alias("component")))
     grouped = grouped.join(least, "label").select("node", "component")
     for f in found:
         grouped = grouped.unionByName(f)
     grouped = cut(grouped.distinct())
-    return every.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return shuffled(every.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
 def reachable(graph: DataFrame, starts: DataFrame) -> DataFrame:

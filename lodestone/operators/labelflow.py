@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import Jumps, _pairs, _single, components
-from lodestone.operators.lineage import cut
+from lodestone.operators.lineage import cut, shuffled
 from lodestone.operators.rangescan import running
 
 WORD = 64
@@ -72,7 +72,7 @@ def label_sets(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
         known = delta
     members = of.select(F.col("node").alias("member"), F.col("component").alias("node"))
     out = known.join(members, "node", "left").select(F.coalesce("member", "node").alias("node"), "word", "bits")
-    return out, names
+    return shuffled(out), names
 
 
 def listed(sets: DataFrame, names: DataFrame) -> DataFrame:

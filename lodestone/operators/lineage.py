@@ -19,9 +19,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return "file://" + tempfile.gettempdir().rstrip("/") + "/lodestone-checkpoints" if spark.sparkContext.master.startswith("local") else None
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df whose next join shuffles both sides: a side that is broadcast goes through the driver, in every round of a walk anew."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once: a table written to the shared folder and read again, or cached where the session names none.
 
+    Joins with it shuffle, unless the other side is hinted to be broadcast.
+
     Unlike a checkpoint, a table that is read again brings along nothing of the
     plan that made it: what the optimizer has inferred there would grow with
     every round of a loop.
@@ -29,11 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None:
-        return df.cache()
+        return shuffled(df.cache())
     path = f"{folder}/lodestone/cut-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shuffled(spark.read.schema(df.schema).parquet(path))
 
 
 def cleanup(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.javacode import Java
 from lodestone.functions.regex import java
 from lodestone.operators.graph import Jumps, ancestors
-from lodestone.operators.lineage import cut
+from lodestone.operators.lineage import cut, shuffled
 from lodestone.operators.rangescan import running
 
 _CLASSES = "class_name string, extends string, implements array<string>, file_path string, line int"
@@ -76,7 +76,7 @@ def chains(found: DataFrame) -> DataFrame:
 def interfaces(found: DataFrame) -> DataFrame:
     """(class_name, interface): those of a class and of all its superclasses."""
     own = found.select(F.col("class_name").alias("ancestor"), F.explode("implements").alias("interface")).distinct()
-    return chains(found).join(own, "ancestor").select("class_name", "interface").distinct()
+    return chains(found).join(shuffled(own), "ancestor").select("class_name", "interface").distinct()
 
 
 def subtypes(found: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from lodestone.operators import callgraph, checks, enrich, graph, impact, labelf
 from lodestone.operators import context as ctx
 from lodestone.operators import findings as relation
 from lodestone.operators.check_tables import ANGULAR, CLOUDFORMATION, DJANGO, FLASK, FRAMEWORKS, LANGUAGES, REACT, VUE
+from lodestone.operators.lineage import shuffled
 from lodestone.plans import code_queries, reports
 from lodestone.plans import sqltext as S
 from lodestone.plans.scan import Scan
@@ -418,7 +419,7 @@ def _looping(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
     part = _table(spark, sf_dir, "part").select(p)
     far = F.when(p % 50 == 1, p * 13 + 5).when(p % 10 == 7, p * 2)
-    far = part.select(p, far.alias("q")).join(part.select(p.alias("q")), "q", "left_semi")
+    far = part.select(p, far.alias("q")).join(shuffled(part.select(p.alias("q"))), "q", "left_semi")
     down = part.select(p, F.floor(p / 2).alias("q")).filter("q > 0")
     return down.unionByName(far).select(p.cast("string").alias("caller_uid"), F.col("q").cast("string").alias("callee_uid"))
 

@@ -94,3 +94,17 @@ def test_empty(spark):
     assert components(none).collect() == [] and [tuple(r) for r in reachable(none, starts).collect()] == [("x", "x")]
     assert [tuple(r) for r in ancestors(none, starts).collect()] == [("x", "x", 0)]
     assert graph.Jumps(none).tables == []
+
+
+def test_joins_of_cut_tables_shuffle(spark):
+    """A side that is broadcast passes through the driver: in the rounds of a walk only shuffles may meet."""
+    from lodestone.operators import labelflow, types
+    from lodestone.operators.lineage import cut
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = cut(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a long, b long"))
+    other = spark.createDataFrame([(1, 5)], "a long, c long")
+    classes = spark.createDataFrame([("A", None, ["I"]), ("B", "A", [])], "class_name string, extends string, implements array<string>")
+    sets, names = labelflow.label_sets(other.select("a", "c"), edges)
+    for df in (edges.join(other, "a"), other.join(edges.filter("b > 1").select("a"), "a", "left_semi"), graph.components(edges), graph.reachable(edges, other.select("a")), types.interfaces(classes), labelflow.listed(sets, names)):
+        assert "Join" in plan(df) and "BroadcastHashJoin" not in plan(df)
