@@ -3,16 +3,18 @@
 Texts of which the sets of five-word shingles have a Jaccard similarity of
 0.8 or more are linked, and one row of each component stays.
 
-1. Candidates share one of ``BANDS`` band keys of ``ROWS`` minimum hashes each.
-   A pair at similarity s shares none with probability (1 - s^4)^32: 5e-8 at
-   0.8, and less above it.  (A SimHash of 64 bits differs in about ten bits at
-   0.8, too many for deletion variants to be selective.)
-2. Band keys that one text alone holds are left out by a pre-aggregated
+1. Fingerprints (SimHash of the same shingles) within four bits are found by
+   their deletion-variant keys, as in ``simhash``, and give candidate pairs.
+2. At 0.8 fingerprints differ in about ten bits, too many for deletion
+   variants to be selective.  What they miss shares one of ``BANDS`` band keys
+   of ``ROWS`` minimum hashes each: a pair at similarity s shares none with
+   probability (1 - s^4)^32, 5e-8 at 0.8, and less above it.
+3. Band keys that one text alone holds are left out by a pre-aggregated
    summary, and of keys with the same members one is kept.
-3. Each bucket's pairs are verified on the whole shingle sets.  A task writes
-   a spanning set of the links and not its pairs.  Buckets of over
-   ``CELL_TEXTS`` texts are dealt over a grid of cells in which any two of
-   their texts still meet.
+4. The pairs of step 1 and each bucket's pairs are verified on the whole
+   shingle sets.  A task writes a spanning set of the links and not its pairs.
+   Buckets of over ``CELL_TEXTS`` texts are dealt over a grid of cells in which
+   any two of their texts still meet.
 
 Defined cases: null and empty texts, and those of white space only, have one
 shingle, the empty one; fewer words than a shingle are one shingle; rows with
@@ -30,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_bounded, map_arrow, quoted, small_batches, text_or_empty, texts_of, tidy, without, written
+from .common import broadcast_if_bounded, discard, map_arrow, quoted, small_batches, text_or_empty, texts_of, tidy, without, written
 from .components import components
-from .simhash import keep_least
+from .simhash import fingerprint, keep_least, links
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -102,13 +104,29 @@ def spanning(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list
     return out
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of (node, fp) that join the nodes as all pairs of fingerprints within four bits would."""
+    prints = written(prints.distinct(), "similar-prints")
+    least = written(prints.groupBy("fp").agg(F.min("node").alias("least")), "similar-least")
+    same = prints.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda end: least.select(F.col("fp").alias(f"fp_{end}"), F.col("least").alias(end))
+    near = links(least).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
+    near = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    out = written(same.unionByName(near), "similar-pairs")
+    discard(prints)
+    discard(least)
+    return out
+
+
 def similar_links(texts: DataFrame, shingle_words: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR, cell_texts: int = CELL_TEXTS) -> DataFrame:
     """Links (a, b) between nodes of (node, t), whose components are those of all pairs of the similarity."""
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([band_keys(shingles(t, shingle_words)) for t in texts_of(batch.column(1))])
-        nodes = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["k", "node"])
+        texts = texts_of(batch.column(1))
+        keys = np.concatenate([band_keys(shingles(t, shingle_words)) for t in texts])
+        prints = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64)
+        nodes, prints = (np.repeat(x, BANDS) for x in (batch.column(0).to_numpy(), prints.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), pa.array(prints)], ["k", "node", "fp"])
 
     def with_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, shingle_words).tobytes() for t in texts_of(batch.column(1))]
@@ -132,10 +150,13 @@ def similar_links(texts: DataFrame, shingle_words: int = SHINGLE_WORDS, similar:
                 sets.append(np.frombuffer(data, np.uint64))
         yield from out()
 
-    keys = written(map_arrow(texts.select("node", "t"), keyed, "k long, node long"), "similar-keys")
+    keys = written(map_arrow(texts.select("node", "t"), keyed, "k long, node long, fp long"), "similar-keys")
+    pairs = fingerprint_pairs(keys.select("node", "fp"))
+    keys = keys.select("k", "node")
     summary = keys.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"), F.try_sum(F.shiftright(F.xxhash64("node"), 24)).alias("s")).filter("a < b")
     shared = written(summary.withColumn("s", F.coalesce("s", "k")).groupBy("a", "b", "n", "s").agg(F.min("k").alias("k")).select("k", "n"), "similar-buckets")
-    members = written(keys.join(shared, "k").distinct(), "similar-members")
+    paired = pairs.select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("node"), F.lit(2).cast("long").alias("n"))
+    members = written(keys.join(shared, "k").unionByName(paired.select("k", "node", "n")).distinct(), "similar-members")
     nodes = broadcast_if_bounded(written(members.select("node").distinct(), "similar-nodes"))
     sets = map_arrow(texts.select("node", "t").join(nodes, "node", "left_semi"), with_sets, "node long, shingles binary")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")

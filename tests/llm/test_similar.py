@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodestone.llm.similar import drop_similar
+from lodestone.llm.similar import drop_similar, fingerprint_pairs
 from lodestone.llm.simhash import fingerprint
 
 
@@ -47,6 +47,29 @@ def test_pipeline_drops_copies_of_similarity_that_fingerprints_miss(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, table, "").collect()) == kept_by_brute_force(rows)
 
 
+def test_fingerprints_give_candidates(spark):
+    """Their pairs join what all pairs of fingerprints within four bits join."""
+    rows = copies()
+    prints = [(i, fingerprint((t or "").encode(), 5)) for i, t in rows]
+
+    def groups(pairs):
+        parent = {i: i for i, _ in prints}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        return sorted(sorted(i for i in parent if find(i) == k) for k in parent if find(k) == k)
+
+    wanted = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= 4]
+    assert len(wanted) > 20
+    table = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in prints], "node long, fp long")
+    assert groups([tuple(r) for r in fingerprint_pairs(table).collect()]) == groups(wanted)
+
+
 @pytest.mark.parametrize("cell_texts", [1024, 3])
 def test_buckets_dealt_over_cells_give_the_same(spark, cell_texts):
     rows = copies()
