@@ -53,20 +53,23 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(encoder(path, BYTE_LEVEL).encode(batch.column(1).to_pylist(), end_id)):
-                for k, (at, size) in enumerate(cut(len(ids), capacity)):
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(ids[at : at + size]))
-                    rank.append(ranks[size])
-                    ranks[size] += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(rows), part), pa.int32()), pa.array(rank, pa.int64())],
-                [id_col, "piece", "start", "length", "ids_crc32", "part", "rank"],
-            )
+            for rows_at in range(0, batch.num_rows, 256):  # few texts and ids are held at once, not a whole batch
+                ids_col, texts = batch.slice(rows_at, 256).columns
+                rows, piece, start, length, crc, rank = [], [], [], [], [], []
+                for i, ids in enumerate(encoder(path, BYTE_LEVEL).encode(texts.to_pylist(), end_id)):
+                    for k, (at, size) in enumerate(cut(len(ids), capacity)):
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(size)
+                        crc.append(zlib.crc32(ids[at : at + size]))
+                        rank.append(ranks[size])
+                        ranks[size] += 1
+                yield pa.RecordBatch.from_arrays(
+                    [ids_col.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(rows), part), pa.int32()), pa.array(rank, pa.int64())],
+                    [id_col, "piece", "start", "length", "ids_crc32", "part", "rank"],
+                )
+        encoder(path, BYTE_LEVEL).rest()
 
     texts = docs.select(quoted(id_col), text_or_empty(quoted(text_col)).alias("t"))
     return texts.mapInArrow(tidy(run), f"{quoted(id_col)} {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")

@@ -1,11 +1,14 @@
 """Token ids of public tokenizers, with what the library gives for each chunk kept at hand.
 
 Both tokenizers split a text into pieces that never cross the chunks below, so
-the ids of a text are those of its chunks in order.  Each chunk not seen
-before goes through the tokenizers library; its ids are kept in a cache of two
-generations, so memory is bounded and frequent chunks stay.  A text that holds
-the string of an added token, such as <|endoftext|>, goes through the library
-whole, which gives the token's id for it (its own default).
+the ids of a text are those of its chunks in order.  Most texts are cut at
+their spaces, which a regular expression is too slow for: what is between two
+spaces is a run of whole chunks, and is looked up as one.  Runs and chunks not
+seen before go through the tokenizers library, many at a time; their ids are
+kept in a cache of two generations, so memory is bounded and frequent ones
+stay.  A text that holds the string of an added token, such as <|endoftext|>,
+goes through the library whole, which gives the token's id for it (its own
+default).
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import os
 import re
 from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -26,8 +30,10 @@ _PUNCTUATION = r"!-/:-@\[-`{-~"
 BYTE_LEVEL = rf" ?[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: BPE with word ends drops white space.
 WORD_LEVEL = rf"[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)|[^{_WS}]+"
-#: Chunks of one generation, and the length over which a chunk is not kept.
-GENERATION, LONG = 250_000, 48
+#: Runs and chunks of one generation, and the length over which one is not kept.
+GENERATION, LONG = 100_000, 48
+#: Characters of texts that are looked up at once, and words that the library is asked for at once.
+AT_ONCE, WORDS_AT_ONCE = 500_000, 1024
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -38,6 +44,35 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _byte_alphabet()
+#: The same for words that stand one a line: a space between them.
+_SPELT = _ALPHABET | {ord("\n"): " "}
+
+
+#: Begins keys that have no space before them.
+_BARE = "\x01"
+
+
+#: Latin-1 by kind: letters and digits, white space, full stops and commas, what split() or keys take otherwise, all else.
+_KINDS = bytes(
+    ord("a") if re.match(f"[{_LATIN}0-9]", c) else ord(" ") if re.match(f"[{_WS}]", c) else ord(".") if c in ".," else ord("?") if c in "\x01\x1c\x1d\x1e\x1f" else ord("!") for c in map(chr, range(256))
+)
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _simple(text: str) -> bool:
+    """Whether a text can be cut at its spaces, and before each full stop and comma: none stands beside other such signs or after white space, and no cut parts white space of one chunk."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return False
+    return not (b"?" in kinds or b".." in kinds or b"!." in kinds or b".!" in kinds or b" ." in kinds or b"   " in kinds or kinds.startswith(b".") or kinds.endswith(b"  "))
 
 
 def public_path(name: str) -> str:
@@ -47,46 +82,97 @@ def public_path(name: str) -> str:
 
 
 class ChunkEncoder:
+    """Keys of the cache are runs between spaces.  In byte-level BPE a key goes with a space before it, unless it begins with _BARE."""
+
     def __init__(self, path: str, chunks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I).search
-        self.model = self.tokenizer.model
         self.keeps_space = chunks == BYTE_LEVEL
         self.find = re.compile(chunks).findall
-        self.plain = re.compile(f" ?[{_LATIN}]+").fullmatch
-        self.beyond_latin = re.compile("[^\x00-\xff]").search
+        self.plain = re.compile(f"{_BARE}?[{_LATIN}]+" if self.keeps_space else f"[{_LATIN}]+").fullmatch
+        # words in the byte alphabet, separated by spaces: single pieces that the model takes as they are
+        model = self.tokenizer.model
+        model._resize_cache(0)  # words are asked for once
+        self.words = Tokenizer(model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = model.end_of_word_suffix or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, seen: set[str]) -> dict[str, bytes]:
-        """Make the young generation hold all of seen; returns the chunks too long to keep."""
-        missing = seen - self.young.keys()
+    def _runs(self, text: str) -> list[str]:
+        """Keys of a text, in order."""
+        if not _simple(text):
+            return self._chunks(text)
+        if self.keeps_space:
+            runs = (_BARE + text).replace(",", f" {_BARE},").replace(".", f" {_BARE}.").split(" ")
+            return runs[1:] if runs[0] == _BARE else runs
+        return text.replace(",", " , ").replace(".", " . ").split()
+
+    def _chunks(self, text: str) -> list[str]:
+        """Keys of a text, each a single chunk."""
+        found = self.find(text)
+        return [c[1:] if c[0] == " " and c[1:2] not in (" ", _BARE) else _BARE + c for c in found] if self.keeps_space else found
+
+    def _text(self, key: str) -> str:
+        if not self.keeps_space:
+            return key
+        return key[1:] if key[:1] == _BARE else " " + key
+
+    def _words(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters."""
+        given = "\n".join(map(self._text, keys)) if self.keeps_space else "\n".join(keys).lower()
+        spelt = given.encode().decode("latin-1").translate(_SPELT)
+        ids = np.array(self.words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.int64)
+        to = np.cumsum(self.length[ids])
+        ends = np.cumsum(list(map(len, spelt.split(" "))))
+        at = np.searchsorted(to, ends)
+        if not len(to) or to[-1] != ends[-1] or (to[at] != ends).any():  # a vocabulary without some letter
+            return self._others(keys)
+        data = ids.astype("<u4").tobytes()
+        cuts = [0, *((at + 1) * 4).tolist()]
+        return {k: data[a:b] for k, a, b in zip(keys, cuts, cuts[1:])}  # noqa: B905  one cut more than keys
+
+    def _others(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of any chunks."""
+        found = self.tokenizer.encode_batch_fast(list(map(self._text, keys)), add_special_tokens=False)
+        return {k: array("I", e.ids).tobytes() for k, e in zip(keys, found, strict=True)}
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of all these keys, which the young generation does not hold, but does afterwards if they are not too long."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
-            missing = seen
-        new = [c for c in missing if c not in self.old]
-        for c in missing:
-            if c in self.old:
-                self.young[c] = self.old[c]
-        once = {}
-        plain = self.plain
-        whole = []
-        tokenize = self.model.tokenize
-        for chunk in new:  # one space at most and Latin letters: a single piece, which the model takes in its byte alphabet
-            if plain(chunk):
-                piece = (chunk if self.keeps_space else chunk.lower()).encode().decode("latin-1").translate(_ALPHABET)
-                (self.young if len(chunk) <= LONG else once)[chunk] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-            else:
-                whole.append(chunk)
-        for at in range(0, len(whole), 4096):
-            part = whole[at : at + 4096]
-            for chunk, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.young if len(chunk) <= LONG else once)[chunk] = array("I", encoding.ids).tobytes()
-        return once
+        young, old, plain = self.young, self.old, self.plain
+        found = {k: old[k] for k in filter(old.__contains__, keys)}
+        new = [k for k in keys if k not in found] if found else list(keys)
+        words = set(filter(plain, new))
+        runs = [(k, self._chunks(self._text(k))) for k in new if k not in words]
+        chunks = {c for _, parts in runs for c in parts if c not in young and c not in words}
+        ids = {c: old[c] for c in filter(old.__contains__, chunks)}
+        asked = chunks.difference(ids)
+        others = [c for c in asked if not plain(c)]
+        words.update(asked.difference(others))
+        for asked, ask, most in ((list(words), self._words, WORDS_AT_ONCE), (others, self._others, 4096)):
+            for at in range(0, len(asked), most):
+                ids.update(ask(asked[at : at + most]))
+        for k, parts in runs:
+            found[k] = b"".join([ids[c] if c in ids else young[c] for c in parts])
+        found.update(ids)
+        young.update(found)
+        for k in [k for k in found if len(k) > LONG]:
+            del young[k]
+        return found
+
+    def rest(self) -> None:
+        """Keep the young generation only, between tasks: workers live on through stages that don't tokenize."""
+        self.old = {}
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -94,18 +180,26 @@ class ChunkEncoder:
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 2_000_000):
+            while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
                 size += len(texts[to])
                 to += 1
             part = texts[at:to]
             whole = {i: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4") for i, t in enumerate(part) if self.added(t)}
             if not self.keeps_space:  # ids don't depend on case; of Latin letters, lower case is the same everywhere
-                part = [t if self.beyond_latin(t) else t.lower() for t in part]
-            found = [self.find(t) for t in part]
-            once = self._learn(set().union(*found))
-            get = (self.young | once if once else self.young).__getitem__
-            for i, chunks in enumerate(found):
-                out.append(whole[i] if i in whole else np.frombuffer(b"".join(map(get, chunks)) + tail, "<u4"))
+                part = [t.lower() if _is_latin(t) else t for t in part]
+            runs = [[] if i in whole else self._runs(t) for i, t in enumerate(part)]
+            keys = list(chain.from_iterable(runs))
+            ids = list(map(self.young.get, keys))
+            missing = [i for i, v in enumerate(ids) if v is None]
+            if missing:
+                learnt = self._learn({keys[i] for i in missing})
+                for i in missing:
+                    ids[i] = learnt[keys[i]]
+            first = 0
+            for i, own in enumerate(runs):
+                last = first + len(own)
+                out.append(whole[i] if i in whole else np.frombuffer(b"".join(ids[first:last]) + tail, "<u4"))
+                first = last
             at = to
         return out
 

@@ -43,6 +43,28 @@ def test_a_full_cache_changes_nothing(monkeypatch):
         assert [x.tolist() for x in e.encode(texts, 2)] == [x.tolist() for x in whole("byte_bpe_50k.json", texts, 2)]
 
 
+def test_between_tasks_an_encoder_keeps_one_bounded_generation(monkeypatch):
+    from lodestone.llm import tokens
+
+    monkeypatch.setattr(tokens, "GENERATION", 300)
+    e = tokens.ChunkEncoder(public_path("byte_bpe_50k.json"), BYTE_LEVEL)
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for i in range(676)) for k in range(6)]
+    for text in texts:
+        assert e.encode([text], 2)[0].tolist() == whole("byte_bpe_50k.json", [text], 2)[0].tolist()
+    assert e.old
+    e.rest()
+    assert not e.old and len(e.young) <= 300 + 676
+    assert [x.tolist() for x in e.encode(texts, 2)] == [x.tolist() for x in whole("byte_bpe_50k.json", texts, 2)]
+
+
+@pytest.mark.parametrize("name", MODELS)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Né", "it's", ".", ",", ". ", ", ", " ", "  ", "\n", "\x01", "\x1c", "7", "!", "«", "中"]), max_size=14))
+def test_texts_cut_at_spaces_and_stops_give_the_library_ids(name, parts):
+    e, text = encoder(public_path(name), MODELS[name]), "".join(parts)
+    assert e.encode([text], 7)[0].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 7]
+
+
 def test_cut():
     assert cut(1024) == [(0, 1024)] and cut(5) == [(0, 5)] and cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
 
