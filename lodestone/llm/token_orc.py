@@ -55,7 +55,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 starts = before + ends - sizes
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(np.full(len(ids), shard), pa.int32()), pa.array(starts), pa.array(sizes), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
-        encoder(model, WORD_LEVEL).rest()
 
     texts = docs.select(F.col(quoted(id_col)).alias("i"), text_or_empty(quoted(text_col)).alias("t"))
     ranges = max(shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // RANGE_BYTES))

@@ -30,7 +30,7 @@ _PUNCTUATION = r"!-/:-@\[-`{-~"
 BYTE_LEVEL = rf" ?[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: BPE with word ends drops white space.
 WORD_LEVEL = rf"[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)|[^{_WS}]+"
-#: Runs and chunks of one generation, and the length over which one is not kept.
+#: Runs and chunks of one generation (three times as many in BPE with word ends, whose tasks hold little else), and the length over which one is not kept.
 GENERATION, LONG = 100_000, 48
 #: Characters of texts that are looked up at once, and words that the library is asked for at once.
 AT_ONCE, WORDS_AT_ONCE = 500_000, 1024
@@ -147,7 +147,7 @@ class ChunkEncoder:
 
     def _learn(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of all these keys, which the young generation does not hold, but does afterwards if they are not too long."""
-        if len(self.young) > GENERATION:
+        if len(self.young) > GENERATION * (1 if self.keeps_space else 3):
             self.old, self.young = self.young, {}
         young, old, plain = self.young, self.old, self.plain
         found = {k: old[k] for k in filter(old.__contains__, keys)}
