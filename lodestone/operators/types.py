@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,10 @@ _CLASSES = "class_name string, extends string, implements array<string>, file_pa
 _SIGNATURES = "class_name string, method_name string, params array<string>, return_type string, file_path string, line int, is_static boolean, is_abstract boolean"
 #: Targets that a call by name keeps.
 MOST_TARGETS = 5
+#: Rows that a scan of intervals takes at a time, at least.
+SCANNED = 100_000
+#: Stands for no class's number.
+NONE = np.iinfo(np.int64).max
 
 
 def _columns(schema: str) -> list[str]:
@@ -86,12 +93,13 @@ def subtypes(found: DataFrame) -> DataFrame:
 
 
 def labels(found: DataFrame) -> DataFrame:
-    """(class_name, pre, post, known): numbers of a walk through the class tree below Object, so that a class is C or below it exactly if its pre lies from pre to post of C.
+    """(class_name, pre, post, known, number): numbers of a walk through the class tree below Object, so that a class is C or below it exactly if its pre lies from pre to post of C.
 
     Numbers come from sums by doubling: the sizes of subtrees, then for each
     node those of the siblings before it, then these along the way up.  Classes
     that extend each other in a circle share one place.  known: whether the
-    class itself is there, and not only named as a parent.
+    class itself is there, and not only named as a parent.  number: grows with
+    the class's name.
     """
     up = cut(_parents(found).filter("child <> 'Object'"))
     named = found.select("class_name", F.lit(True).alias("known")).unionByName(up.select(F.col("parent").alias("class_name"), F.lit(False).alias("known"))).unionByName(_root(found, "class_name string, known boolean", ("Object", False)))
@@ -108,7 +116,9 @@ def labels(found: DataFrame) -> DataFrame:
     before = running(tree.join(size, "node"), ["up"], ["node"], {"with": ("sum", F.col("size"))}).select("node", (F.col("with") - F.col("size") + 1).alias("pre"))
     pre = jumps.summed(before.unionByName(_root(found, "node string, pre long", ("Object", 0))), {"pre": "sum"}, upward=True)
     numbers = pre.join(size, "node").select("node", "pre", (F.col("pre") + F.col("size") - 1).alias("post"))
-    return cut(at.join(numbers, "node").select("class_name", "pre", "post", "known"))
+    placed = at.join(numbers, "node").select("class_name", "pre", "post", "known")
+    ranges = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(placed.repartitionByRange(ranges, "class_name").sortWithinPartitions("class_name").withColumn("number", F.monotonically_increasing_id()))
 
 
 def _rooted(at: DataFrame, tree: DataFrame) -> DataFrame:
@@ -118,55 +128,136 @@ def _rooted(at: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def _root(like: DataFrame, schema: str, row: tuple) -> DataFrame:
-    return like.sparkSession.createDataFrame([row], schema)
+    names, kinds = zip(*[c.split(" ") for c in schema.split(", ")], strict=True)
+    return like.sparkSession.range(1).select(*[F.lit(v).cast(k).alias(c) for c, k, v in zip(names, kinds, row, strict=True)])
 
 
-def _open_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each question (kind 1) the sum and the least class of the intervals that hold it, of rows sorted by range, name and place.
+def _held(group: np.ndarray, at: np.ndarray, opens: np.ndarray, post: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sums, least numbers) of the intervals that hold each question, 0 where none does, and the rows of intervals that are open after the last row.
 
-    Intervals lie in one another or apart, so those that are open are a stack
-    whose top has the sums of all; it is as deep as declarations of one name
-    are nested.
+    Rows are sorted by group (from 0) and place; intervals of a group lie in one
+    another or apart.  What holds a place is then all that opened before it less
+    all that ended, and an interval lies in the last one before it that has one
+    less around it.
     """
-    stack: list[tuple] = []
-    group = None
+    high = max(int(at.max()), int(post.max())) + 1
+    place, o = group * high + at, np.flatnonzero(opens)
+    asks, k = np.flatnonzero(~opens), len(o)
+    ends = place[o] - at[o] + post[o]
+    by_end = np.argsort(ends, kind="stable")
+    gone, before = np.searchsorted(ends[by_end], place), np.cumsum(opens) - opens
+    around = before - gone
+    opened, ended = np.concatenate(([0], np.cumsum(n[o]))), np.concatenate(([0], np.cumsum(n[o][by_end])))
+    sums, least = opened[before[asks]] - ended[gone[asks]], np.zeros(len(asks), np.int64)
+    inside = around[asks] > 0
+    if inside.any():
+        depth = around[o]
+        order = np.argsort(depth, kind="stable")
+        keys = depth[order] * (k + 1) + order
+        holder = lambda depth, index: order[np.searchsorted(keys, (depth - 1) * (k + 1) + index) - 1]
+        up, value, nested = np.arange(k), number[o], np.flatnonzero(depth)
+        up[nested] = holder(depth[nested], nested)
+        while True:  # twice as far up each time
+            value, further = np.minimum(value, value[up]), up[up]
+            if (further == up).all():
+                break
+            up = further
+        least[inside] = value[holder(around[asks[inside]], before[asks[inside]])]
+    return sums, least, o[ends >= place[-1]]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(questions, sums, least numbers) of rows sorted by key and at, many rows at a time; at last the intervals that are open at the end.
+
+    Intervals that are open are carried from rows to rows; they are as many as
+    declarations of one name are nested.
+    """
+    held: list[pa.RecordBatch] = []
+    carried = None
+
+    def scan() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        nonlocal carried
+        rows = pa.concat_batches(held if carried is None else [carried, *held])
+        held.clear()
+        keys = rows.column(key)
+        group = np.zeros(len(keys), np.int64)
+        group[1:] = np.cumsum(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
+        at, kind, post, n, number = (rows.column(c).to_numpy() for c in ("at", "kind", "post", "n", "number"))
+        sums, least, open_ = _held(group, at, kind == 0, post, n, number)
+        carried = rows.take(pa.array(open_))
+        return rows.take(pa.array(np.flatnonzero(kind))), sums, least
+
     for batch in batches:
-        out = []
-        for range_, name, at, kind, post, n, least, type_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (range_, name) != group:
-                stack, group = [], (range_, name)
-            while stack and stack[-1][0] < at:
-                stack.pop()
-            if kind == 0:
-                _, total, first = stack[-1] if stack else (0, 0, least)
-                stack.append((post, total + n, min(first, least)))
-            elif stack:
-                out.append((type_, name, *stack[-1][1:]))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["type", "method_name", "n", "first_class"])
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= max(SCANNED, 2 * (carried.num_rows if carried else 0)):
+                yield scan()
+    if held:
+        yield scan()
+    if carried is not None:
+        yield carried, None, None
 
 
-def _covering(asked: DataFrame, declared: DataFrame, tree: DataFrame) -> DataFrame:
-    """(type, method_name, n, first_class) of methods in a class or above it.
+_SCAN = "range int, kind int, method_name string, at long, post long, n long, number long, type string"
+
+
+def _within_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a range of rows (_SCAN without range) knows for itself: kind 0 are intervals open at its end, 1 questions answered, 2 questions of its first name, that intervals from before may hold too, and 3 its first row."""
+    range_ = TaskContext.get().partitionId()
+    first = None
 
-    asked: (type, method_name); declared: (class_name, method_name, n).  Per
-    name, each declaring class is the interval from its pre to its post, and a
-    type asks at its pre which intervals hold it.  Both are sorted into ranges
-    that are scanned side by side; a range gets the intervals that are open
-    where it begins, which are those of one name that lie in one another.
+    def out(rows: pa.RecordBatch, kind: np.ndarray | int, n: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        own = {"range": np.full(rows.num_rows, range_, np.int32), "kind": np.broadcast_to(np.int32(kind), rows.num_rows), "n": n, "number": number}
+        return pa.RecordBatch.from_arrays([pa.array(own[c]) if c in own else rows.column(c) for c in _columns(_SCAN)], _columns(_SCAN))
+
+    def watched() -> Iterator[pa.RecordBatch]:
+        nonlocal first
+        for batch in batches:
+            if first is None and batch.num_rows:
+                first = batch.slice(0, 1)
+            yield batch
+
+    for rows, sums, least in _scanned(watched(), "method_name"):
+        if sums is None:
+            yield out(rows, 0, rows.column("n").to_numpy(), rows.column("number").to_numpy())
+            yield out(first, 3, first.column("n").to_numpy(), first.column("number").to_numpy())
+        elif rows.num_rows:
+            of_first = pc.equal(rows.column("method_name"), first.column("method_name")[0]).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(of_first | (sums > 0))
+            yield out(rows.take(pa.array(at)), np.where(of_first[at], 2, 1), sums[at], np.where(sums[at] > 0, least[at], NONE))
+
+
+def _over_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions (their sums and least numbers so far) with what the intervals from before their range add, where any interval holds them."""
+    for rows, sums, least in _scanned(batches, "range"):
+        if sums is not None and rows.num_rows:
+            n = sums + rows.column("n").to_numpy()
+            number = np.minimum(rows.column("number").to_numpy(), np.where(sums > 0, least, NONE))
+            at = pa.array(np.flatnonzero(n > 0))
+            yield pa.RecordBatch.from_arrays([rows.column("type").take(at), rows.column("method_name").take(at), pa.array(n).take(at), pa.array(number).take(at)], names=["type", "method_name", "n", "number"])
+
+
+def _covering(asked: DataFrame, declared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(type, method_name, n, number) of methods in a class or above it, number the least of their classes'.
+
+    asked: (type, method_name); declared: (method_name, pre, post, n, number).
+    Per name, each declaring class is the interval from its pre to its post, and
+    a type asks at its pre which intervals hold it.  Both are sorted once into
+    ranges that are scanned side by side.  A range's first name may have begun
+    in the ranges before: only its questions, few of all, go on to a second
+    scan, with the intervals that those ranges leave open.
     """
-    own = declared.join(tree, "class_name").groupBy("method_name", F.col("pre").alias("at"), "post").agg(F.sum("n").alias("n"), F.min("class_name").alias("least"))
+    own = declared.select("method_name", F.col("pre").alias("at"), F.lit(0).alias("kind"), "post", "n", "number", F.lit(None).cast("string").alias("type"))
     asks = asked.join(tree.filter("known").select(F.col("class_name").alias("type"), F.col("pre").alias("at")), "type")
-    long_, text = F.lit(None).cast("long"), F.lit(None).cast("string")
-    opened = own.select("method_name", "at", F.lit(0).alias("kind"), "post", "n", "least", text.alias("type"))
-    line = opened.unionByName(asks.select("method_name", "at", F.lit(1).alias("kind"), long_.alias("post"), long_.alias("n"), text.alias("least"), "type"))
+    none = F.lit(0).cast("long")
+    line = own.unionByName(asks.select("method_name", "at", F.lit(1).alias("kind"), none.alias("post"), none.alias("n"), none.alias("number"), "type"))
     ranges = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(line.repartitionByRange(ranges, "method_name", "at", "kind", "type").select(F.spark_partition_id().alias("range"), *line.columns))
-    begins = placed.groupBy("range").agg(F.min(F.struct("method_name", "at", "kind")).alias("b")).select("range", F.col("b.method_name").alias("method_name"), F.col("b.at").alias("begin"), F.col("b.kind").alias("with"))
-    earlier = (F.col("at") < F.col("begin")) | ((F.col("at") == F.col("begin")) & (F.col("with") == 1))
-    carried = placed.filter("kind = 0").drop("range").join(F.broadcast(begins), "method_name").filter(earlier & (F.col("post") >= F.col("begin")))  # a row a range
-    rows = placed.unionByName(carried.select(*placed.columns))
-    return rows.repartition(ranges, "range").sortWithinPartitions("range", "method_name", "at", "kind").mapInArrow(_open_intervals, "type string, method_name string, n long, first_class string")
+    scanned = cut(line.repartitionByRange(ranges, "method_name", "at", "kind", "type").sortWithinPartitions("method_name", "at", "kind").mapInArrow(_within_range, _SCAN))
+    begins = scanned.filter("kind = 3").select(F.col("range").alias("to"), "method_name", F.col("at").alias("begin"))  # a row a range
+    carried = scanned.filter("kind = 0").join(F.broadcast(begins), "method_name").filter("range < to AND post >= begin").withColumn("range", F.col("to"))
+    rows = scanned.filter("kind = 2").unionByName(carried.select(*scanned.columns))
+    later = rows.repartition(ranges, "range").sortWithinPartitions("range", "at", "kind").mapInArrow(_over_ranges, "type string, method_name string, n long, number long")
+    return later.unionByName(scanned.filter("kind = 1").select("type", "method_name", "n", "number"))
 
 
 def target_counts(calls: DataFrame, found: DataFrame, methods: DataFrame) -> DataFrame:
@@ -176,17 +267,25 @@ def target_counts(calls: DataFrame, found: DataFrame, methods: DataFrame) -> Dat
     no row per call and candidate, nor per type and superclass, is made.  A
     call's row has its type's sums; calls without a type have those of the name.
     """
-    found, declared = cut(found), cut(methods.select("method_name", "class_name", "file_path", "line").distinct().groupBy("class_name", "method_name").agg(F.count(F.lit(1)).alias("n")))
+    found = cut(found)
     asked = cut(calls.filter("receiver_type IS NOT NULL").select(F.col("receiver_type").alias("type"), "method_name").distinct())
     tree = labels(found)
-    above = _covering(asked, declared, tree)
     implementing = found.select(F.explode("implements").alias("type"), "class_name").distinct().join(asked.select("type").distinct(), "type", "left_semi")
     place = tree.filter("known").select(F.col("class_name").alias("type"), F.col("pre").alias("at"))
-    implementing = implementing.join(tree.select("class_name", "pre", "post"), "class_name", "left").join(place, "type", "left")
-    besides = implementing.filter("at IS NULL OR at < pre OR at > post").select("type", "class_name")  # those above are counted
-    below = besides.join(declared, "class_name").groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class"))
-    by_type = cut(above.unionByName(below).groupBy("type", "method_name").agg(F.sum("n").alias("n"), F.min("first_class").alias("first_class")))  # tables of their own, so that a hot pair's calls can be split
-    by_name = cut(declared.groupBy("method_name").agg(F.sum("n").alias("n"), F.min("class_name").alias("first_class")))
+    implementing = implementing.join(tree.select("class_name", "pre", "post"), "class_name").join(place, "type", "left")
+    besides = implementing.filter("at IS NULL OR at < pre OR at > post").groupBy("class_name").agg(F.collect_list("type").alias("besides"))  # those above are counted
+    # one shuffle for both: methods of one class and name are in one place, and a class's names in many
+    signatures = methods.select("class_name", "method_name", "file_path", "line").repartition("class_name", "method_name").distinct()
+    declared = signatures.groupBy("class_name", "method_name").agg(F.count(F.lit(1)).alias("n"))
+    declared = cut(declared.join(shuffled(tree.join(besides, "class_name", "left")), "class_name", "left").select("method_name", "n", "pre", "post", "number", "besides", F.when(F.col("pre").isNull(), F.col("class_name")).alias("unknown")))
+    first = [F.sum("n").alias("n"), F.min("number").alias("number")]
+    above = _covering(asked, declared.filter("pre IS NOT NULL").select("method_name", "pre", "post", "n", "number"), tree)
+    below = declared.select(F.explode("besides").alias("type"), "method_name", "n", "number").groupBy("type", "method_name").agg(*first)
+    name_of = tree.select("number", F.col("class_name").alias("first_class"))
+    by_type = cut(above.unionByName(below).groupBy("type", "method_name").agg(*first).join(name_of, "number").drop("number"))  # tables of their own, so that a hot pair's calls can be split
+    known = declared.filter("pre IS NOT NULL").groupBy("method_name").agg(*first).join(name_of, "number").drop("number")
+    unknown = declared.filter("pre IS NULL").groupBy("method_name").agg(F.sum("n").alias("n"), F.min("unknown").alias("first_class"))
+    by_name = cut(known.unionByName(unknown).groupBy("method_name").agg(F.sum("n").alias("n"), F.min("first_class").alias("first_class")))
     typed = calls.filter("receiver_type IS NOT NULL").select("call_id", "method_name", F.col("receiver_type").alias("type")).join(by_type, ["type", "method_name"])
     untyped = calls.filter("receiver_type IS NULL").select("call_id", "method_name").join(by_name, "method_name")
     return typed.select("call_id", "n", "first_class").unionByName(untyped.select("call_id", "n", "first_class"))
