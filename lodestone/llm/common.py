@@ -127,6 +127,14 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def keep_freed(most: int = 64 << 20) -> None:
+    """Let this process keep so much freed memory for the next arrays, until _give_back: taking pages from the system anew can cost more than the arithmetic on them."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: smaller arrays come from the heap
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+
+
 def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of a task's batches that gives its memory back when it ends."""
 

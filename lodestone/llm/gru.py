@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 Parameters = dict[str, np.ndarray]
+#: Parameters that are updated at a time.
+BLOCK = 16_384
 
 
 @dataclass(frozen=True)
@@ -54,126 +56,161 @@ def initial(shape: Shape, seed: int = 0) -> Parameters:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def _sigmoid_of_half(x: np.ndarray) -> None:
+    """The logistic function of 2x, in place."""
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
-def step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(next state, update gate, reset gate, candidate) of items x and states h."""
-    n = h.shape[1]
-    given = p["input"][x]
-    gates = _sigmoid(given[:, : 2 * n] + h @ p["gates"])
-    z, r = gates[:, :n], gates[:, n:]
-    c = np.tanh(given[:, 2 * n :] + (r * h) @ p["state"])
-    return h + z * (c - h), z, r, c
+def _given(p: Parameters, items: np.ndarray) -> np.ndarray:
+    """What items (..., width) give gates and candidate: (..., 3 hidden, width), the gates' part halved for _sigmoid_of_half."""
+    given = np.ascontiguousarray(np.swapaxes(p["input"][items], -1, -2))
+    given[..., : 2 * len(p["state"]), :] *= 0.5
+    return given
+
+
+def _narrow(x: np.ndarray, most: int) -> np.ndarray:
+    """Whole numbers below most, which sort in few passes where they fit into 16 bits."""
+    return x.astype(np.uint16) if most <= 1 << 16 else x
+
 
+def _steep(weights: np.ndarray, axis: int) -> bool:
+    """Whether an exponential over states (from -1 to 1, and a one for the bias) could grow too large."""
+    return float(np.abs(weights).sum(axis=axis).max()) > 60
 
-def _surprise(x: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
-    """The summed negative log softmax of each row at one place, and its gradient; x is overwritten."""
-    if x.max() > 60:
+
+def _surprise(x: np.ndarray, at: np.ndarray, steep: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """The summed negative log softmax of each row at one place, its gradient times each row's sum, and one by these sums; x is overwritten."""
+    if steep:
         x -= x.max(axis=1, keepdims=True)
     rows = np.arange(len(at))
     wanted = float(x[rows, at].sum(dtype=np.float64))
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x *= (1 / total)[:, None]
-    x[rows, at] -= 1
-    return float(np.log(total).sum(dtype=np.float64)) - wanted, x
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x[rows, at] -= total
+    return float(np.log(total).sum(dtype=np.float64)) - wanted, x, (1 / total)[:, None]
 
 
-def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_of(x: np.ndarray, at: np.ndarray, steep: bool) -> np.ndarray:
     """The log softmax of each row at one place; x is overwritten."""
-    top = float(x.max())
-    if top > 60:
+    if steep:
         x -= x.max(axis=1, keepdims=True)
     wanted = x[np.arange(len(at)), at]
     np.exp(x, out=x)
-    return wanted - np.log(x.sum(axis=1))
+    return wanted - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _by_class(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """An order by class, and for each class of several words (first row, end row, first word, end word)."""
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(_narrow(classes, len(shape.bounds)), kind="stable")
     edges = np.searchsorted(classes[order], np.arange(len(shape.bounds))).tolist()
     bounds = shape.bounds.tolist()
     parts = [(edges[k], edges[k + 1], bounds[k], bounds[k + 1]) for k in range(len(bounds) - 1)]
     return order, [x for x in parts if x[0] < x[1] and x[3] - x[2] > 1]
 
 
+def _with_biases(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Weights to classes (a last row the biases) and to words (a last column)."""
+    return np.concatenate((p["to_class"], p["class_bias"][None])), np.concatenate((p["to_word"], p["word_bias"][:, None]), axis=1)
+
+
 def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after each state."""
-    classes = shape.class_of[targets]
-    x = states @ p["to_class"]
-    x += p["class_bias"]
-    out = _log_of(x, classes)
-    order, parts = _by_class(shape, classes)
-    states, targets = states[order], targets[order]
-    inner = np.zeros(len(order), out.dtype)
+    to_class, to_word = _with_biases(p)
+    order, parts = _by_class(shape, shape.class_of[targets])
+    used = np.ones((len(order), shape.hidden + 1), states.dtype)  # the last column carries the biases
+    used[:, :-1], targets = states[order], targets[order]
+    inner = _log_of(used @ to_class, shape.class_of[targets], _steep(to_class, 0))
+    steep = _steep(to_word, 1)
     for i, j, a, b in parts:
-        x = states[i:j] @ p["to_word"][a:b].T
-        x += p["word_bias"][a:b]
-        inner[i:j] = _log_of(x, targets[i:j] - a)
-    out[order] += inner
+        inner[i:j] += _log_of(used[i:j] @ to_word[a:b].T, targets[i:j] - a, steep)
+    out = np.empty_like(inner)
+    out[order] = inner
     return out
 
 
 def loss_gradient(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, state: np.ndarray, active: np.ndarray) -> tuple[float, Parameters, np.ndarray]:
     """Summed loss of a window (steps by lanes), its gradient through the window, and the last state.
 
-    resets: where a document begins; active: where there is a target.
+    resets: where a document begins; active: where there is a target.  Within,
+    units come before lanes, so that a step's gates lie side by side.
     """
     (steps, width), n = inputs.shape, shape.hidden
     g = {"input": np.zeros_like(p["input"])}
-    before, z, r, c, states = (np.empty((steps, width, n), state.dtype) for _ in range(5))
-    given, on = p["input"][inputs], ~resets[:, :, None]
-    h = state
+    before, reset, c, states = (np.empty((steps, n, width), state.dtype) for _ in range(4))
+    gates = np.empty((steps, 2 * n, width), state.dtype)
+    given, on, new = _given(p, inputs), (~resets).astype(state.dtype), resets.any(axis=1).tolist()
+    half, to_state = p["gates"].T * p["gates"].dtype.type(0.5), np.ascontiguousarray(p["state"].T)
+    h = np.ascontiguousarray(state.T)
     for t in range(steps):
-        before[t] = h = h * on[t]
-        gates = _sigmoid(given[t, :, : 2 * n] + h @ p["gates"])
-        z[t], r[t] = gates[:, :n], gates[:, n:]
-        c[t] = np.tanh(given[t, :, 2 * n :] + (r[t] * h) @ p["state"])
-        states[t] = h = h + z[t] * (c[t] - h)
-    flat, where = states.reshape(-1, n), np.flatnonzero(active.ravel())
+        np.multiply(h, on[t], out=before[t])
+        h, a, candidate = before[t], gates[t], c[t]
+        np.matmul(half, h, out=a)
+        a += given[t, : 2 * n]
+        _sigmoid_of_half(a)
+        np.multiply(a[n:], h, out=reset[t])
+        np.matmul(to_state, reset[t], out=candidate)
+        candidate += given[t, 2 * n :]
+        np.tanh(candidate, out=candidate)
+        np.subtract(candidate, h, out=states[t])
+        states[t] *= a[:n]
+        states[t] += h
+        h = states[t]
+    where = np.flatnonzero(active.ravel())
     wanted = targets.ravel()[where]
     order, parts = _by_class(shape, shape.class_of[wanted])
     where, wanted = where[order], wanted[order]
-    used = np.ones((len(where), n + 1), flat.dtype)  # the last column carries the biases
-    used[:, :n] = flat[where]
-    weights = np.concatenate((p["to_class"], p["class_bias"][None]))
-    loss, d = _surprise(used @ weights, shape.class_of[wanted])
-    both = used.T @ d
+    used = np.ones((len(where), n + 1), state.dtype)  # the last column carries the biases
+    used[:, :n] = states.transpose(0, 2, 1).reshape(-1, n)[where]
+    to_class, to_word = _with_biases(p)
+    loss, d, scale = _surprise(used @ to_class, shape.class_of[wanted], _steep(to_class, 0))
+    both = (used * scale).T @ d
     g["to_class"], g["class_bias"] = both[:n], both[n]
-    d_used = d @ weights[:n].T
-    weights = np.concatenate((p["to_word"], p["word_bias"][:, None]), axis=1)
-    both = np.zeros_like(weights)
+    d_used = d @ to_class[:n].T
+    d_used *= scale
+    both, steep = np.zeros_like(to_word), _steep(to_word, 1)
     for i, j, a, b in parts:
-        part, own = used[i:j], weights[a:b]
-        inner, d = _surprise(part @ own.T, wanted[i:j] - a)
+        part, own = used[i:j], to_word[a:b]
+        inner, d, scale = _surprise(part @ own.T, wanted[i:j] - a, steep)
         loss += inner
-        both[a:b] = d.T @ part
-        d_used[i:j] += d @ own[:, :n]
+        both[a:b] = d.T @ (part * scale)
+        d_used[i:j] += (d @ own[:, :n]) * scale
     g["to_word"], g["word_bias"] = np.ascontiguousarray(both[:, :n]), both[:, n].copy()
-    d_states = np.zeros_like(flat)
+    d_states = np.zeros((steps * width, n), state.dtype)
     d_states[where] = d_used
-    d_states = d_states.reshape(steps, -1, n)
-    d_given = np.empty((steps, width, 3 * n), state.dtype)
-    d_h = np.zeros_like(state)
-    back = p["gates"].T.copy(), p["state"].T.copy()
+    d_states = np.ascontiguousarray(d_states.reshape(steps, width, n).transpose(0, 2, 1))
+    z, r = gates[:, :n], gates[:, n:]
+    keep = 1 - z
+    to_z, to_c, to_r = c - before, c * c, 1 - r
+    to_z *= z
+    to_z *= keep
+    np.subtract(1, to_c, out=to_c)
+    to_c *= z
+    to_r *= reset
+    d_given = np.empty((steps, 3 * n, width), state.dtype)
+    d_h = np.zeros((n, width), state.dtype)
     for t in range(steps - 1, -1, -1):
-        d_h = d_h + d_states[t]
-        d_c = d_h * z[t] * (1 - c[t] * c[t])
-        d_rh = d_c @ back[1]
-        d_given[t, :, :n] = d_h * (c[t] - before[t]) * z[t] * (1 - z[t])
-        d_given[t, :, n : 2 * n] = d_rh * before[t] * r[t] * (1 - r[t])
-        d_given[t, :, 2 * n :] = d_c
-        d_h = (d_h * (1 - z[t]) + d_rh * r[t] + d_given[t, :, : 2 * n] @ back[0]) * on[t]
-    d_given, before = d_given.reshape(-1, 3 * n), before.reshape(-1, n)
-    g["gates"] = before.T @ d_given[:, : 2 * n]
-    g["state"] = (r.reshape(-1, n) * before).T @ d_given[:, 2 * n :]
-    order = np.argsort(inputs.ravel(), kind="stable")
-    items, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["input"][items] = np.add.reduceat(d_given[order], first, axis=0)
-    return loss, g, states[-1]
+        d_h += d_states[t]
+        here = d_given[t]
+        np.multiply(d_h, to_c[t], out=here[2 * n :])
+        d_rh = p["state"] @ here[2 * n :]
+        np.multiply(d_h, to_z[t], out=here[:n])
+        np.multiply(d_rh, to_r[t], out=here[n : 2 * n])
+        d_h *= keep[t]
+        d_rh *= r[t]
+        d_h += d_rh
+        d_h += p["gates"] @ here[: 2 * n]
+        if new[t]:
+            d_h *= on[t]
+    d_given = d_given.transpose(0, 2, 1).reshape(-1, 3 * n)
+    g["gates"] = before.transpose(1, 0, 2).reshape(n, -1) @ d_given[:, : 2 * n]
+    g["state"] = reset.transpose(1, 0, 2).reshape(n, -1) @ d_given[:, 2 * n :]
+    order = np.argsort(_narrow(inputs.ravel(), len(shape.counts)), kind="stable")
+    sorted_ = inputs.ravel()[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    g["input"][sorted_[first]] = np.add.reduceat(d_given[order], first, axis=0)
+    return loss, g, np.ascontiguousarray(h.T)
 
 
 def lanes_of(documents: list[np.ndarray], most: int) -> list[list[int]]:
@@ -217,22 +254,33 @@ def score(p: Parameters, shape: Shape, documents: list[np.ndarray], start: int,
     out = np.zeros(len(documents))
     if not documents:
         return out
-    u = Unrolled(documents, start, lanes)
-    h = np.zeros((int(u.width[0]), shape.hidden), np.float32)
+    u, n = Unrolled(documents, start, lanes), shape.hidden
+    half, to_state = p["gates"].T * p["gates"].dtype.type(0.5), np.ascontiguousarray(p["state"].T)
+    h = np.zeros((n, int(u.width[0])), np.float32)
     first = u.first.tolist()
-    states, begun = [], 0
-    for t in range(u.steps):
-        a, b = first[t], first[t + 1]
-        h = h[: b - a]
-        resets = u.resets[a:b]
-        if resets.any():
-            h = h * ~resets[:, None]
-        h = step(p, u.inputs[a:b], h)[0]
-        states.append(h)
-        if b - begun >= lanes * window or t + 1 == u.steps:
-            logp = log_probability(p, shape, np.concatenate(states), u.targets[begun:b])
-            out += np.bincount(u.owner[begun:b], weights=logp, minlength=len(out))
-            states, begun = [], b
+    new = set(np.searchsorted(u.first, np.flatnonzero(u.resets), side="right").tolist())  # steps in which a document begins, from 1
+    begun = t = 0
+    while t < u.steps:
+        end = min(u.steps, max(t + 1, int(np.searchsorted(u.first, begun + lanes * window))))
+        states, given = np.empty((n, first[end] - begun), np.float32), _given(p, u.inputs[begun : first[end]])
+        for k in range(t, end):
+            a, b = first[k] - begun, first[k + 1] - begun
+            h = h[:, : b - a]
+            if k + 1 in new:
+                h = h * ~u.resets[begun + a : begun + b]
+            gates = half @ h
+            gates += given[: 2 * n, a:b]
+            _sigmoid_of_half(gates)
+            candidate = to_state @ (gates[n:] * h)
+            candidate += given[2 * n :, a:b]
+            np.tanh(candidate, out=candidate)
+            candidate -= h
+            candidate *= gates[:n]
+            candidate += h
+            states[:, a:b] = h = candidate
+        logp = log_probability(p, shape, states.T, u.targets[begun : first[end]])
+        out += np.bincount(u.owner[begun : first[end]], weights=logp, minlength=len(out))
+        begun, t = first[end], end
     return out
 
 
@@ -327,21 +375,23 @@ class Trainer:
         self.steps += 1
         a, b = 0.9, 0.99
         scale = self.rate * np.sqrt(1 - b**self.steps) / (1 - a**self.steps)
-        for k, v in self.p.items():
-            d, m, s = g[k], self.m[k], self.v[k]
-            d *= np.float32(1 / count)
-            np.clip(d, -1, 1, out=d)
-            m *= np.float32(a)
-            m += np.float32(1 - a) * d
-            s *= np.float32(b)
-            d *= d
-            d *= np.float32(1 - b)
-            s += d
-            np.sqrt(s, out=d)
-            d += np.float32(1e-6)
-            np.divide(m, d, out=d)
-            d *= np.float32(scale)
-            v -= d
+        for k in self.p:
+            whole = [x.reshape(-1) for x in (self.p[k], g[k], self.m[k], self.v[k])]
+            for at in range(0, len(whole[0]), BLOCK):  # a block's values stay in the cache
+                v, d, m, s = (x[at : at + BLOCK] for x in whole)
+                d *= np.float32(1 / count)
+                np.clip(d, -1, 1, out=d)
+                m *= np.float32(a)
+                m += np.float32(1 - a) * d
+                s *= np.float32(b)
+                d *= d
+                d *= np.float32(1 - b)
+                s += d
+                np.sqrt(s, out=d)
+                d += np.float32(1e-6)
+                np.divide(m, d, out=d)
+                d *= np.float32(scale)
+                v -= d
 
 
 def packed(p: Parameters) -> bytes:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import discard, quoted, remainder, small_batches, text_or_empty, texts_of, tidy, written
+from .common import discard, keep_freed, quoted, remainder, small_batches, text_or_empty, texts_of, tidy, written
 
 VOCABULARY = 4094
 KNOWN_WORDS = 262_144
@@ -126,6 +126,7 @@ def _train(texts: DataFrame, items: dict[bytes, int], shape: gru.Shape, end: int
     size = sum(v.size for v in parameters.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         items, shape, parameters = given.value
         trainer = gru.Trainer(parameters, shape, end)
         held: list[np.ndarray] = []
@@ -227,6 +228,7 @@ def lm_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of several batches go through the network side by side, as a long one's last steps are alone in its batch."""
+        keep_freed()
         joined, _, _, shape, parameters = given.value
         known = {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
         held, sequences = [], []

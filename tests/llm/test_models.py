@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestone.llm import gru, license_scan, winnow
 from lodestone.llm.license_scan import license_statements
@@ -237,3 +238,28 @@ def test_statistics_of_brute_force():
     assert abs(values[6] - math.log((len(lines) - len(set(lines)) + 0.5) / (len(lines) + 2))) < 1e-12
     assert abs(values[8] - math.log((sum(a == b for a, b in zip(words, words[1:])) + 0.5) / (n + 20))) < 1e-12
     assert abs(values[10] - sum(map(len, words)) / n) < 1e-12
+
+
+@pytest.mark.parametrize("steep", [0.3, 40.0])
+def test_scores_equal_a_plain_recurrence(steep):
+    """Whatever the weights: document by document, token by token, with the softmax written out."""
+    rng = np.random.default_rng(7)
+    shape = gru.Shape.of(np.arange(40, 0, -1).astype(float), 5, 6, alone=3)
+    p = {k: rng.normal(0, steep if k.startswith("to_") else 0.3, v.shape).astype(np.float32) for k, v in gru.initial(shape).items()}
+    documents = [rng.integers(0, 40, n).astype(np.int32) for n in (1, 9, 30, 4, 17)]
+    got = gru.score(p, shape, documents, 2, lanes=2, window=3)
+    q, wanted = {k: v.astype(float) for k, v in p.items()}, []
+    for ids in documents:
+        h, last, total = np.zeros(6), 2, 0.0
+        for x in ids:
+            given = q["input"][last]
+            gates = 1 / (1 + np.exp(-(given[:12] + h @ q["gates"])))
+            c = np.tanh(given[12:] + (gates[6:] * h) @ q["state"])
+            h = h + gates[:6] * (c - h)
+            k = shape.class_of[x]
+            a, b = shape.bounds[k], shape.bounds[k + 1]
+            for scores, at in ((h @ q["to_class"] + q["class_bias"], k), (q["to_word"][a:b] @ h + q["word_bias"][a:b], x - a)):
+                total += scores[at] - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+            last = x
+        wanted.append(total)
+    np.testing.assert_allclose(got, wanted, rtol=2e-4)
