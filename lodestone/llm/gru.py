@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 Parameters = dict[str, np.ndarray]
 #: Parameters that are updated at a time.
-BLOCK = 16_384
+BLOCK = 32_768
 
 
 @dataclass(frozen=True)
@@ -56,18 +57,30 @@ def initial(shape: Shape, seed: int = 0) -> Parameters:
     }
 
 
-def _sigmoid_of_half(x: np.ndarray) -> None:
-    """The logistic function of 2x, in place."""
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+def _scaled(p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, and weights to gates and candidate by unit, of sign and size as _logistic wants them."""
+    n, by = len(p["state"]), p["state"].dtype.type
+    inputs = p["input"] * np.repeat([by(-1), by(-2)], [2 * n, n])
+    return inputs, p["gates"].T * by(-1), np.ascontiguousarray(p["state"].T) * by(-2)
 
 
-def _given(p: Parameters, items: np.ndarray) -> np.ndarray:
-    """What items (..., width) give gates and candidate: (..., 3 hidden, width), the gates' part halved for _sigmoid_of_half."""
-    given = np.ascontiguousarray(np.swapaxes(p["input"][items], -1, -2))
-    given[..., : 2 * len(p["state"]), :] *= 0.5
-    return given
+def _logistic(x: np.ndarray) -> None:
+    """The logistic function of -x, in place; an exponential costs half a hyperbolic tangent."""
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _tangent(x: np.ndarray) -> None:
+    """The hyperbolic tangent of -x / 2, in place."""
+    _logistic(x)
+    x *= 2
+    x -= 1
+
+
+def _given(inputs: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """What items (..., width) give gates and candidate: (..., 3 hidden, width)."""
+    return np.ascontiguousarray(np.swapaxes(inputs[items], -1, -2))
 
 
 def _narrow(x: np.ndarray, most: int) -> np.ndarray:
@@ -75,61 +88,118 @@ def _narrow(x: np.ndarray, most: int) -> np.ndarray:
     return x.astype(np.uint16) if most <= 1 << 16 else x
 
 
-def _steep(weights: np.ndarray, axis: int) -> bool:
+def _steep(weights: np.ndarray) -> bool:
     """Whether an exponential over states (from -1 to 1, and a one for the bias) could grow too large."""
-    return float(np.abs(weights).sum(axis=axis).max()) > 60
+    return float((np.abs(weights) @ np.ones(weights.shape[1], weights.dtype)).max()) > 60
 
 
-def _surprise(x: np.ndarray, at: np.ndarray, steep: bool) -> tuple[float, np.ndarray, np.ndarray]:
-    """The summed negative log softmax of each row at one place, its gradient times each row's sum, and one by these sums; x is overwritten."""
-    if steep:
-        x -= x.max(axis=1, keepdims=True)
-    rows = np.arange(len(at))
-    wanted = float(x[rows, at].sum(dtype=np.float64))
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    x[rows, at] -= total
-    return float(np.log(total).sum(dtype=np.float64)) - wanted, x, (1 / total)[:, None]
-
-
-def _log_of(x: np.ndarray, at: np.ndarray, steep: bool) -> np.ndarray:
-    """The log softmax of each row at one place; x is overwritten."""
-    if steep:
-        x -= x.max(axis=1, keepdims=True)
-    wanted = x[np.arange(len(at)), at]
-    np.exp(x, out=x)
-    return wanted - np.log(x @ np.ones(x.shape[1], x.dtype))
+@dataclass(frozen=True)
+class Softmaxes:
+    """Softmaxes of many rows over parts of the weights' rows, whose values lie one after another in one array, so that most steps take all at once."""
 
+    weights: np.ndarray
+    parts: list[tuple[int, int, int, int, int]]  # first row, end row, first and end row of the weights, first place of the values
+    place: np.ndarray  # of each row's target among the values; the last place is for rows that no part holds
+    values: np.ndarray
+    total: np.ndarray
 
-def _by_class(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """An order by class, and for each class of several words (first row, end row, first word, end word)."""
+    @staticmethod
+    def of(used: np.ndarray, weights: np.ndarray, parts: list[tuple[int, int, int, int, int]], place: np.ndarray, steep: bool) -> tuple[Softmaxes, np.ndarray]:
+        """Exponentials and their sums, and the log softmax of each row at its target."""
+        i, j, a, b, at = parts[-1] if parts else (0, 0, 0, 0, 0)
+        values, total = np.empty(at + (j - i) * (b - a) + 1, used.dtype), np.ones(len(used), used.dtype)
+        values[-1] = 0
+        s = Softmaxes(weights, parts, place, values, total)
+        for x, (i, j, a, b, _) in zip(s.tables(), parts, strict=True):
+            np.matmul(used[i:j], weights[a:b].T, out=x)
+            if steep:
+                x -= x.max(axis=1, keepdims=True)
+        wanted = values[place]
+        np.exp(values, out=values)
+        ones = np.ones(max((b - a for _, _, a, b, _ in parts), default=0), used.dtype)
+        for x, (i, j, a, b, _) in zip(s.tables(), parts, strict=True):
+            np.matmul(x, ones[: b - a], out=total[i:j])
+        return s, wanted - np.log(total)
+
+    def tables(self) -> Iterator[np.ndarray]:
+        for i, j, a, b, at in self.parts:
+            yield self.values[at : at + (j - i) * (b - a)].reshape(j - i, b - a)
+
+    def gradient(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the summed negative log softmax, by the weights and by used less its last column, the biases' ones; to be asked for once."""
+        self.values[self.place] -= self.total
+        scale = (1 / self.total)[:, None]
+        scaled, n = used * scale, used.shape[1] - 1
+        by_weights, by_used = np.zeros_like(self.weights), np.zeros((len(used), n), used.dtype)
+        for x, (i, j, a, b, _) in zip(self.tables(), self.parts, strict=True):
+            np.matmul(x.T, scaled[i:j], out=by_weights[a:b])
+            np.matmul(x, self.weights[a:b, :n], out=by_used[i:j])
+        by_used *= scale
+        return by_weights, by_used
+
+
+def _by_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int, int]], np.ndarray]:
+    """An order by class, the classes in it, and the parts and places of the softmaxes within classes of several words."""
+    classes = shape.class_of[targets]
     order = np.argsort(_narrow(classes, len(shape.bounds)), kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(len(shape.bounds))).tolist()
-    bounds = shape.bounds.tolist()
-    parts = [(edges[k], edges[k + 1], bounds[k], bounds[k + 1]) for k in range(len(bounds) - 1)]
-    return order, [x for x in parts if x[0] < x[1] and x[3] - x[2] > 1]
-
-
-def _with_biases(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
-    """Weights to classes (a last row the biases) and to words (a last column)."""
-    return np.concatenate((p["to_class"], p["class_bias"][None])), np.concatenate((p["to_word"], p["word_bias"][:, None]), axis=1)
+    classes = classes[order]
+    edges = np.searchsorted(classes, np.arange(len(shape.bounds)))
+    sizes = np.diff(shape.bounds)
+    cells = np.where(sizes > 1, np.diff(edges) * sizes, 0)
+    starts = np.cumsum(cells) - cells
+    place = (starts - shape.bounds[:-1] - edges[:-1] * sizes)[classes] + np.arange(len(order)) * sizes[classes] + targets[order]
+    place[sizes[classes] == 1] = cells.sum()
+    parts = zip(edges[:-1].tolist(), edges[1:].tolist(), shape.bounds[:-1].tolist(), shape.bounds[1:].tolist(), starts.tolist(), strict=True)
+    return order, classes, [x for x in parts if x[0] < x[1] and x[3] - x[2] > 1], place
+
+
+def _with_biases(p: Parameters) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
+    """Weights to classes and to words, a row each and the biases as a last column, and whether they are steep."""
+    both = np.concatenate((p["to_class"].T, p["class_bias"][:, None]), axis=1), np.concatenate((p["to_word"], p["word_bias"][:, None]), axis=1)
+    return tuple((w, _steep(w)) for w in both)
+
+
+def _predicted(shape: Shape, weights: tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]], states: np.ndarray, targets: np.ndarray, where: np.ndarray | None = None):
+    """An order of targets, their states (all, or those at where) in it, and softmaxes over classes and within them, with their logs at the targets."""
+    (to_class, steep_class), (to_word, steep_word) = weights
+    order, classes, parts, place = _by_class(shape, targets)
+    used = np.ones((len(order), shape.hidden + 1), states.dtype)  # the last column carries the biases
+    used[:, :-1] = states[order if where is None else where[order]]
+    outer = Softmaxes.of(used, to_class, [(0, len(order), 0, len(to_class), 0)], np.arange(len(order)) * len(to_class) + classes, steep_class)
+    return order, used, outer, Softmaxes.of(used, to_word, parts, place, steep_word)
 
 
-def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray, weights: tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]] | None = None) -> np.ndarray:
     """Natural log probability of each target after each state."""
-    to_class, to_word = _with_biases(p)
-    order, parts = _by_class(shape, shape.class_of[targets])
-    used = np.ones((len(order), shape.hidden + 1), states.dtype)  # the last column carries the biases
-    used[:, :-1], targets = states[order], targets[order]
-    inner = _log_of(used @ to_class, shape.class_of[targets], _steep(to_class, 0))
-    steep = _steep(to_word, 1)
-    for i, j, a, b in parts:
-        inner[i:j] += _log_of(used[i:j] @ to_word[a:b].T, targets[i:j] - a, steep)
+    order, _, (_, outer), (_, inner) = _predicted(shape, weights or _with_biases(p), states, targets)
     out = np.empty_like(inner)
-    out[order] = inner
+    out[order] = outer + inner
     return out
 
 
+#: Rows of one item over which they are added up by themselves.
+OFTEN = 6
+
+
+def _summed(rows: np.ndarray, items: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each item that occurs, and the sum of its rows: of items that occur seldom their first rows, their second rows and so on at once."""
+    order = np.argsort(_narrow(items, most), kind="stable")
+    items, rows = items[order], rows[order]
+    first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+    counts = np.diff(first, append=len(items))
+    falling = np.argsort(-counts, kind="stable")
+    first, counts = first[falling], counts[falling]
+    out, ones = rows[first], np.ones(counts[0], rows.dtype)
+    more = np.searchsorted(-counts, -np.arange(OFTEN + 1)).tolist()  # items of more than so many rows
+    often = more[OFTEN]
+    for k, (at, n) in enumerate(zip(first[:often].tolist(), counts[:often].tolist(), strict=True)):
+        np.matmul(ones[:n], rows[at : at + n], out=out[k])
+    for k in range(1, OFTEN):
+        out[often : more[k]] += rows[first[often : more[k]] + k]
+    return items[first], out
+
+
+@np.errstate(over="ignore")  # of _logistic: one by infinity is zero
 def loss_gradient(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, state: np.ndarray, active: np.ndarray) -> tuple[float, Parameters, np.ndarray]:
     """Summed loss of a window (steps by lanes), its gradient through the window, and the last state.
 
@@ -140,43 +210,32 @@ def loss_gradient(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.n
     g = {"input": np.zeros_like(p["input"])}
     before, reset, c, states = (np.empty((steps, n, width), state.dtype) for _ in range(4))
     gates = np.empty((steps, 2 * n, width), state.dtype)
-    given, on, new = _given(p, inputs), (~resets).astype(state.dtype), resets.any(axis=1).tolist()
-    half, to_state = p["gates"].T * p["gates"].dtype.type(0.5), np.ascontiguousarray(p["state"].T)
+    table, to_gates, to_state = _scaled(p)
+    given, on, new = _given(table, inputs), (~resets).astype(state.dtype), resets.any(axis=1).tolist()
     h = np.ascontiguousarray(state.T)
     for t in range(steps):
         np.multiply(h, on[t], out=before[t])
         h, a, candidate = before[t], gates[t], c[t]
-        np.matmul(half, h, out=a)
+        np.matmul(to_gates, h, out=a)
         a += given[t, : 2 * n]
-        _sigmoid_of_half(a)
+        _logistic(a)
         np.multiply(a[n:], h, out=reset[t])
         np.matmul(to_state, reset[t], out=candidate)
         candidate += given[t, 2 * n :]
-        np.tanh(candidate, out=candidate)
+        _tangent(candidate)
         np.subtract(candidate, h, out=states[t])
         states[t] *= a[:n]
         states[t] += h
         h = states[t]
     where = np.flatnonzero(active.ravel())
-    wanted = targets.ravel()[where]
-    order, parts = _by_class(shape, shape.class_of[wanted])
-    where, wanted = where[order], wanted[order]
-    used = np.ones((len(where), n + 1), state.dtype)  # the last column carries the biases
-    used[:, :n] = states.transpose(0, 2, 1).reshape(-1, n)[where]
-    to_class, to_word = _with_biases(p)
-    loss, d, scale = _surprise(used @ to_class, shape.class_of[wanted], _steep(to_class, 0))
-    both = (used * scale).T @ d
-    g["to_class"], g["class_bias"] = both[:n], both[n]
-    d_used = d @ to_class[:n].T
-    d_used *= scale
-    both, steep = np.zeros_like(to_word), _steep(to_word, 1)
-    for i, j, a, b in parts:
-        part, own = used[i:j], to_word[a:b]
-        inner, d, scale = _surprise(part @ own.T, wanted[i:j] - a, steep)
-        loss += inner
-        both[a:b] = d.T @ (part * scale)
-        d_used[i:j] += (d @ own[:, :n]) * scale
+    order, used, (outer, log_outer), (inner, log_inner) = _predicted(shape, _with_biases(p), states.transpose(0, 2, 1).reshape(-1, n), targets.ravel()[where], where)
+    loss = -float((log_outer + log_inner).sum(dtype=np.float64))
+    both, d_used = outer.gradient(used)
+    g["to_class"], g["class_bias"] = np.ascontiguousarray(both[:, :n].T), both[:, n].copy()
+    both, d_inner = inner.gradient(used)
     g["to_word"], g["word_bias"] = np.ascontiguousarray(both[:, :n]), both[:, n].copy()
+    d_used += d_inner
+    where = where[order]
     d_states = np.zeros((steps * width, n), state.dtype)
     d_states[where] = d_used
     d_states = np.ascontiguousarray(d_states.reshape(steps, width, n).transpose(0, 2, 1))
@@ -203,13 +262,10 @@ def loss_gradient(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.n
         d_h += p["gates"] @ here[: 2 * n]
         if new[t]:
             d_h *= on[t]
-    d_given = d_given.transpose(0, 2, 1).reshape(-1, 3 * n)
-    g["gates"] = before.transpose(1, 0, 2).reshape(n, -1) @ d_given[:, : 2 * n]
-    g["state"] = reset.transpose(1, 0, 2).reshape(n, -1) @ d_given[:, 2 * n :]
-    order = np.argsort(_narrow(inputs.ravel(), len(shape.counts)), kind="stable")
-    sorted_ = inputs.ravel()[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    g["input"][sorted_[first]] = np.add.reduceat(d_given[order], first, axis=0)
+    g["gates"] = np.matmul(before, d_given[:, : 2 * n].transpose(0, 2, 1)).sum(axis=0)
+    g["state"] = np.matmul(reset, d_given[:, 2 * n :].transpose(0, 2, 1)).sum(axis=0)
+    found, sums = _summed(d_given.transpose(0, 2, 1).reshape(-1, 3 * n), inputs.ravel(), len(shape.counts))
+    g["input"][found] = sums
     return loss, g, np.ascontiguousarray(h.T)
 
 
@@ -249,36 +305,37 @@ class Unrolled:
                 at += n
 
 
+@np.errstate(over="ignore")  # of _logistic: one by infinity is zero
 def score(p: Parameters, shape: Shape, documents: list[np.ndarray], start: int, lanes: int = 512, window: int = 16) -> np.ndarray:
     """Natural log probability of each document (item numbers, end included), its state carried through all of it."""
     out = np.zeros(len(documents))
     if not documents:
         return out
     u, n = Unrolled(documents, start, lanes), shape.hidden
-    half, to_state = p["gates"].T * p["gates"].dtype.type(0.5), np.ascontiguousarray(p["state"].T)
+    table, to_gates, to_state = _scaled(p)
     h = np.zeros((n, int(u.width[0])), np.float32)
     first = u.first.tolist()
     new = set(np.searchsorted(u.first, np.flatnonzero(u.resets), side="right").tolist())  # steps in which a document begins, from 1
-    begun = t = 0
+    begun, t, weights = 0, 0, _with_biases(p)
     while t < u.steps:
         end = min(u.steps, max(t + 1, int(np.searchsorted(u.first, begun + lanes * window))))
-        states, given = np.empty((n, first[end] - begun), np.float32), _given(p, u.inputs[begun : first[end]])
+        states, given = np.empty((n, first[end] - begun), np.float32), _given(table, u.inputs[begun : first[end]])
         for k in range(t, end):
             a, b = first[k] - begun, first[k + 1] - begun
             h = h[:, : b - a]
             if k + 1 in new:
                 h = h * ~u.resets[begun + a : begun + b]
-            gates = half @ h
+            gates = to_gates @ h
             gates += given[: 2 * n, a:b]
-            _sigmoid_of_half(gates)
+            _logistic(gates)
             candidate = to_state @ (gates[n:] * h)
             candidate += given[2 * n :, a:b]
-            np.tanh(candidate, out=candidate)
+            _tangent(candidate)
             candidate -= h
             candidate *= gates[:n]
             candidate += h
             states[:, a:b] = h = candidate
-        logp = log_probability(p, shape, states.T, u.targets[begun : first[end]])
+        logp = log_probability(p, shape, states.T, u.targets[begun : first[end]], weights)
         out += np.bincount(u.owner[begun : first[end]], weights=logp, minlength=len(out))
         begun, t = first[end], end
     return out
@@ -374,7 +431,8 @@ class Trainer:
     def _update(self, count: int, g: Parameters) -> None:
         self.steps += 1
         a, b = 0.9, 0.99
-        scale = self.rate * np.sqrt(1 - b**self.steps) / (1 - a**self.steps)
+        # the running means are kept as sums, which are 1 / (1 - a) and 1 / (1 - b) times as much
+        scale = self.rate * np.sqrt(1 - b**self.steps) / (1 - a**self.steps) * (1 - a) / np.sqrt(1 - b)
         for k in self.p:
             whole = [x.reshape(-1) for x in (self.p[k], g[k], self.m[k], self.v[k])]
             for at in range(0, len(whole[0]), BLOCK):  # a block's values stay in the cache
@@ -382,13 +440,12 @@ class Trainer:
                 d *= np.float32(1 / count)
                 np.clip(d, -1, 1, out=d)
                 m *= np.float32(a)
-                m += np.float32(1 - a) * d
+                m += d
                 s *= np.float32(b)
                 d *= d
-                d *= np.float32(1 - b)
                 s += d
                 np.sqrt(s, out=d)
-                d += np.float32(1e-6)
+                d += np.float32(1e-6 / np.sqrt(1 - b))
                 np.divide(m, d, out=d)
                 d *= np.float32(scale)
                 v -= d

@@ -28,15 +28,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import discard, keep_freed, quoted, remainder, small_batches, text_or_empty, texts_of, tidy, written
+from .common import discard, keep_freed, quoted, remainder, small_batches, text_or_empty, tidy, written
 
 VOCABULARY = 4094
 KNOWN_WORDS = 262_144
@@ -45,35 +45,54 @@ CLASSES = 48
 ROUNDS = 2
 #: Documents are dealt into so many parts, of which each round trains on one: every word once.
 PARTS = 2
-#: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 300_000
+#: Words that a counting task holds before it counts them and passes the counts on.
+HELD_WORDS = 3_000_000
 #: Parameter sets that one task, or at last the driver, adds up.
 AT_ONCE = 16
 #: Tokens that go through the network side by side in one task.
 SIDE_BY_SIDE = 3_000_000
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of UTF-8 text, A-Z lower-cased: bytes split at ASCII white space only."""
-    return text.lower().split()
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all, A-Z lower-cased: bytes split at ASCII white space only."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    parts = pc.ascii_split_whitespace(bare)
+    lengths, words = parts.value_lengths().to_numpy(), parts.flatten().cast(pa.binary())
+    empty = pc.binary_length(bare).to_numpy() == 0  # one empty word each
+    if empty.any():
+        lengths, words = np.where(empty, 0, lengths), words.filter(pc.greater(pc.binary_length(words), 0))
+    return lengths.astype(np.int64), words
+
+
+def places_in(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Where words stand among the listed ones; their number for one that does not."""
+    return pc.index_in(words, value_set=listed).fill_null(len(listed)).to_numpy()
+
+
+def sequences_of(lengths: np.ndarray, items: np.ndarray, end: int) -> list[np.ndarray]:
+    """The items of each text and the end."""
+    ends = np.cumsum(lengths + 1)
+    out, inside = np.full(len(items) + len(lengths), end, np.int32), np.ones(len(items) + len(lengths), bool)
+    inside[ends - 1] = False
+    out[inside] = items
+    return np.split(out, ends[:-1])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the column t, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+            found = pa.chunked_array(held, pa.binary()).value_counts()
             held.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "c"])
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                held.update(words_of(text))
-                if len(held) > HELD_WORDS:
-                    yield out()
+            held.append(words_in(batch.column(0))[1])
+            if sum(map(len, held)) > HELD_WORDS:
+                yield out()
         yield out()
 
     return written(texts.mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
@@ -128,6 +147,7 @@ def _train(texts: DataFrame, items: dict[bytes, int], shape: gru.Shape, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
         items, shape, parameters = given.value
+        listed, numbers = pa.array(list(items), pa.binary()), np.array([*items.values(), rare], np.int32)
         trainer = gru.Trainer(parameters, shape, end)
         held: list[np.ndarray] = []
 
@@ -140,12 +160,10 @@ def _train(texts: DataFrame, items: dict[bytes, int], shape: gru.Shape, end: int
 
         size = 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                words = words_of(text)
-                ids = np.full(len(words) + 1, end, np.int32)
-                ids[:-1] = np.fromiter(map(items.get, words, repeat(rare)), np.int32, len(words))
-                held.append(ids)
-                size += len(ids)
+            lengths, words = words_in(batch.column(0))
+            if len(lengths):
+                held.extend(sequences_of(lengths, numbers[places_in(words, listed)], end))
+                size += len(words) + len(lengths)
             if size > SIDE_BY_SIDE:
                 learn()
                 size = 0
@@ -196,41 +214,37 @@ def lm_scores(
     # training texts hold no unknown word; the rarer words' item gets the add-one mass of its words and of one unknown
     parameters["class_bias"][shape.class_of[rare]] += np.float32(math.log((rare_n + rare_v + 1) / (rare_n + 1)))
 
-    log_counts = np.log10(top.astype(np.float64) + 1)
-    to_item = np.full(len(top) + 1, rare, np.int32)  # the last is for words beyond the known
+    log_counts = np.log10(np.append(top.astype(np.float64), 0) + 1)  # the last is for words beyond the known, whose counts come later
+    to_item = np.full(len(top) + 1, rare, np.int32)
     to_item[: len(chosen)] = [items[w] for w, _ in chosen]
-    # words hold no white space; each task makes its own look-up table of them
-    given = spark.sparkContext.broadcast((b"\n".join(words.to_pylist()), log_counts, to_item, shape, parameters))
+    given = spark.sparkContext.broadcast((words, log_counts, to_item, shape, parameters))
     end_log, end_known = math.log10(ends + 1), ends > 0
     kind = dict(docs.dtypes)[id_col]
 
     names = ["__id", "held", "n_tokens", "known", "logs", "n_rare", "rare_logs", "tail", "model"]
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+    entry = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
-    def counted(batch: pa.RecordBatch, known: dict[bytes, int]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    def counted(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
         """What the known words' counts give each row, and its items."""
-        _, log_counts, to_item, _, _ = given.value
-        sequences, columns = [], ([], [], [], [], [], [])
-        for text in texts_of(batch.column(2)):
-            words = words_of(text)
-            at = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
-            ids = to_item[at]
-            sequences.append(np.append(ids, np.int32(end)))
-            inside = at >= 0
-            logs = np.zeros(len(at))
-            logs[inside] = log_counts[at[inside]]
-            rarer = ids == rare
-            tail = Counter([words[i] for i in np.flatnonzero(~inside).tolist()])
-            values = (len(words) + 1, int(inside.sum()) + end_known, float(logs.sum()) + end_log, int(rarer.sum()), float(logs[rarer].sum()), [{"word": w, "n": k} for w, k in tail.items()])
-            for column, value in zip(columns, values, strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names[:-1]), sequences
+        known, log_counts, to_item, _, _ = given.value
+        lengths, words = words_in(batch.column(2))
+        at = places_in(words, known)
+        items, logs, owner = to_item[at], log_counts[at], np.repeat(np.arange(len(lengths)), lengths)
+        per_row = lambda where, weights=None: np.bincount(owner[where], None if weights is None else weights[where], len(lengths))
+        inside, rarer = at < len(known), items == rare
+        beyond = np.flatnonzero(~inside)
+        unknown = words.take(pa.array(beyond)).to_pylist()
+        cuts = np.searchsorted(owner[beyond], np.arange(len(lengths) + 1)).tolist()
+        tails = [Counter(unknown[i:j]) if i < j else {} for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        entries = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int64())], fields=list(entry))
+        tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), entries)
+        values = lengths + 1, per_row(inside) + int(end_known), per_row(slice(None), logs) + end_log, per_row(rarer), per_row(rarer, logs)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, values), tail], names[:-1]), sequences_of(lengths, items, end)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of several batches go through the network side by side, as a long one's last steps are alone in its batch."""
         keep_freed()
-        joined, _, _, shape, parameters = given.value
-        known = {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
+        _, _, _, shape, parameters = given.value
         held, sequences = [], []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -243,7 +257,7 @@ def lm_scores(
 
         for batch in batches:
             if batch.num_rows:
-                rows, items_of = counted(batch, known)
+                rows, items_of = counted(batch)
                 held.append(rows)
                 sequences.extend(items_of)
                 if sum(map(len, sequences)) > SIDE_BY_SIDE:

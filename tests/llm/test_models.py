@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm import gru, license_scan, winnow
+from lodestone.llm import gru, license_scan, recurrent_lm, winnow
 from lodestone.llm.license_scan import license_statements
 from lodestone.llm.quality_qda import FEATURES, discriminant, keep_quality, quality_scores
 from lodestone.llm.recurrent_lm import lm_scores
@@ -45,6 +46,35 @@ def test_probabilities_sum_to_one_and_lanes_do_not_matter():
     assert np.allclose(one, [gru.score(p, shape, [d], 0)[0] for d in documents], atol=1e-3)
 
 
+def test_softmaxes_of_all_classes_share_their_steps(monkeypatch):
+    calls, exp = [], np.exp
+    monkeypatch.setattr(gru.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    rng, made = np.random.default_rng(3), []
+    for classes in (4, 40):
+        shape = gru.Shape.of(np.arange(200, 0, -1.0), classes, 4)
+        gru.log_probability(gru.initial(shape), shape, rng.normal(0, 0.5, (300, 4)).astype(np.float32), rng.integers(0, 200, 300))
+        made.append(len(calls))
+    assert made == [2, 4]  # one over the classes and one within all of them
+
+
+def test_rows_of_an_item_are_added_up():
+    rng = np.random.default_rng(4)
+    for most in (1, 3, 50, 400):
+        items, rows = np.minimum(rng.integers(0, most, 300), rng.integers(0, most, 300)), rng.normal(size=(300, 5))
+        found, sums = gru._summed(rows, items, most)
+        assert sorted(found.tolist()) == sorted(set(items.tolist()))
+        assert all(np.allclose(s, rows[items == i].sum(axis=0)) for i, s in zip(found, sums, strict=True))
+
+
+def test_words_of_odd_texts():
+    texts = ["", " \t\r\n", "A b", " x  Y\x0b\x0cz ", "a\x1cb\x85c\xa0D É", "\x00 \x00", None, "tail\n"]
+    lengths, words = recurrent_lm.words_in(pa.array(texts))
+    wanted = [(t or "").encode().lower().split() for t in texts]
+    assert lengths.tolist() == [len(w) for w in wanted] and words.to_pylist() == [x for w in wanted for x in w]
+    got = recurrent_lm.sequences_of(lengths, recurrent_lm.places_in(words, pa.array([b"b", b"a"], pa.binary())), 9)
+    assert [g.tolist() for g in got] == [[*({b"b": 0, b"a": 1}.get(x, 2) for x in w), 9] for w in wanted]
+
+
 def test_training_helps_and_base_scores_are_exact(spark):
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice(["a b c d", "e f g h", "rare%d" % rng.randrange(99)]) for _ in range(40))) for i in range(120)] + [(500, None), (501, ""), (None, "a b")]
