@@ -53,8 +53,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows_at in range(0, batch.num_rows, 256):  # few texts and ids are held at once, not a whole batch
-                ids_col, texts = batch.slice(rows_at, 256).columns
+            for rows_at in range(0, batch.num_rows, 1000):  # few texts and ids are held at once, not a whole batch
+                ids_col, texts = batch.slice(rows_at, 1000).columns
                 rows, piece, start, length, crc, rank = [], [], [], [], [], []
                 for i, ids in enumerate(encoder(path, BYTE_LEVEL).encode(texts.to_pylist(), end_id)):
                     for k, (at, size) in enumerate(cut(len(ids), capacity)):

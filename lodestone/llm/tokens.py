@@ -3,9 +3,10 @@
 Both tokenizers split a text into pieces that never cross the chunks below, so
 the ids of a text are those of its chunks in order.  Most texts are cut at
 their spaces, which a regular expression is too slow for: what is between two
-spaces is a run of whole chunks, and is looked up as one.  Runs and chunks not
-seen before go through the tokenizers library, many at a time; their ids are
-kept in a cache of two generations, so memory is bounded and frequent ones
+spaces is a run of whole chunks, and is looked up as one.  Arrow numbers the
+different runs of many texts and looks them up; those not seen before go
+through the tokenizers library, many at a time; their ids are kept in a cache
+of two generations of Arrow arrays, so memory is bounded and frequent ones
 stay.  A text that holds the string of an added token, such as <|endoftext|>,
 goes through the library whole, which gives the token's id for it (its own
 default).
@@ -20,6 +21,8 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed: Unicode white space, Latin letters and ASCII punctuation, as parts of a character class.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -30,10 +33,10 @@ _PUNCTUATION = r"!-/:-@\[-`{-~"
 BYTE_LEVEL = rf" ?[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: BPE with word ends drops white space.
 WORD_LEVEL = rf"[{_LATIN}]+(?=[{_PUNCTUATION}{_WS}]|\Z)|[^{_WS}]+"
-#: Runs and chunks of one generation (three times as many in BPE with word ends, whose tasks hold little else), and the length over which one is not kept.
-GENERATION, LONG = 100_000, 48
+#: Runs of one generation, and the bytes over which one is not kept.
+GENERATION, LONG = 150_000, 48
 #: Characters of texts that are looked up at once, and words that the library is asked for at once.
-AT_ONCE, WORDS_AT_ONCE = 500_000, 1024
+AT_ONCE, WORDS_AT_ONCE = 4_000_000, 1024
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -48,8 +51,8 @@ _ALPHABET = _byte_alphabet()
 _SPELT = _ALPHABET | {ord("\n"): " "}
 
 
-#: Begins keys that have no space before them.
-_BARE = "\x01"
+#: Begins keys that have no space before them, and what parts keys: texts that hold it go through the library whole.
+_BARE, _BETWEEN = "\x01", "\x1f"
 
 
 #: Latin-1 by kind: letters and digits, white space, full stops and commas, what split() or keys take otherwise, all else.
@@ -81,6 +84,21 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Generation:
+    """Keys and their ids, as bytes."""
+
+    def __init__(self, keys: pa.Array | None = None, ids: pa.Array | None = None):
+        self.keys = pa.array([], pa.string()) if keys is None else keys
+        self.ids = pa.array([], pa.binary()) if ids is None else ids
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where keys stand here; -1 for one that does not."""
+        return pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().copy()
+
+
 class ChunkEncoder:
     """Keys of the cache are runs between spaces.  In byte-level BPE a key goes with a space before it, unless it begins with _BARE."""
 
@@ -92,8 +110,9 @@ class ChunkEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I).search
         self.keeps_space = chunks == BYTE_LEVEL
+        self.nothing = _BARE if self.keeps_space else ""  # the key of an empty text
         self.find = re.compile(chunks).findall
-        self.plain = re.compile(f"{_BARE}?[{_LATIN}]+" if self.keeps_space else f"[{_LATIN}]+").fullmatch
+        self.plain = f"^{_BARE}?[{_LATIN}]+$" if self.keeps_space else f"^[{_LATIN}]+$"
         # words in the byte alphabet, separated by spaces: single pieces that the model takes as they are
         model = self.tokenizer.model
         model._resize_cache(0)  # words are asked for once
@@ -104,17 +123,15 @@ class ChunkEncoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = Generation(), Generation()
 
-    def _runs(self, text: str) -> list[str]:
-        """Keys of a text, in order."""
+    def _parted(self, text: str) -> str:
+        """Keys of a text, in order, with _BETWEEN between them."""
         if not _simple(text):
-            return self._chunks(text)
+            return _BETWEEN.join(self._chunks(text)) or self.nothing
         if self.keeps_space:
-            runs = (_BARE + text).replace(",", f" {_BARE},").replace(".", f" {_BARE}.").split(" ")
-            return runs[1:] if runs[0] == _BARE else runs
-        return text.replace(",", " , ").replace(".", " . ").split()
+            return (_BARE + text).replace(",", f" {_BARE},").replace(".", f" {_BARE}.").replace(" ", _BETWEEN)
+        return _BETWEEN.join(text.replace(",", " , ").replace(".", " . ").split())
 
     def _chunks(self, text: str) -> list[str]:
         """Keys of a text, each a single chunk."""
@@ -126,53 +143,67 @@ class ChunkEncoder:
             return key
         return key[1:] if key[:1] == _BARE else " " + key
 
-    def _words(self, keys: list[str]) -> dict[str, bytes]:
+    def _words(self, keys: pa.Array) -> pa.Array:
         """Ids of words of Latin letters."""
-        given = "\n".join(map(self._text, keys)) if self.keeps_space else "\n".join(keys).lower()
-        spelt = given.encode().decode("latin-1").translate(_SPELT)
+        given = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "\n")[0].as_py()
+        given = (" " + given.replace("\n", "\n ")).replace(" " + _BARE, "") if self.keeps_space else given.lower()
+        raw = given.encode()
+        spelt = given.replace(" ", _ALPHABET[32]).replace("\n", " ") if raw.isascii() else raw.decode("latin-1").translate(_SPELT)
         ids = np.array(self.words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.int64)
         to = np.cumsum(self.length[ids])
-        ends = np.cumsum(list(map(len, spelt.split(" "))))
+        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == ord("\n")), len(raw))
+        ends -= np.arange(len(ends))  # without the line ends before them
         at = np.searchsorted(to, ends)
         if not len(to) or to[-1] != ends[-1] or (to[at] != ends).any():  # a vocabulary without some letter
-            return self._others(keys)
-        data = ids.astype("<u4").tobytes()
-        cuts = [0, *((at + 1) * 4).tolist()]
-        return {k: data[a:b] for k, a, b in zip(keys, cuts, cuts[1:])}  # noqa: B905  one cut more than keys
+            return pa.array(self._others(keys.to_pylist()), pa.binary())
+        cuts = np.append(0, (at + 1) * 4).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cuts), pa.py_buffer(ids.astype("<u4"))])
 
-    def _others(self, keys: list[str]) -> dict[str, bytes]:
+    def _others(self, keys: list[str]) -> list[bytes]:
         """Ids of any chunks."""
         found = self.tokenizer.encode_batch_fast(list(map(self._text, keys)), add_special_tokens=False)
-        return {k: array("I", e.ids).tobytes() for k, e in zip(keys, found, strict=True)}
-
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of all these keys, which the young generation does not hold, but does afterwards if they are not too long."""
-        if len(self.young) > GENERATION * (1 if self.keeps_space else 3):
-            self.old, self.young = self.young, {}
-        young, old, plain = self.young, self.old, self.plain
-        found = {k: old[k] for k in filter(old.__contains__, keys)}
-        new = [k for k in keys if k not in found] if found else list(keys)
-        words = set(filter(plain, new))
-        runs = [(k, self._chunks(self._text(k))) for k in new if k not in words]
-        chunks = {c for _, parts in runs for c in parts if c not in young and c not in words}
-        ids = {c: old[c] for c in filter(old.__contains__, chunks)}
-        asked = chunks.difference(ids)
-        others = [c for c in asked if not plain(c)]
-        words.update(asked.difference(others))
-        for asked, ask, most in ((list(words), self._words, WORDS_AT_ONCE), (others, self._others, 4096)):
-            for at in range(0, len(asked), most):
-                ids.update(ask(asked[at : at + most]))
-        for k, parts in runs:
-            found[k] = b"".join([ids[c] if c in ids else young[c] for c in parts])
-        found.update(ids)
-        young.update(found)
-        for k in [k for k in found if len(k) > LONG]:
-            del young[k]
-        return found
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _asked(self, keys: pa.Array, whole: bool) -> pa.Array:
+        """Ids of different keys that are not known; whole: each is a single chunk."""
+        plain = pc.match_substring_regex(keys, self.plain)
+        words, others = keys.filter(plain), keys.filter(pc.invert(plain)).to_pylist()
+        made = [self._words(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        if whole:
+            made += [pa.array(self._others(others[at : at + 4096]), pa.binary()) for at in range(0, len(others), 4096)]
+        elif others:
+            runs = [self._chunks(self._text(k)) for k in others]
+            chunks = list(set(chain.from_iterable(runs)))
+            ids = dict(zip(chunks, self._ids_of(pa.array(chunks, pa.string()), True).to_pylist(), strict=True))
+            made.append(pa.array([b"".join([ids[c] for c in parts]) for parts in runs], pa.binary()))
+        if not made:
+            return pa.array([], pa.binary())
+        place = plain.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays(made).take(pa.array(np.argsort(np.argsort(~place, kind="stable"))))
+
+    def _ids_of(self, keys: pa.Array, whole: bool = False) -> pa.Array:
+        """Ids of different keys.  Those of runs stay in the young generation if they are not too long."""
+        if len(self.young) > GENERATION and not whole:
+            self.old, self.young = self.young, Generation()
+        young, old = self.young, self.old
+        at = young.places(keys)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return young.ids.take(pa.array(at))
+        rest = keys.take(pa.array(missing))
+        from_old = old.places(rest)
+        new = np.flatnonzero(from_old < 0)
+        from_old[new] = len(old) + np.arange(len(new))
+        found = pa.concat_arrays([old.ids, self._asked(rest.take(pa.array(new)), whole)]).take(pa.array(from_old))
+        at[missing] = len(young) + np.arange(len(missing))
+        if not whole:
+            kept = pc.less_equal(pc.binary_length(rest), LONG)
+            self.young = Generation(pa.concat_arrays([young.keys, rest.filter(kept)]), pa.concat_arrays([young.ids, found.filter(kept)]))
+        return pa.concat_arrays([young.ids, found]).take(pa.array(at))
 
     def rest(self) -> None:
         """Keep the young generation only, between tasks: workers live on through stages that don't tokenize."""
-        self.old = {}
+        self.old = Generation()
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -184,22 +215,16 @@ class ChunkEncoder:
                 size += len(texts[to])
                 to += 1
             part = texts[at:to]
-            whole = {i: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4") for i, t in enumerate(part) if self.added(t)}
+            whole = {i: np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4") for i, t in enumerate(part) if self.added(t) or _BETWEEN in t}
             if not self.keeps_space:  # ids don't depend on case; of Latin letters, lower case is the same everywhere
                 part = [t.lower() if _is_latin(t) else t for t in part]
-            runs = [[] if i in whole else self._runs(t) for i, t in enumerate(part)]
-            keys = list(chain.from_iterable(runs))
-            ids = list(map(self.young.get, keys))
-            missing = [i for i, v in enumerate(ids) if v is None]
-            if missing:
-                learnt = self._learn({keys[i] for i in missing})
-                for i in missing:
-                    ids[i] = learnt[keys[i]]
-            first = 0
-            for i, own in enumerate(runs):
-                last = first + len(own)
-                out.append(whole[i] if i in whole else np.frombuffer(b"".join(ids[first:last]) + tail, "<u4"))
-                first = last
+            keys = pc.split_pattern(pa.array([self.nothing if i in whole else self._parted(t) for i, t in enumerate(part)], pa.string()), _BETWEEN)
+            coded = keys.flatten().dictionary_encode()
+            joined = self._ids_of(coded.dictionary).take(coded.indices)  # ids of all keys, one after another
+            _, offsets, data = joined.buffers()
+            ends = np.frombuffer(offsets, np.int32, len(joined) + 1)[keys.offsets.to_numpy()].tolist()
+            for i, (first, last) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                out.append(whole[i] if i in whole else np.frombuffer((data[first:last].to_pybytes() if last > first else b"") + tail, "<u4"))
             at = to
         return out
 

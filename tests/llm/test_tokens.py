@@ -43,6 +43,23 @@ def test_a_full_cache_changes_nothing(monkeypatch):
         assert [x.tolist() for x in e.encode(texts, 2)] == [x.tolist() for x in whole("byte_bpe_50k.json", texts, 2)]
 
 
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_an_encoder_asks_once_for_what_many_texts_hold(name, monkeypatch):
+    from lodestone.llm import tokens
+
+    e = tokens.ChunkEncoder(public_path(name), MODELS[name])
+    keys, asked = [], e._asked
+    monkeypatch.setattr(e, "_asked", lambda new, single: keys.append(len(new)) or asked(new, single))
+    texts = ["some plain words, and a few more.", "", " ", "x\x1fy \x01 z\x1f", "\x1f", "(odd) words  twice\n", "né ähnlich\xa0x", "中文 words", "w" * 300] * 40
+    got = [x.tolist() for x in e.encode(texts, 7)]
+    assert got == [x.tolist() for x in whole(name, texts, 7)]
+    assert 0 < sum(keys) < 60  # runs and their chunks, not occurrences
+    before = len(keys)
+    short = [t for t in texts if len(t) < 300]
+    assert [x.tolist() for x in e.encode(short, 7)] == [x.tolist() for x in whole(name, short, 7)]
+    assert sum(keys[before:]) == 0
+
+
 def test_between_tasks_an_encoder_keeps_one_bounded_generation(monkeypatch):
     from lodestone.llm import tokens
 
