@@ -45,8 +45,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = encoder(model, WORD_LEVEL).encode(texts[at : at + 256], end_id)
+            for at in range(0, len(texts), 1000):
+                ids = encoder(model, WORD_LEVEL).encode(texts[at : at + 1000], end_id)
                 if not ids:
                     continue
                 sizes = np.array([len(x) for x in ids], np.int64)
